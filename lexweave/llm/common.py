@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[list], tuple[list, list | None]]) -> DataFrame:
+    """Filter documents in one scan without a shuffle, whatever columns they have.
+
+    decide(texts) gives a flag per row and, or None, new texts; where a text changes, n_chars (if there) follows it."""
+    schema = docs.schema
+    names = schema.names
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            flags, new = decide(texts)
+            columns = list(batch.columns)
+            if new is not None:
+                changed = [a != b for a, b in zip(texts, new, strict=True)]
+                columns[at] = pa.array(new, columns[at].type)
+                if size is not None and any(changed):
+                    sizes = [len(t) if c else n for t, c, n in zip(new, changed, columns[size].to_pylist(), strict=True)]
+                    columns[size] = pa.array(sizes, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

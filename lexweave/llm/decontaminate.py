@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep_rows, slices
 
 WINDOW = 13
 #: Windows in one broadcast set (about 200 bytes each); larger test sets take several scans.
@@ -178,3 +178,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
         hits = hits.unionAll(part)
     merged = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
     return merged.mapInArrow(_merge, REPORT)
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, length: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. A test set of one block needs no shuffle."""
+    blocks = _blocks(benchmark_windows(benchmark, length), max_windows)
+    block, after = next(blocks), next(blocks, None)
+    if after:
+        bad = contamination(docs, benchmark, max_windows, length).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet.of(block))
+
+    def decide(texts: list) -> tuple[list, None]:
+        flags = []
+        for text in texts:
+            words = normal_words(text)
+            n = int(shared.value.scan(words)[0].sum())
+            flags.append(not (n > 0 and 20 * n >= len(words)))
+        return flags, None
+
+    return keep_rows(docs, decide)

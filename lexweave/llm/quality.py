@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import keep_rows, slices, words_of
 
 WINDOW = 5
 MAX_LOST = 0.5
@@ -142,3 +142,18 @@ def judge(docs: DataFrame, with_text: bool = False, max_lost: float = MAX_LOST)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", cleaned string" if with_text else ""))
+
+
+def keep_good(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+    """The kept documents with all their columns; failing lines are gone from their texts."""
+
+    def decide(texts: list) -> tuple[list, list]:
+        flags, out = [], []
+        for text in texts:
+            n, _, _, _, repeated = base_counts(text)
+            cleaned, lost = clean(text)
+            flags.append(n >= 10 and 100 * repeated <= 20 * n and lost <= max_lost * n)
+            out.append(cleaned if lost else text)
+        return flags, out
+
+    return keep_rows(docs, decide)

@@ -200,3 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = components(links(distinct))
     labelled = distinct.join(member, distinct.root == member.node, "left").select("fp", F.coalesce("component", "root").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns. Of repeated rows of that
+    doc_id one stays; rows with a null doc_id name no component and stay."""
+    kept = near_duplicates(docs).where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
