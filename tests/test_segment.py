@@ -1,0 +1,127 @@
+"""The window formulation against a plain reading of each line, on random line sequences."""
+
+import random
+import re
+
+from lexweave.operators import segment as g
+
+POOL = {
+    "numeric": ["1. Term", "2. Pay ment", "## 3. Foo", "Appendix", "## Appendix", "text", "", "", "1.1 sub", "12. 5 no", "more text."],
+    "article": ["ARTICLE I", "article iv", "TITLE HERE", "Section 1.1 Terms.", "SECTION 2.2 CAPS", "text", "", "Section 3.1 Foo bar", "ARTICLE II"],
+    "roman": ["## I. General", "## c. foo", "A. Lettered", "§ 3 Price.", "## § 4 Sum (1) x", "text", "", "## II. Next"],
+}
+
+
+def joined(units):
+    return [(tuple(h), "\n".join(out).strip(), tuple(sorted(set(pages)))) for h, out, pages in units if "\n".join(out).strip()]
+
+
+class Builder:
+    def __init__(self):
+        self.units, self.now = [], [(None,), [], []]
+
+    def open(self, head, out, page):
+        self.units.append(self.now)
+        self.now = [head, out, [page] if page else []]
+
+    def put(self, line, page):
+        if line:
+            self.now[1].append(line)
+            self.now[2].append(page)
+        elif self.now[1] and self.now[1][-1]:
+            self.now[1].append("")
+
+    def done(self):
+        return joined([*self.units, self.now])
+
+
+def plain_numeric(lines):
+    b, appendix = Builder(), False
+    for page, line in lines:
+        top = re.match(r"(?:##\s*)?(\d{1,2})\.\s+(?!\d)(.{1,200})$", line)
+        if re.match(r"(?i)(##\s*)?appendix\s*$", line):
+            appendix = True
+            b.open((None, "Appendix"), ["## Appendix"], page)
+        elif top and not appendix:
+            b.open(top.groups(), [f"## {top[1]}. {top[2]}"], page)
+        else:
+            b.put(line, page)
+    return b.done()
+
+
+def plain_roman(lines):
+    b, roman = Builder(), None
+    for page, line in lines:
+        if m := re.match(r"(?i)##\s*([ivxlc]+)\.\s+(.+?)\s*$", line):
+            roman = (m[1].upper(), m[2])
+            b.open((*roman, None), [f"## {roman[0]}. {roman[1]}"], page)
+        elif m := re.match(r"(?i)(?:##\s*)?([a-z])\.\s+(.+)$", line):
+            b.open((*(roman or (None, None)), m[1]), [f"## {m[1]}. {m[2].strip(' .;,:')}"], page)
+        elif m := re.match(r"(?:##\s*)?§\s*(\d+)\s+(.+?)(?=\s*\(\d+\)\s+|\.\s*$|$)", line):
+            head = [f"## {roman[0]}. {roman[1]}"] if roman else []
+            b.open((*(roman or (None, None)), m[1]), [*head, f"## § {m[1]} {m[2]}"], page)
+        else:
+            b.put(line, page)
+    return [u for u in b.done() if not (u[0][0] and u[0][-1] is None and u[1] == f"## {u[0][0]}. {u[0][1]}")]
+
+
+def plain_article(lines):
+    b, number, title, fresh = Builder(), None, None, False
+    body = False
+    for page, line in lines:
+        if not line:
+            b.put(line, page)
+        elif m := re.match(r"(?i)article\s+([ivxlc]+)\s*$", line):
+            number, title, fresh = m[1].upper(), None, True
+            if body:
+                b.open((None,), [], None)
+                body = False
+        elif fresh and line.isupper():
+            title, fresh = line, False
+            b.put(line, page)
+        else:
+            fresh = False
+            if m := re.match(r"(?i)section\s+(\d+\.\d+)\s+(.+?)\.?\s*$", line):
+                head = [x for x in (number and f"ARTICLE {number}", title, f"Section {m[1]} {m[2]}") if x]
+                b.open((number, title, m[1]), head, page)
+                body = True
+            else:
+                b.put(line, page)
+    return b.done()
+
+
+def compare(spark, name, split, plain, head):
+    rnd, docs, rows = random.Random(7), {}, []
+    for d in range(120):
+        lines = [(1 + i // 6, rnd.choice(POOL[name])) for i in range(rnd.randint(1, 24))]
+        docs[f"d{d}"] = lines
+        rows += [(f"d{d}", page, i, line) for i, (page, line) in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "source string, page_no int, line_no int, line string")
+    found = {}
+    for r in split(frame).orderBy("source", "u").collect():
+        found.setdefault(r.source, []).append((head(r), r.text, tuple(r.page_numbers)))
+    for source, lines in docs.items():
+        expected = plain(lines)
+        assert [(t, p) for _, t, p in found.get(source, [])] == [(t, p) for _, t, p in expected], source
+        assert [h for h, _, _ in found.get(source, [])] == [h if len(h) > 1 else head(None) for h, _, _ in expected], source
+
+
+def test_numeric(spark):
+    head = lambda r: (None, "Front Matter") if r is None else (r.section_number, r.section_title)
+    compare(spark, "numeric", g.numeric_sections, plain_numeric, head)
+
+
+def test_article(spark):
+    head = lambda r: (None,) * 3 if r is None else (r.article_number, r.article_title, r.section_number)
+    compare(spark, "article", g.article_sections, plain_article, head)
+
+
+def test_roman(spark):
+    head = lambda r: (None,) * 3 if r is None else (r.roman_section_number, r.roman_section_title, r.section_number)
+    compare(spark, "roman", g.roman_sections, plain_roman, head)
+
+
+def test_units_of_odd_documents(spark):
+    raw = spark.createDataFrame([("a.pdf", None), ("b.pdf", ""), ("c.pdf", "one\n\ntwo<<<PAGE_BREAK>>> <<<PAGE_BREAK>>>three")], "source string, markdown string")
+    got = [(r.source, r.unit_index, r.text, r.section_title) for r in g.semantic_units(raw).orderBy("source", "unit_index").collect()]
+    assert got == [("c.pdf", 1, "one", "Paragraph 1"), ("c.pdf", 2, "two", "Paragraph 2"), ("c.pdf", 3, "three", "Paragraph 3")]
