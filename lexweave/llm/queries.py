@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, langid, licences, lm, quality, simhash, urls
+from . import bpe, chat, decontaminate, html, langid, licences, lm, oracle, quality, simhash, urls
 from .common import table
 
 
@@ -58,4 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_bpe, op7_html_consensus, op8_stupid_backoff, op9_licence_rules, op10_tool_calls,
     )
 }
-ORACLE: dict[str, str] = {"op8_stupid_backoff": lm.SQL}
+ORACLE: dict[str, str] = {
+    "op3_line_quality": oracle.QUALITY,
+    "op4_decontaminate": oracle.CONTAMINATION,
+    "op8_stupid_backoff": lm.SQL,
+    "op9_licence_rules": oracle.LICENCES,
+}
