@@ -29,8 +29,8 @@ from .common import materialise, slices, words_of
 
 ALPHA = 0.4
 #: UTF-8 bytes of text in a block, and n-gram entries in a bucket, about.
-BLOCK_BYTES = 4_000_000
-BUCKET_ENTRIES = 2_000_000
+BLOCK_BYTES = 8_000_000
+BUCKET_ENTRIES = 1_000_000
 _BLOCKS = "block bigint, n_tokens bigint, n_entries bigint, docs binary, lengths binary, tokens binary, words binary"
 
 
@@ -76,9 +76,8 @@ def _entries(row: dict) -> tuple[np.ndarray, ...]:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    def make(seq: int, ids: list, texts: list[list[bytes]]) -> dict:
-        index: dict[bytes, int] = {}
-        flat = np.array([index.setdefault(w, len(index)) for words in texts for w in words], np.int32)
+    def make(seq: int, ids: list, index: dict[bytes, int], texts: list[np.ndarray]) -> dict:
+        flat = np.concatenate(texts)
         hashes = np.array([xxh64_intdigest(w, 42) for w in index], np.uint64)
         order = np.argsort(hashes, kind="stable")
         place = np.empty(order.size, np.int32)
@@ -94,21 +93,22 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, size, ids, texts = 0, 0, [], []
+        seq, size, ids, index, texts = 0, 0, [], {}, []
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
         def out() -> pa.RecordBatch:
-            made = make(seq, ids, texts)
+            made = make(seq, ids, index, texts)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(made.values(), kinds, strict=True)], names=list(made))
 
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                texts.append(words_of((text or "").translate(_LOWER)))
+                words = words_of((text or "").translate(_LOWER))
+                texts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield out()
-                    seq, size, ids, texts = seq + 1, 0, [], []
+                    seq, size, ids, index, texts = seq + 1, 0, [], {}, []
         if ids:
             yield out()
 
