@@ -54,4 +54,5 @@ def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(bucket, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); n_docs has one row with column n, which counts
     documents without tokens too."""
     df = posted.groupBy("bucket").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("bucket", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    n = n_docs.select("n").scalar()
+    return df.select("bucket", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
