@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Distinct chunks whose encoding a worker remembers; only speed depends on it.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 250_000
 _NONE = np.iinfo(np.int64).max
 _SPACES = "\t\n\v\f\r\x85\x20\xa0  -     　"
 #: Words of more symbols are joined one pair at a time from a heap: rounds would be as many as their pair kinds.
@@ -114,6 +114,14 @@ class WordBpe:
             offer(a)
         return [x for x in symbols if x >= 0]
 
+    def _ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs that begin at these places: the rank (or _NONE) and the joined symbol."""
+        after = np.minimum(at + 1, symbols.size - 1)
+        key = symbols[at] * self.width + symbols[after]
+        found = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+        real = (self.keys[found] == key) & (word[at] == word[after]) & (after > at)
+        return np.where(real, self.rank[found], _NONE), self.joined[found]
+
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (its UTF-8 bytes; none is empty)."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -122,31 +130,28 @@ class WordBpe:
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.final[raw[ends]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        while symbols.size > 1:
-            key = symbols[:-1] * self.width + symbols[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == self.keys.size] = 0
-            found = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.append(np.where(found, self.rank[at], _NONE), _NONE)
+        rank, into = self._ranks(symbols, word, np.arange(symbols.size))
+        while symbols.size:
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(first, word.size))
             least = np.minimum.reduceat(rank, first)
             over = np.repeat(least == _NONE, size)
             if over.any():
                 done.append((word[over], symbols[over]))
-            hit = (rank == np.repeat(least, size)) & ~over
-            place = np.flatnonzero(hit)
-            if not place.size:
-                symbols, word = symbols[:0], word[:0]
-                break
-            run = np.append(True, np.diff(place) != 1)
+            place = np.flatnonzero((rank == np.repeat(least, size)) & ~over)
+            run = np.append(True, np.diff(place) != 1)[: place.size]
             offset = np.arange(place.size) - np.flatnonzero(run)[np.cumsum(run) - 1]
             # neighbouring places overlap only in runs of one symbol: every second one joins
             place = place[offset % 2 == 0]
-            symbols[place] = self.joined[at[place]]
+            symbols[place] = into[place]
             keep = ~over
             keep[place + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            joined = np.zeros(symbols.size, bool)
+            joined[place] = True
+            symbols, word, rank, into, joined = symbols[keep], word[keep], rank[keep], into[keep], joined[keep]
+            joined[:-1] |= joined[1:]  # a join changes its own pair and the one before
+            again = np.flatnonzero(joined)
+            rank[again], into[again] = self._ranks(symbols, word, again)
         done.append((word, symbols))
         word = np.concatenate([w for w, _ in done])
         symbols = np.concatenate([s for _, s in done])
@@ -174,21 +179,25 @@ class WordBpe:
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")
-            text = text.lower().translate(NEW_LOWER)
-            return [x for x in _GAP.split(text) if x]
         text = text.lower()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        # str.split() takes four control characters for white space that the library does not
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return [x for x in _GAP.split(text) if x]
         return text.split()
 
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk.isascii():
+            return [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
+        chunk = chunk.translate(NEW_LOWER)
+        return (self.pieces_newer if _IS_NEWER.search(chunk) else self.pieces).findall(chunk)
+
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         words: list[bytes] = []
         spans = []
         for chunk in chunks:
             before = len(words)
             if not chunk.startswith("\0 "):
-                pieces = self.pieces_newer if not chunk.isascii() and _IS_NEWER.search(chunk) else self.pieces
-                words += [p.encode("utf-8", "surrogatepass") for p in pieces.findall(chunk)]
+                words += [p.encode("utf-8", "surrogatepass") for p in self._pieces(chunk)]
             spans.append((before, len(words)))
         merged = self.merge([w for w in words if len(w) <= LONG_WORD] or [b"a"])
         if any(len(w) > LONG_WORD for w in words):
@@ -207,11 +216,17 @@ class WordBpe:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def load(spec: str) -> WordBpe:
     return WordBpe(json.loads(spec))
 
 
+@lru_cache(maxsize=2)
+def remembered(spec: str, digest: bool) -> dict[str, tuple]:
+    """A worker's encodings so far: later tasks of the same worker find them."""
+    return {}
+
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -224,7 +239,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, digest: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(spec.value)
-        cache: dict[str, tuple] = {}
+        cache = remembered(spec.value, digest)
         token = bpe.token
         for batch in slices(batches):
             split = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
