@@ -27,8 +27,8 @@ SAMPLE = 400
 MAX_LANGUAGES = 64
 BUCKETS = 4096
 UNKNOWN = "und"
-#: Below this score a document's language counts as not identified.
-MIN_SCORE = 0.3
+#: Below this score (no evidence at either level) a document's language counts as not identified.
+MIN_SCORE = 0.25
 #: The family of a language code; any other label is a family of its own.
 FAMILY = {
     "germanic": ("en", "de", "nl", "da", "sv", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
