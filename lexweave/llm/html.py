@@ -36,17 +36,27 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "
 #: Words of class, id or role names that mark boilerplate.
 MARKS = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar side aside footer masthead topbar toolbar pagination pager comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices "
+    "sidebar aside footer masthead topbar toolbar pagination pager comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
     "search searchform contentinfo complementary copyright skip hidden".split()
 )
+LAYOUT = {"has", "with", "no", "without", "layout"}
+OWN = {"entry", "post", "article", "content", "section", "story", "page"}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(names: str) -> bool:
-    return any(part.lower() in MARKS for part in _PART.findall(names))
+def _marked(names: str, top: bool) -> bool:
+    """Whether class, id or role names mark boilerplate. Names that only tell of a layout (``has-sidebar``) don't; outside an
+    article (top) a header does, unless it is a text's own."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not parts or parts[0] in LAYOUT:
+            continue
+        if any(p in MARKS for p in parts) or "".join(parts) in MARKS or top and "header" in parts and not OWN & set(parts):
+            return True
+    return False
 
 
 class Page(HTMLParser):
@@ -105,8 +115,8 @@ class Page(HTMLParser):
         parent, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (-1, False)
         if not dropped and tag not in ("html", "body"):
             dropped = tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
-            dropped = dropped or _marked(" ".join((given.get("class", ""), given.get("id", ""), given.get("role", ""))))
-            dropped = dropped or tag == "header" and not any(t in SEMANTIC for t, _, _ in self.stack)
+            top = not any(t in SEMANTIC for t, _, _ in self.stack)
+            dropped = dropped or _marked(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}", top) or tag == "header" and top
         label = tag + "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in given.get("class", "").split()}))
         if tag in BLOCK or parent < 0:
             above, depth = (self.elements[parent][2], self.elements[parent][4] + 1) if parent >= 0 else (0, 0)

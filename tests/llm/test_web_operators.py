@@ -29,6 +29,14 @@ def test_small_pages(raw, text):
     assert html.Page(raw).extract(None) == text
 
 
+@pytest.mark.parametrize(
+    ("names", "top", "marked"),
+    [("ad", False, True), ("sideBar", False, True), ("main has-sidebar", True, False), ("no-comments post", True, False), ("site-header", True, True), ("entry-header", True, False), ("site-header", False, False), ("adage", False, False), ("cookie_banner-2", True, True), ("", True, False)],
+)
+def test_marks(names, top, marked):
+    assert html._marked(names, top) is marked
+
+
 def test_hosts_vote(spark):
     """A page whose article is short beside unmarked words follows its host's path; the vote is per host."""
     main, other = "<div class='main-text'><p>%s</p></div>", "<div class='x9'><p>%s</p></div>"
