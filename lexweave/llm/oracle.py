@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, quality
+from . import licences, quality, urls
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -70,3 +70,37 @@ n AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, coun
 SELECT j.doc_id, greatest(len(lined), len(wrapped))::BIGINT AS n_sentences, array_to_string(CASE WHEN len(wrapped) > len(lined) THEN wrapped ELSE lined END, ',') AS sentence_ids,
   coalesce(names, '') AS licences, coalesce(n, 0)::BIGINT AS n_licences FROM j LEFT JOIN n USING (doc_id)
 """
+
+
+def _url_rules() -> str:
+    """Every set of up to MAX_TOKENS tokens is counted, where FP-growth grows only the frequent ones."""
+    fixed = sorted(urls.HOST_RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in fixed]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, fixed, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, fixed, strict=True))
+    sets = []
+    for n in range(1, urls.MAX_TOKENS + 1):
+        names = [f"t{i}" for i in range(n)]
+        joins = " ".join(f"JOIN one {b} ON {b}.rid = {a}.rid AND {b}.t > {a}.t" for a, b in zip(names, names[1:], strict=False))
+        sets.append(f"SELECT t0.rid, {' || chr(9) || '.join(f'{x}.t' for x in names)} AS k FROM one t0 {joins}")
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+p AS (SELECT rid, page_id, url, {_LOWER.format("regexp_extract(after, '^([^/?#]*)', 1)")} AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS fixed, list_distinct(['h:' || x FOR x IN string_split_regex(host, '[.\-]') IF x <> '']
+  || ['p:' || regexp_replace(x, '\d+', '0', 'g') FOR x IN string_split(path, '/') IF x <> ''] || ['q:' || regexp_extract(x, '^([^=]*)', 1) FOR x IN string_split(regexp_extract(url, '\?([^#]*)', 1), '&') IF x <> '']) AS tokens FROM p),
+one AS (SELECT rid, unnest(tokens) AS t FROM f),
+sets AS ({" UNION ALL ".join(sets)}),
+marks AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 'block' ELSE '' END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+basket AS (SELECT rid, CASE WHEN bad = 'block' THEN 'block' ELSE 'allow' END AS v FROM f JOIN marks ON doc_id = page_id),
+n AS (SELECT count(*)::DOUBLE AS n FROM basket),
+nv AS (SELECT v, count(*)::DOUBLE AS c FROM basket GROUP BY v),
+na AS (SELECT k, count(*)::DOUBLE AS c FROM sets JOIN basket USING (rid) GROUP BY k),
+nb AS (SELECT k, v, count(*)::DOUBLE AS c FROM sets JOIN basket USING (rid) GROUP BY k, v),
+rules AS (SELECT k, v, nb.c / na.c AS confidence, nb.c / n.n AS support FROM nb JOIN na USING (k) JOIN nv USING (v), n
+  WHERE nb.c >= ceil({urls.MIN_SUPPORT} * n.n) AND nb.c / na.c >= {urls.MIN_CONFIDENCE} AND (nb.c / na.c) / (nv.c / n.n) >= {urls.MIN_LIFT}),
+best AS (SELECT rid, max(struct_pack(c := confidence, s := support, k := k, v := v)) AS best FROM sets JOIN rules USING (k) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(fixed, best.v, 'allow') AS verdict, CASE WHEN fixed IS NULL THEN translate(best.k, chr(9), ' ') END AS mined_rule FROM f LEFT JOIN best USING (rid)
+"""
+
+
+URLS = _url_rules()

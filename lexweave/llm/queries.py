@@ -61,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_line_quality": oracle.QUALITY,
     "op4_decontaminate": oracle.CONTAMINATION,
+    "op5_url_rules": oracle.URLS,
     "op8_stupid_backoff": lm.SQL,
     "op9_licence_rules": oracle.LICENCES,
 }
