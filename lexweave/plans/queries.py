@@ -219,7 +219,22 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", *counts, "prev_chunk_id", "next_chunk_id", "page_content")
 
 
-@registered()
+_STRIP = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
+_TRIM = f"regexp_replace(x, '^{_STRIP}|{_STRIP}$', '', 'g')"
+
+
+@registered(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS whole, {_WORDS} AS l FROM documents),
+    e AS (SELECT doc_id, [y FOR y IN [{_TRIM} FOR x IN string_split(whole, chr(10))] IF y <> ''] AS lines FROM d WHERE len(l) > 256),
+    p AS (SELECT doc_id, j, text, {_WORDS} AS l FROM (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS j FROM e)),
+    n AS (SELECT *, len(l) AS n FROM p),
+    g AS (SELECT doc_id, j, 0 AS g, CASE WHEN n > 256 THEN 257 ELSE n END AS c FROM n WHERE j = 1
+      UNION ALL SELECT n.doc_id, n.j, CASE WHEN n.n <= 256 AND g.c + n.n <= 256 THEN g.g ELSE g.g + 1 END, CASE WHEN n.n > 256 THEN 257 WHEN g.c + n.n <= 256 THEN g.c + n.n ELSE n.n END FROM g JOIN n ON n.doc_id = g.doc_id AND n.j = g.j + 1),
+    w AS (SELECT doc_id, g, 0 AS i, string_agg(text, chr(10) ORDER BY j) AS part, sum(n) AS n FROM n JOIN g USING (doc_id, j) WHERE n <= 256 GROUP BY doc_id, g
+      UNION ALL SELECT doc_id, g, i, array_to_string(l[i * 216 + 1 : i * 216 + 256], ' '), len(l[i * 216 + 1 : i * 216 + 256]) FROM (SELECT *, unnest(range(ceil((n - 256) / 216.0)::INT + 1)) AS i FROM n JOIN g USING (doc_id, j) WHERE n > 256)
+      UNION ALL SELECT doc_id, 0, 0, whole, len(l) FROM d WHERE len(l) <= 256)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1 AS part_no, n::BIGINT AS n_tokens, part FROM w"""
+)
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed greedily, a line as a paragraph."""
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunk.pack(F.coalesce("text", F.lit("")), separator="\n")).alias("part_no", "part"))
