@@ -13,6 +13,7 @@ empty host; ties between paths go to the deeper, then the lexically smaller one;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -72,6 +73,7 @@ class Page(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.anchors = 0
+        self.open: Counter[str] = Counter()
         self.feed(html)
         self.close()
         self._flush()
@@ -88,7 +90,9 @@ class Page(HTMLParser):
     def _pop(self, size: int) -> None:
         if any(tag in BLOCK for tag, _, _ in self.stack[size:]):
             self._flush()
-        self.anchors -= sum(tag == "a" for tag, _, _ in self.stack[size:])
+        for tag, _, _ in self.stack[size:]:
+            self.open[tag] -= 1
+            self.anchors -= tag == "a"
         del self.stack[size:]
 
     def _close_open(self, tags: set[str], limits: set[str]) -> None:
@@ -103,7 +107,7 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.open["p"]:
             self._close_open({"p"}, CLOSES_P - {"p"})
         if tag in CLOSED_BY:
             self._close_open(CLOSED_BY[tag], LIMITS[tag])
@@ -115,7 +119,7 @@ class Page(HTMLParser):
         parent, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (-1, False)
         if not dropped and tag not in ("html", "body"):
             dropped = tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
-            top = not any(t in SEMANTIC for t, _, _ in self.stack)
+            top = not any(self.open[t] for t in SEMANTIC)
             dropped = dropped or _marked(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}", top) or tag == "header" and top
         label = tag + "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in given.get("class", "").split()}))
         if tag in BLOCK or parent < 0:
@@ -123,6 +127,7 @@ class Page(HTMLParser):
             self.elements.append((parent, tag, xxh64_intdigest(f"{above}/{label}") >> 1, label, depth))
             parent = len(self.elements) - 1
         self.anchors += tag == "a"
+        self.open[tag] += 1
         self.stack.append((tag, parent, dropped))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -131,6 +136,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._pop(i)
