@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import slices
+from .common import materialise, slices
 from .urls import host_of
 
 #: Element kinds.
@@ -225,5 +225,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(winners(pages).select("host", "path_hash"), "host", "left").select("page_id", "url", "html", "path_hash")
+    # written, so that its size is known before the plan is made: a table of few hosts is broadcast and no page is shuffled
+    won = materialise(winners(pages).select("host", "path_hash"), "html-winners")
+    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "path_hash")
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
