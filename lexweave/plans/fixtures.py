@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE = "<<<PAGE_BREAK>>>"
@@ -16,17 +18,32 @@ TEMPLATES = (
 )
 
 
-def contracts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and markdown; a contract per document."""
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")
-    b1, b2 = (F.concat(F.lit("x"), F.trim(F.substring(letters, at, 60))) for at in (1, 61))
-    chosen = None
+def _source() -> Column:
+    return F.concat(F.lit("data/raw/CUAD_v1/full_contract_pdf/Part_I/"), F.coalesce("lang", F.lit("xx")), F.lit("/GoodDoc"), F.col("doc_id").cast("string"), F.lit("Inc_20070810_S-1.pdf"))
+
+
+def _made(docs: DataFrame, b1: Column, b2: Column) -> DataFrame:
+    chosen, slots = None, {"{b1}": b1, "{b2}": b2}
     for i, template in enumerate(TEMPLATES):
-        built = F.replace(F.replace(F.lit(template), F.lit("{b1}"), b1), F.lit("{b2}"), b2)
+        built = F.concat(*[slots.get(part, F.lit(part)) for part in re.split(r"(\{b[12]\})", template) if part])
         here = F.pmod(F.col("doc_id"), F.lit(4)) == i
         chosen = F.when(here, built) if chosen is None else chosen.when(here, built)
-    source = F.concat(F.lit("data/raw/CUAD_v1/full_contract_pdf/Part_I/"), F.coalesce("lang", F.lit("xx")), F.lit("/GoodDoc"), F.col("doc_id").cast("string"), F.lit("Inc_20070810_S-1.pdf"))
-    return docs.where("doc_id is not null").select("doc_id", source.alias("source"), chosen.alias("markdown"))
+    return docs.where("doc_id is not null").select("doc_id", _source().alias("source"), chosen.alias("markdown"))
+
+
+def contracts(docs: DataFrame) -> DataFrame:
+    """doc_id, source and markdown; a contract per document, of the first 120 letters of its text (those that SQL lists)."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")
+    b1, b2 = (F.concat(F.lit("x"), F.trim(F.substring(letters, at, 60))) for at in (1, 61))
+    return _made(docs, b1, b2)
+
+
+def whole_contracts(docs: DataFrame) -> DataFrame:
+    """The same with every line of the text: the first half of its lines in one slot, the others in the other."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    b1, b2 = F.slice(lines, F.lit(1), half), F.slice(lines, half + 1, F.size(lines))
+    return _made(docs, F.array_join(b1, "\n"), F.array_join(b2, "\n"))
 
 
 #: The same letters and paths in SQL, as the common table ``c``.

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import metadata, normalize, sparse
 from ..operators import chunk, retrieval, segment
 from ..sources import index
-from .fixtures import contracts, rows_sql
+from .fixtures import contracts, rows_sql, whole_contracts
 from .fixtures import SQL as CONTRACTS
 
 Query = Callable[[SparkSession, str], DataFrame]
+Maker = Callable[[DataFrame], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -36,8 +37,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts(_docs(spark, sf_dir))
+def _contracts(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return made(_docs(spark, sf_dir))
 
 
 # --- sparse -------------------------------------------------------------------------------------------------------
@@ -260,8 +261,8 @@ def company_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {CONTRACTS} SELECT source, CASE WHEN kind = 0 THEN 'MASTER AGREEMENT Acme Web, Inc|Beta LLC' ELSE 'Good Doc' || doc_id || ' Inc' END AS companies, CASE WHEN kind = 0 THEN 2 ELSE 1 END::BIGINT AS party_count,"
             " CASE WHEN kind = 0 THEN 'MASTER AGREEMENT' ELSE 'Gooddoc' || doc_id || 'Inc_20070810_S-1' END AS title FROM c")
-def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _contracts(spark, sf_dir)
+def document_metadata(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    raw = _contracts(spark, sf_dir, made)
     rows = index.document_metadata(raw, segment.semantic_units(raw))
     return rows.select("source", F.array_join("company_names", "|").alias("companies"), F.col("party_count").cast("bigint"), "title")
 
@@ -302,20 +303,20 @@ _PAGES = [
 
 
 @registered(_expected(*[(kind, ("page_no", "text"), rows) for kind, rows in _PAGES]))
-def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = segment.documents(_contracts(spark, sf_dir)).select("source", F.explode("pages").alias("p"))
+def page_split(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    pages = segment.documents(_contracts(spark, sf_dir, made)).select("source", F.explode("pages").alias("p"))
     return pages.select("source", F.col("p.page_no").alias("page_no"), F.col("p.text").alias("text"))
 
 
 @registered(f"""WITH {CONTRACTS} SELECT source, ([5, 0, 0, 0])[kind + 1]::BIGINT AS article_score, ([0, 0, 4, 0])[kind + 1]::BIGINT AS roman_score, ([0, 3, 0, 0])[kind + 1]::BIGINT AS numeric_score,
     (['article', 'numeric', 'roman', 'fallback'])[kind + 1] AS format FROM c""")
-def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment.documents(_contracts(spark, sf_dir))
+def format_dispatch(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    rows = segment.documents(_contracts(spark, sf_dir, made))
     return rows.select("source", *[F.col(c).cast("bigint").alias(c) for c in ("article_score", "roman_score", "numeric_score")], "format")
 
 
-def _lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return segment.lines(segment.documents(_contracts(spark, sf_dir)).where(F.col("format") == name))
+def _lines(spark: SparkSession, sf_dir: str, name: str, made: Maker) -> DataFrame:
+    return segment.lines(segment.documents(_contracts(spark, sf_dir, made)).where(F.col("format") == name))
 
 
 def _shown(units: DataFrame, *columns: str) -> DataFrame:
@@ -330,24 +331,24 @@ _APPENDIX = ("appendix", None, "Appendix", "2", "## Appendix\nSchedule One\n- {b
     ("front_matter", None, "Front Matter", "1", "Front {b1}"), ("body", "1", "Term", "1", "## 1. Term\n1.1 Length. {b1}\n- 1.2 {b2}"),
     ("body", "2", "Payment", "2", "## 2. Payment\n{b2}\n\n2.1 Fees: {b1}"), _APPENDIX,
 ])))
-def numeric_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.numeric_sections(_lines(spark, sf_dir, "numeric")), *_NUMERIC[:3])
+def numeric_sections(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.numeric_sections(_lines(spark, sf_dir, "numeric", made)), *_NUMERIC[:3])
 
 
 @registered(_expected((1, ("section_number", "subsection_number", "subsection_title", "pages", "text"), [
     (None, None, None, "1", "Front {b1}"), ("1", "1.1", "Length", "1", "1.1 Length. {b1}"), ("1", "1.2", None, "1", "1.2 {b2}"),
     ("2", None, None, "2", "## 2. Payment\n{b2}"), ("2", "2.1", "Fees", "2", "2.1 Fees: {b1}"), (None, None, None, "2", _APPENDIX[-1]),
 ])))
-def numeric_subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = segment.numeric_subsections(segment.numeric_sections(_lines(spark, sf_dir, "numeric")))
+def numeric_subsections(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    units = segment.numeric_subsections(segment.numeric_sections(_lines(spark, sf_dir, "numeric", made)))
     return _shown(units, "section_number", "subsection_number", "subsection_title")
 
 
 @registered(_expected((1, ("section_title", "subunit_title", "pages", "text"), [
     ("Appendix", "Appendix", "2", "## Appendix"), ("Appendix", "Schedule One", "2", "Schedule One\n- {b1}\n3. Not a section"),
 ])))
-def appendix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = segment.numeric_sections(_lines(spark, sf_dir, "numeric")).where("section_type = 'appendix'")
+def appendix_blocks(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    sections = segment.numeric_sections(_lines(spark, sf_dir, "numeric", made)).where("section_type = 'appendix'")
     return _shown(segment.appendix_blocks(sections), "section_title", "subunit_title")
 
 
@@ -361,16 +362,16 @@ _TITLE_PAGE = "## MASTER AGREEMENT\nAcme Web, Inc., and Beta LLC, made with acme
 @registered(_expected((0, (*_ARTICLE, "pages", "text"), [
     (*_FRONT, "1", _TITLE_PAGE), ("body", "I", "DEFINITIONS", "1.1", "Terms", "1", _HEAD + "\n{b1}\n(a) First item. {b2}\n(b) Second item. {b1}"), *_LATER,
 ])))
-def article_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.article_sections(_lines(spark, sf_dir, "article")), *_ARTICLE)
+def article_units(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.article_sections(_lines(spark, sf_dir, "article", made)), *_ARTICLE)
 
 
 @registered(_expected((0, (*_ARTICLE, "pages", "text", "subunit_label", "subunit_title"), [
     (*_FRONT, "1", _TITLE_PAGE, None, None), ("body", "I", "DEFINITIONS", "1.1", "Terms", "1", "(a) First item. {b2}", "a", "First item"),
     ("body", "I", "DEFINITIONS", "1.1", "Terms", "1", "(b) Second item. {b1}", "b", "Second item"), *[(*row, None, None) for row in _LATER],
 ])))
-def article_subunits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.article_subunits(segment.article_sections(_lines(spark, sf_dir, "article"))), *_ARTICLE, "subunit_label", "subunit_title")
+def article_subunits(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.article_subunits(segment.article_sections(_lines(spark, sf_dir, "article", made))), *_ARTICLE, "subunit_label", "subunit_title")
 
 
 _ROMAN = ("roman_section_number", "roman_section_title", "section_number", "section_title")
@@ -384,29 +385,29 @@ _UNDER = "## I. General\n## § 1 Scope\n"
 @registered(_expected((2, (*_ROMAN, "pages", "text"), [
     (None, None, None, "Front Matter", "1", "Preamble {b1}"), ("I", "General", "1", "Scope", "1", _UNDER + "{b1}\n(1) Area. {b2}\n(2) Limits: {b1}"), *_ROMAN_REST,
 ])))
-def roman_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.roman_sections(_lines(spark, sf_dir, "roman")), *_ROMAN)
+def roman_units(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.roman_sections(_lines(spark, sf_dir, "roman", made)), *_ROMAN)
 
 
 @registered(_expected((2, (*_ROMAN, "pages", "text", "subunit_label", "subunit_title"), [
     (None, None, None, "Front Matter", "1", "Preamble {b1}", None, None), ("I", "General", "1", "Scope", "1", _UNDER + "(1) Area. {b2}", "1", "Area"),
     ("I", "General", "1", "Scope", "1", _UNDER + "(2) Limits: {b1}", "2", "Limits"), *[(*row, None, None) for row in _ROMAN_REST],
 ])))
-def roman_subunits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.roman_subunits(segment.roman_sections(_lines(spark, sf_dir, "roman"))), *_ROMAN, "subunit_label", "subunit_title")
+def roman_subunits(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.roman_subunits(segment.roman_sections(_lines(spark, sf_dir, "roman", made))), *_ROMAN, "subunit_label", "subunit_title")
 
 
 @registered(_expected((3, ("section_title", "pages", "text"), [("Paragraph 1", "", "{b1}\n{b2}"), ("Paragraph 2", "", "{b1} again"), ("Paragraph 3", "", "tail {b2}")])))
-def fallback_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.fallback_units(segment.documents(_contracts(spark, sf_dir)).where("format = 'fallback'")), "section_title")
+def fallback_units(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return _shown(segment.fallback_units(segment.documents(_contracts(spark, sf_dir, made)).where("format = 'fallback'")), "section_title")
 
 
 _COUNTS = {0: 5, 1: 7, 2: 6, 3: 3}
 
 
 @registered(" UNION ALL ".join(f"(WITH {CONTRACTS} SELECT source, 'GoodDoc' || doc_id || 'Inc_20070810_S-1|unit|' || i AS semantic_unit_id, i::INT AS unit_index FROM c, range(1, {n + 1}) r(i) WHERE kind = {k})" for k, n in _COUNTS.items()))
-def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.semantic_units(_contracts(spark, sf_dir)).select("source", "semantic_unit_id", "unit_index")
+def semantic_units(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    return segment.semantic_units(_contracts(spark, sf_dir, made)).select("source", "semantic_unit_id", "unit_index")
 
 
 # --- index and sessions --------------------------------------------------------------------------------------------------
@@ -416,16 +417,16 @@ def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"(WITH {CONTRACTS} SELECT 'GoodDoc' || doc_id || 'Inc_20070810_S-1|unit|' || i || '|chunk|1' AS chunk_id, 'Part_I' AS part, split_part(source, '/', 6) AS contract_type, NULL AS prev_chunk_id, 1::BIGINT AS child_chunk_count FROM c, range(1, {n + 1}) r(i) WHERE kind = {k})"
     for k, n in _COUNTS.items()
 ))
-def chunk_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.chunks(_contracts(spark, sf_dir))
+def chunk_projection(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
+    rows = index.chunks(_contracts(spark, sf_dir, made))
     return rows.select("chunk_id", "part", "contract_type", "prev_chunk_id", F.col("child_chunk_count").cast("bigint").alias("child_chunk_count"))
 
 
 @registered(f"WITH {CONTRACTS} SELECT sum(([5, 7, 6, 3])[kind + 1])::BIGINT AS stored, 0::BIGINT AS failed, sum(([5, 7, 6, 3])[kind + 1])::BIGINT AS distinct_ids FROM c")
-def index_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_build_stats(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
     """What a build would store: chunks with a text and a vector (of the stand-in embedder)."""
-    made = index.chunks(_contracts(spark, sf_dir))
-    vectors = index.embed(made, index.HashEmbedder, "chunk_id", "page_content")
+    rows = index.chunks(_contracts(spark, sf_dir, made))
+    vectors = index.embed(rows, index.HashEmbedder, "chunk_id", "page_content")
     good = F.coalesce(F.size("vector") > 0, F.lit(False))
     return vectors.agg(F.count_if(good).alias("stored"), F.count_if(~good).alias("failed"), F.count_distinct("id").alias("distinct_ids"))
 
@@ -444,3 +445,17 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "n_messages", F.array_join(F.transform("all", lambda x: x.getField("said")), "\n").alias("transcript"))
 
 
+# --- whole documents ------------------------------------------------------------------------------------------------------
+
+#: Queries whose SQL lists rows of short contracts; ``whole_`` and the name is the same over every line of each document, without SQL.
+WHOLE = (
+    page_split, format_dispatch, numeric_sections, numeric_subsections, appendix_blocks, article_units, article_subunits,
+    roman_units, roman_subunits, fallback_units, semantic_units, chunk_projection, index_build_stats, document_metadata,
+)
+
+
+def _whole(query: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: query(spark, sf_dir, whole_contracts)
+
+
+QUERIES.update({f"whole_{query.__name__}": _whole(query) for query in WHOLE})
