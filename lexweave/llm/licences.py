@@ -1,8 +1,9 @@
 """Licence scans by sentence rules: normalised sentences map to identifiers of known licence sentences, and a
 document's identifier sequence is matched against ordered licence rules. DataFrame functions only, no shuffle.
 
-A text is cut twice, at line ends and sentence ends, and at sentence ends alone (for wrapped lines). A rule holds if
-its identifiers appear in its order in either sequence. A rule whose identifiers all lie inside a longer rule that
+A text is cut three times: at line ends and sentence ends, at sentence ends alone (for wrapped lines), and at paragraph
+ends, copyright lines and sentence ends (for wrapped standard texts below a title). A rule holds if its identifiers
+appear in its order in one of the sequences. A rule whose identifiers all lie inside a longer rule that
 holds as well is still reported, since both licences are named.
 
 Defined cases: a null or empty text has no sentence and no licence; a repeated sentence counts each time.
@@ -62,8 +63,10 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc",)), ("CC-BY-NC-4.0", ("cc-by-nc-long",)), ("CC-BY-ND-4.0", ("cc-by-nd",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)), ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)),
 )
-#: Every known sentence holds one of these; texts without any need no cutting.
-ANCHORS = ("licen", "public domain")
+#: Every known sentence holds one of these inside a word; texts without any, sentence signs aside, need no cutting.
+ANCHORS = ("licen", "public")
+#: Known sentences that go on after a blank line, by the words around it.
+GOES_ON = (("subject to the following conditions", "the above copyright notice"), ("obtain a copy of the license at", "http"))
 
 
 def normalise(sentence: str) -> str:
@@ -75,11 +78,23 @@ KNOWN = {normalise(s): k for k, s in SENTENCES.items()}
 assert len(KNOWN) == len(SENTENCES) and all(any(a in s.lower() for a in ANCHORS) for s in SENTENCES.values())
 
 
-def _identifiers(normal: Column, by_line: bool) -> Column:
-    if by_line:
-        marked = F.regexp_replace(normal, r"[.!?]* *\n|[.!?]+ ", "|")
-    else:
-        marked = F.regexp_replace(F.regexp_replace(normal, r" *\n[ \n]*", " "), r"[.!?]+ ", "|")
+def _lined(normal: Column) -> Column:
+    return F.regexp_replace(normal, r"[.!?]* *\n|[.!?]+ ", "|")
+
+
+def _wrapped(normal: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(normal, r" *\n[ \n]*", " "), r"[.!?]+ ", "|")
+
+
+def _paragraphs(normal: Column) -> Column:
+    marked = F.regexp_replace(normal, r"(?m)^ *copyright( c)? (\d{4}|yyyy|year)\b.*$", "\n\n")
+    marked = F.regexp_replace(marked, r"\n *\n[ \n]*", "|")
+    for before, after in GOES_ON:
+        marked = F.regexp_replace(marked, "(" + before.replace(" ", "[ \\n]+") + r")[ \n]*\|[ \n]*(" + after.replace(" ", "[ \\n]+") + ")", "$1 $2")
+    return F.regexp_replace(F.regexp_replace(marked, r" *\n *", " "), r"[.!?]+ ", "|")
+
+
+def _identifiers(marked: Column) -> Column:
     pieces = F.split(marked, r"\|")
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     return F.filter(F.transform(pieces, lambda p: F.try_element_at(known, F.trim(F.translate(p, ".!?", "")))), lambda x: x.isNotNull())
@@ -87,21 +102,21 @@ def _identifiers(normal: Column, by_line: bool) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_sentences (known ones), sentence_ids, licences and n_licences."""
-    near = reduce(lambda a, b: a | b, [F.lower("text").contains(a) for a in ANCHORS])
+    near = reduce(lambda a, b: a | b, [F.translate(F.lower("text"), ".!?", "").contains(a) for a in ANCHORS])
     normal = F.regexp_replace(F.lower(F.col("text")), r"[^a-z0-9.!?\n]+", " ")
     empty = F.array().cast("array<string>")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(near, normal).alias("normal"))
-    lined = F.when(F.col("normal").isNotNull(), _identifiers(F.col("normal"), True)).otherwise(empty)
-    wrapped = F.when(F.col("normal").isNotNull(), _identifiers(F.col("normal"), False)).otherwise(empty)
-    rows = rows.select("doc_id", lined.alias("lined"), wrapped.alias("wrapped"))
+    cuts = {"lined": _lined, "wrapped": _wrapped, "paragraphs": _paragraphs}
+    rows = rows.select("doc_id", *[F.when(F.col("normal").isNotNull(), _identifiers(cut(F.col("normal")))).otherwise(empty).alias(name) for name, cut in cuts.items()])
 
     def holds(ids: Column, rule: Column) -> Column:
         return F.aggregate(ids, F.lit(0), lambda at, x: F.when((at < F.size(rule)) & (F.get(rule, at) == x), at + 1).otherwise(at)) == F.size(rule)
 
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids")) for name, ids in RULES])
-    found = F.filter(rules, lambda r: holds(F.col("lined"), r.getField("ids")) | holds(F.col("wrapped"), r.getField("ids")))
-    licences = F.when((F.size("lined") > 0) | (F.size("wrapped") > 0), F.array_sort(F.array_distinct(F.transform(found, lambda r: r.getField("name"))))).otherwise(empty)
-    more = F.when(F.size("wrapped") > F.size("lined"), F.col("wrapped")).otherwise(F.col("lined"))
+    found = F.filter(rules, lambda r: reduce(lambda a, b: a | b, [holds(F.col(c), r.getField("ids")) for c in cuts]))
+    most = F.greatest(*[F.size(c) for c in cuts])
+    licences = F.when(most > 0, F.array_sort(F.array_distinct(F.transform(found, lambda r: r.getField("name"))))).otherwise(empty)
+    more = F.when(F.size("lined") == most, F.col("lined")).when(F.size("wrapped") == most, F.col("wrapped")).otherwise(F.col("paragraphs"))
     rows = rows.select("doc_id", more.alias("ids"), licences.alias("names"))
     return rows.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),

@@ -301,6 +301,54 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == odd.count() and licences.scan(odd.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+APACHE = """   Copyright 2020 The Authors
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """    A program
+    Copyright (C) 2020  Jane Doe
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+
+
+def test_wrapped_standard_texts(spark):
+    """Standard files, also as comments, with carriage returns, and without a blank line after the copyright line."""
+    full = {MIT: "MIT", APACHE: "Apache-2.0", GPL: "GPL-3.0-or-later", "A title\n\nThis is free and unencumbered software released into the public\ndomain.\n\nAnyone is free": "Unlicense"}
+    rows = [(t, name) for t, name in full.items()]
+    rows += [("".join(f"# {x}\n" for x in t.split("\n")), name) for t, name in full.items()] + [(t.replace("\n", "\r\n"), name) for t, name in full.items()]
+    rows += [(MIT.replace("Jane Doe\n\n", "Jane Doe\n"), "MIT"), (MIT.replace("notice shall", "notice may"), ""), (MIT + "\n" + APACHE, "Apache-2.0,MIT")]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(table).collect()} == {i: name for i, (_, name) in enumerate(rows)}
+
+
 def plain_licences(text):
     import re
 
