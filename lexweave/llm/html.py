@@ -3,8 +3,9 @@
 Every page scores its containers: the words of the blocks below them that are neither boilerplate nor mostly links. It
 votes for one generalised path of tags and classes (digits as ``#``): the semantic container (article, main) that
 holds half of the words or more, else the deepest container that holds nine tenths. Votes are summed per host in Spark; each
-page is then extracted again from the container at its host's winning path, or from its own choice if that path is
-missing or holds no text.
+page is then extracted again from all containers at its host's winning path, in page order, or from those at its own
+choice's path, if the winning path is missing, holds no prose, or holds less prose than a choice of another layout: one
+that does not enclose the winners, or a semantic one.
 
 Defined cases: a null or empty html has an empty text; a page without blocks has an empty text; a null url belongs to the
 empty host; ties between paths go to the deeper, then the lexically smaller one; repeated rows each count and stay.
@@ -181,17 +182,31 @@ class Page(HTMLParser):
             at = self.elements[at][0]
         return "/".join(reversed(labels))
 
-    def text(self, at: int) -> str:
-        """The blocks at or below an element (-1: of the whole page), in page order."""
+    def text(self, wanted: int | None) -> str:
+        """The blocks at or below the elements of a path (None: of the whole page), in page order."""
         inside = [False] * len(self.elements)
         for i, e in enumerate(self.elements):
-            inside[i] = i == at or e[0] >= 0 and inside[e[0]]
-        return "\n".join(t for i, t in self.blocks if at < 0 or i >= 0 and inside[i])
+            inside[i] = e[2] == wanted or e[0] >= 0 and inside[e[0]]
+        return "\n".join(t for i, t in self.blocks if wanted is None or i >= 0 and inside[i])
+
+    def encloses(self, at: int, wanted: int) -> bool:
+        """Whether all elements of the path lie below an element."""
+        below = [False] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            below[i] = e[0] >= 0 and (e[0] == at or below[e[0]])
+        return all(below[i] for i, e in enumerate(self.elements) if e[2] == wanted)
 
     def extract(self, wanted: int | None) -> str:
-        mass = self.masses()
-        fits = [i for i, e in enumerate(self.elements) if e[2] == wanted and mass[i]]
-        return self.text(max(fits, key=lambda i: (mass[i], -i)) if fits else self.choice())
+        """Elements of one path have one depth, so none lies in another. A choice that encloses the winners is narrowed by
+        its host's vote, unless the page itself marks it as its article."""
+        mass, at = self.masses(), self.choice()
+        if at < 0:
+            return self.text(None)
+        own = self.elements[at][2]
+        won = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == wanted)
+        chosen = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == own)
+        other = won < chosen and (self.elements[at][1] in SEMANTIC or not self.encloses(at, wanted))
+        return self.text(own if not won or other else wanted)
 
 
 def votes(pages: DataFrame) -> DataFrame:

@@ -48,6 +48,23 @@ def test_hosts_vote(spark):
     assert html.extract(pages).count() == len(rows) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_all_containers_of_the_path(spark):
+    """An article in several parts keeps them all, in page order; a page of another layout keeps its own article."""
+    parts = "".join(f"<div class='section-{i}'><p>%s</p></div>" for i in range(3))
+    page = "<html><body><div class='side'><p>unmarked words beside it</p></div><div class='text'>" + parts + "</div></body></html>"
+    same = html.Page("<body><article><p>one long part of it</p></article><p>x</p><article><p>and more</p></article></body>")
+    first = html.Page("<body><article><p>" + "word " * 50 + "</p></article></body>")
+    assert same.extract(first.elements[first.choice()][2]) == same.extract(None) == "one long part of it\nand more"
+    split = html.Page(page % ("first part", "the second part is longer", "third"))
+    wanted = next(e[2] for e in split.elements if e[3] == "div.section-#")
+    assert split.extract(wanted) == "first part\nthe second part is longer\nthird"
+    other = "<body><div class='old'><p>%s</p></div><div class='main-text'><p>few words</p></div></body>"
+    usual = "<body><div class='main-text'><p>%s</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", usual % ("long text " * 40)) for i in range(5)] + [(9, "http://a.org/9", other % ("its own article " * 20))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[9] == ("its own article " * 20).strip() and got[0] == ("long text " * 40).strip()
+
+
 def test_all_pages_equal_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
