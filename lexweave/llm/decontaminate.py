@@ -2,7 +2,7 @@
 
 A window is 13 consecutive item words; an item of fewer words (but not none) is one window. Every document
 window whose hash is in the set is verified by its word ids, so results are exact. Test sets beyond
-MAX_WINDOWS are scanned in blocks of that many windows; the blocks' hits are merged per document.
+MAX_WINDOWS are scanned in blocks of that many windows; the blocks' hits are merged per row, by a written row key.
 
 Defined cases: a null or empty text has no words, no hit and the hash of an empty item list; repeated items
 count each; an empty benchmark contaminates nothing; a null item_id or item text is ignored.
@@ -14,13 +14,14 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, slices
+from .common import keep_rows, materialise, slices
 
 WINDOW = 13
 #: Windows in one broadcast set (about 200 bytes each); larger test sets take several scans.
@@ -110,7 +111,9 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
 
 
-HITS = "doc_id bigint, n_words bigint, spans array<int>, items array<string>"
+#: Names a row where rows are scanned more than once; doc_ids can be null or repeated.
+ROW_KEY = "_decontamination_row"
+HITS = f"{ROW_KEY} bigint, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<int>"
 
 
@@ -128,22 +131,23 @@ def _report(ids: list, n_words: list, hits: list[tuple[list[int], list[str]]]) -
 
 
 def _scanner(shared, report: bool):
+    """Rows of doc_id and text to REPORT; rows of row key, doc_id and text to HITS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in slices(batches):
             hits, n = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = normal_words(text)
                 hit, items = windows.scan(words)
                 n.append(len(words))
                 hits.append((_spans(hit), sorted(items)))
-            ids = batch.column(0).to_pylist()
             if report:
-                yield _report(ids, n, hits)
+                yield _report(batch.column(0).to_pylist(), n, hits)
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([s for s, _ in hits], pa.list_(pa.int32())), pa.array([i for _, i in hits], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([s for s, _ in hits], pa.list_(pa.int32())), pa.array([i for _, i in hits], pa.list_(pa.string()))],
+                    names=[ROW_KEY, "doc_id", "n_words", "spans", "items"],
                 )
 
     return run
@@ -161,32 +165,42 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _report(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hits)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key each, written, so that every scan sees the same keys."""
+    return materialise(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "decontamination-rows")
+
+
+def _merged(keyed: DataFrame, blocks: Iterator[list]) -> DataFrame:
+    """ROW_KEY, doc_id, n_words, and the spans and items of all blocks, per row. Blocks after the first add rows with hits only."""
+    sc, hits = keyed.sparkSession.sparkContext, None
+    rows = keyed.select(ROW_KEY, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    for block in blocks:
+        part = rows.mapInArrow(_scanner(sc.broadcast(WindowSet.of(block)), False), HITS)
+        hits = part if hits is None else hits.unionAll(part.where(F.size("items") > 0))
+    return hits.groupBy(ROW_KEY).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, length: int = WINDOW) -> DataFrame:
-    """A row per document: its words, hit words, spans (word offsets) and items. One scan without a shuffle while
-    the test set fits one block; else a scan per block, merged by doc_id."""
-    sc, parts = docs.sparkSession.sparkContext, []
+    """A row per row of docs: its words, hit words, spans (word offsets) and items. One scan without a shuffle while
+    the test set fits one block; else a scan per block over the written rows, merged by row key."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocks = _blocks(benchmark_windows(benchmark, length), max_windows)
     block, after = next(blocks), next(blocks, None)
     if not after:
-        return docs.mapInArrow(_scanner(sc.broadcast(WindowSet.of(block)), True), REPORT)
-    while block is not None:
-        parts.append(docs.mapInArrow(_scanner(sc.broadcast(WindowSet.of(block)), False), HITS))
-        block, after = after, next(blocks, None)
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionAll(part)
-    merged = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return merged.mapInArrow(_merge, REPORT)
+        return docs.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(WindowSet.of(block)), True), REPORT)
+    return _merged(_keyed(docs), chain([block, after], blocks)).drop(ROW_KEY).mapInArrow(_merge, REPORT)
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, length: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. A test set of one block needs no shuffle."""
+    """The rows that are not contaminated, with all their columns. A test set of one block needs no shuffle."""
     blocks = _blocks(benchmark_windows(benchmark, length), max_windows)
     block, after = next(blocks), next(blocks, None)
     if after:
-        bad = contamination(docs, benchmark, max_windows, length).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        keyed = _keyed(docs)
+        # _merge names its first column doc_id: here it carries the row key
+        merged = _merged(keyed, chain([block, after], blocks)).select(F.col(ROW_KEY).alias("doc_id"), "n_words", "spans", "items")
+        bad = merged.mapInArrow(_merge, REPORT).where("contaminated").select(F.col("doc_id").alias(ROW_KEY))
+        return keyed.join(bad, ROW_KEY, "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet.of(block))
 
     def decide(texts: list) -> tuple[list, None]:

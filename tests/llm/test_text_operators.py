@@ -159,6 +159,23 @@ def test_contamination_odd(odd, empty, spark):
     assert decontaminate.keep_uncontaminated(odd, bench).columns == odd.columns
 
 
+@pytest.mark.parametrize("size", [decontaminate.MAX_WINDOWS, 3])
+def test_contamination_of_repeated_and_null_ids(spark, size):
+    """Rows that share a doc_id, or have none, are judged each by their own text, whatever the test set's size."""
+    item = " ".join(f"w{i}" for i in range(20))
+    clean, bad = "nothing of it here", f"so {item} it is"
+    rows = [(1, clean), (1, bad), (2, clean), (2, clean), (None, bad), (None, clean), (None, bad), (3, None)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id bigint, text string, key string")
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    name = lambda i, t: (i is not None, i or 0, t or "")
+    found = [((r.doc_id, r.n_words, r.n_hit), r.contaminated) for r in decontaminate.contamination(docs, bench, size).collect()]
+    expected = [((i, len((t or "").split()), 20 * (t == bad)), t == bad) for i, t in rows]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    kept = decontaminate.keep_uncontaminated(docs, bench, size)
+    assert kept.columns == docs.columns
+    assert sorted(name(r.doc_id, r.text) for r in kept.collect()) == sorted(name(i, t) for i, t in rows if t != bad)
+
+
 # --- near duplicates
 
 
