@@ -5,6 +5,10 @@ Features are hashed one- to three-letter runs of the lower-cased text (a gap bet
 square-rooted and scaled to length one. The classifiers are fitted on the driver on at most SAMPLE labelled
 documents of each of the MAX_LANGUAGES most frequent labels; a document contributes BUCKETS numbers whatever its length.
 
+The scores tell languages from each other, not language from junk, so the pipeline also asks how near a text is to the
+mean vector of its nearest label. Near texts of one length reach a floor that fit() sets on labelled documents left out of
+the means, cut to that length, and on junk made of the same letters in random order.
+
 Defined cases: a null text or one without letters is ``und`` with score 0; so is every text if nothing is
 labelled; with one label only, that label is predicted; a null doc_id is never learned from and not held out.
 """
@@ -27,6 +31,12 @@ SAMPLE = 400
 MAX_LANGUAGES = 64
 BUCKETS = 4096
 UNKNOWN = "und"
+#: Characters of the held-out beginnings that floors are set at, the fewest of them, how many spreads below their median is
+#: still a text (the spread is that of the middle half, so labelled junk doesn't lower it), and the share of junk to reject.
+LENGTHS = (25, 50, 100, 200, 400, 800, 1600, 3200)
+FEWEST = 20
+SPREADS = 4.0
+JUNK = 0.995
 #: Below this score (no evidence at either level) a document's language counts as not identified.
 MIN_SCORE = 0.25
 #: The family of a language code; any other label is a family of its own.
@@ -48,8 +58,8 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """The scaled feature vector, or None for a text without letters."""
+def counted(text: str | None) -> np.ndarray | None:
+    """How often each feature occurs, or None for a text without letters."""
     if not text:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -67,11 +77,20 @@ def features(text: str | None) -> np.ndarray | None:
     three = two[:-1] * np.uint32(0x27D4EB2F) + codes[2:] * np.uint32(0x165667B1)
     hashed = np.concatenate([one, two, three])
     hashed ^= hashed >> np.uint32(15)
-    counts = np.bincount((hashed * np.uint32(0x2C1B3C6D)) >> shift, minlength=BUCKETS)
+    return np.bincount((hashed * np.uint32(0x2C1B3C6D)) >> shift, minlength=BUCKETS)
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
     x = np.sqrt(counts.astype(np.float32))
     return x / np.float32(np.sqrt(counts.sum()))
 
 
+def features(text: str | None) -> np.ndarray | None:
+    """The scaled feature vector, or None for a text without letters."""
+    counts = counted(text)
+    return None if counts is None else _scaled(counts)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """L2-loss linear SVM by dual coordinate descent; y is +1 or -1. The classes weigh the same in all."""
     x = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float64)
@@ -94,6 +113,8 @@ class Model:
     family: tuple[np.ndarray, np.ndarray]
     pairs: list[list[tuple[int, int]]]
     within: list[tuple[np.ndarray, np.ndarray]]
+    means: np.ndarray | None = None  # a column of length one per label
+    floors: tuple[list[float], list[float]] = ((), ())  # logarithms of numbers of features, ascending, and the nearness wanted there
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str]) -> Model:
@@ -116,6 +137,41 @@ class Model:
             within.append(stack(fits))
         return cls(families, first, pairs, within)
 
+    def learn_floors(self, x: np.ndarray, labels: list[str], texts: list[str | None]) -> None:
+        """Every row with a text is left out of its label's mean; its beginnings and their shuffled letters set the floors."""
+        codes, out = np.array(labels), np.array([t is not None for t in texts])
+        means = []
+        for label in sorted(set(labels)):
+            own = codes == label
+            mean = x[own & ~out if (own & ~out).any() else own].mean(axis=0)
+            means.append(mean / np.linalg.norm(mean))
+        self.means, at, wanted, rnd = np.array(means, np.float32).T.copy(), [], [], np.random.default_rng(0)
+        for length in LENGTHS:
+            real = [t[:length] for t in texts if t is not None and len(t) >= length]
+            if len(real) < FEWEST:
+                continue
+            junk = ["".join(rnd.permutation(list(t)).tolist()) for t in real]
+            (n, near), (_, far) = (zip(*[g for g in map(self.nearness, part) if g], strict=True) for part in (real, junk))
+            at.append(float(np.median(n)))
+            low, middle, high = np.quantile(near, [0.25, 0.5, 0.75])
+            wanted.append(float(min(middle - SPREADS * (high - low) / 1.349, np.quantile(far, JUNK))))
+        self.floors = at, wanted
+
+    def nearness(self, text: str | None) -> tuple[float, float] | None:
+        """The logarithm of a text's number of features, and its nearness to the nearest label's mean."""
+        counts = counted(text)
+        return None if counts is None else (float(np.log(counts.sum())), float((_scaled(counts) @ self.means).max()))
+
+    def identified(self, text: str | None, min_score: float) -> bool:
+        """Whether a language is found with the score wanted and the text is as near to one as texts of its length are."""
+        label, score = self.predict(text)
+        if label == UNKNOWN or score < min_score:
+            return False
+        if not self.floors[0]:
+            return True
+        n, near = self.nearness(text)
+        return near >= float(np.interp(n, *self.floors))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         x = features(text) if self.families else None
         if x is None:
@@ -147,8 +203,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled documents outside the held-out third: the ``sample`` smallest by a hash of doc_id per label."""
+def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
+    """Learn from labelled documents outside the held-out third: the ``sample`` smallest by a hash of doc_id per label. For the
+    floors, a quarter of them comes with the beginning of its text."""
     learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = learn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
@@ -164,15 +221,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             got = [features(t) for t in batch.column(1).to_pylist()]
-            rows = [(i, label, x.tobytes()) for i, label, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), got, strict=True) if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "x"])
+            begins = [t[: LENGTHS[-1]] if t and floors and i % 4 == 0 else None for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(i, label, x.tobytes(), b) for i, label, x, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), got, begins, strict=True) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["doc_id", "lang", "x", "begin"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")
-    found = {r.doc_id: r for r in texts.mapInArrow(run, "doc_id bigint, lang string, x binary").collect()}
+    found = {r.doc_id: r for r in texts.mapInArrow(run, "doc_id bigint, lang string, x binary, begin string").collect()}
     rows = [found[k] for k in sorted(found)]
     if not rows:
         return Model([], (np.zeros((BUCKETS, 0)), np.zeros(0)), [], [])
-    return Model.fit(np.array([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows])
+    x, labels = np.array([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows]
+    model = Model.fit(x, labels)
+    if floors:
+        model.learn_floors(x, labels, [r.begin for r in rows])
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,15 +257,16 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is found with min_score or more, with all their columns. Where nothing is labelled
+    """The documents whose language is found with min_score or more and which reach the floor of their length, with all their
+    columns. Where nothing is labelled
     no language can be told: then only texts without letters go."""
-    model = fit(docs, sample)
+    model = fit(docs, sample, floors=True)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(texts: list) -> tuple[list, None]:
         own = shared.value
         if not own.families:
             return [any(map(str.isalpha, t or "")) for t in texts], None
-        return [label != UNKNOWN and score >= min_score for label, score in map(own.predict, texts)], None
+        return [own.identified(t, min_score) for t in texts], None
 
     return keep_rows(docs, decide)

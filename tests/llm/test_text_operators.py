@@ -292,6 +292,19 @@ def test_language_odd(odd, empty, spark):
     assert {r.doc_id for r in langid.keep_identified(unlabelled).collect()} == {5, 6, 7, 8, 9, None}
 
 
+def test_letter_junk_is_rejected(spark, documents):
+    """Random letters and endless words go whatever the duels between languages say; labelled texts held out stay."""
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rnd.choice(letters + "    ") for _ in range(n)) for n in (200, 500, 2000, 8000) for _ in range(5)] + ["x" * 2000, "zq " * 900]
+    good = quality.keep_good(documents)
+    added = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in langid.keep_identified(good.select(*added.columns).unionByName(added)).collect()}
+    assert not [i for i in kept if i >= 10**9]
+    held = [r.doc_id for r in good.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()]
+    assert len(kept & set(held)) >= 0.98 * len(held)
+
+
 # --- language model, licences, pipeline
 
 
