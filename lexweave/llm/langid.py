@@ -3,7 +3,7 @@ between the languages of the family that wins.
 
 Features are hashed one- to three-letter runs of the lower-cased text (a gap between words counts as one letter),
 square-rooted and scaled to length one. The classifiers are fitted on the driver on at most SAMPLE labelled
-documents of each of the MAX_LANGUAGES most frequent labels; a document contributes BUCKETS numbers whatever its length.
+documents of each label, whatever the number of labels; a document contributes BUCKETS numbers whatever its length.
 
 The scores tell languages from each other, not language from junk, so the pipeline also asks how near a text is to the
 mean vector of its nearest label. Near texts of one length reach a floor that fit() sets on labelled documents left out of
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import keep_rows, slices
 
 SAMPLE = 400
-MAX_LANGUAGES = 64
 BUCKETS = 4096
 UNKNOWN = "und"
 #: Characters of the held-out beginnings that floors are set at, the fewest of them, how many spreads below their median is
@@ -208,15 +207,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
     floors, a quarter of them comes with the beginning of its text."""
     learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = learn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = ids.groupBy("lang").count().collect()
     if not counts:
         return Model([], (np.zeros((BUCKETS, 0)), np.zeros(0)), [], [])
-    wanted = F.lit(False)
-    for row in counts:  # about twice as many as wanted, so that the rank below sees few rows
-        bound = 1 << 40 if row["count"] <= 4 * sample else int((1 << 40) * (2.0 * sample / row["count"]))
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (F.col("h") < bound))
+    # about twice as many as wanted, so that the rank below sees few rows; a label without a bound is taken whole
+    bounds = [(row["lang"], int((1 << 40) * (2.0 * sample / row["count"]))) for row in counts if row["count"] > 4 * sample]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
+    wanted = F.col("h") < F.coalesce("bound", F.lit(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.where(wanted).dropDuplicates(["doc_id"]).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
+    chosen = ids.join(bounds, "lang", "left").where(wanted).dropDuplicates(["doc_id"]).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):

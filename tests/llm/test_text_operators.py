@@ -292,6 +292,15 @@ def test_language_odd(odd, empty, spark):
     assert {r.doc_id for r in langid.keep_identified(unlabelled).collect()} == {5, 6, 7, 8, 9, None}
 
 
+def test_every_label_is_learned(spark):
+    rnd, n = random.Random(2), 70
+    words = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for _ in range(n)]
+    rows = [(d * n + k, " ".join(rnd.choice(words[k]) for _ in range(12)), f"x{k}") for d in range(6) for k in range(n)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert sorted(x for f in model.families for x in f) == sorted(f"x{k}" for k in range(n))
+    assert {model.predict(" ".join(words[k] * 3))[0] for k in range(n)} == {f"x{k}" for k in range(n)}
+
+
 def test_letter_junk_is_rejected(spark, documents):
     """Random letters and endless words go whatever the duels between languages say; labelled texts held out stay."""
     rnd = random.Random(4)
