@@ -16,10 +16,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.2
-#: Tokens in a rule at most: longer ones repeat what their parts say.
+#: A rule of more tokens is kept only if it says more than every rule inside it.
 MAX_TOKENS = 4
 #: Fixed values of the contract: (host, path, verdict).
 HOST_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -71,8 +73,21 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     baskets = judged(pages).join(label, "page_id").select(F.concat("tokens", F.array(F.when(F.col("bad") == 1, "=block").otherwise("=allow"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("=") & (F.col("lift") >= min_lift))
-    rules = rules.where(F.size("antecedent") <= MAX_TOKENS).where(~F.exists("antecedent", lambda x: x.startswith("=")))
-    return rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "support")
+    rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("=")))
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "support")
+    rules = materialise(rules, "url-rules")
+    return rules.where(F.size("antecedent") <= MAX_TOKENS).unionAll(_telling(rules))
+
+
+def _telling(rules: DataFrame) -> DataFrame:
+    """The rules of more than MAX_TOKENS tokens whose confidence no rule inside them reaches. A page that such a rule fits is
+    fitted by the rules inside it too, so those left out would change no verdict."""
+    long = rules.where(F.size("antecedent") > MAX_TOKENS)
+    inner = rules.select(F.element_at("antecedent", 1).alias("token"), F.col("antecedent").alias("part"), F.col("verdict").alias("says"), F.col("confidence").alias("sure"))
+    met = long.withColumn("token", F.explode("antecedent")).join(inner, "token")
+    inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
+    said = met.where(inside & (F.col("verdict") == F.col("says")) & (F.col("sure") >= F.col("confidence"))).select("antecedent", "verdict").distinct()
+    return long.join(said, ["antecedent", "verdict"], "left_anti").select(rules.columns)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, **pruning: float) -> DataFrame:

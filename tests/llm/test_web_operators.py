@@ -2,6 +2,8 @@ import html as entities
 import json
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,25 @@ def test_mined_rules_equal_counting(spark):
     assert all((r.verdict == "block") == ("pills" in r.host or "spam" in r.host) for r in judged)
 
 
+def test_long_rules_decide(spark):
+    """Every verdict by counting all token sets of a page, where only five path segments together tell a bad page."""
+    rnd = random.Random(5)
+    sets = [s for s in ("abcde", "bcde", "acde", "abde", "abce", "abcd") for _ in range(20)] + ["".join(rnd.sample("abcdef", 4)) for _ in range(30)]
+    rows = [(i, "http://h.net/" + "/".join(s), s == "abcde") for i, s in enumerate(sets)]
+    table = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    marks = spark.createDataFrame([(i, 1 - bad, 0) for i, _, bad in rows], "doc_id long, quality int, toxic int")
+    tokens = {r.page_id: sorted(r.tokens) for r in urls.judged(table).collect()}
+    parts = {i: [c for n in range(1, len(t) + 1) for c in combinations(t, n)] for i, t in tokens.items()}
+    count, marked = Counter(c for p in parts.values() for c in p), Counter((c, "block" if bad else "allow") for i, _, bad in rows for c in parts[i])
+    share = Counter("block" if bad else "allow" for _, _, bad in rows)
+    rules = {(c, v): (k / count[c], k) for (c, v), k in marked.items() if k >= urls.MIN_SUPPORT * len(rows) and k / count[c] >= urls.MIN_CONFIDENCE and k / count[c] * len(rows) / share[v] >= urls.MIN_LIFT}
+    found = {r.page_id: r.verdict for r in urls.filter_urls(table, marks).collect()}
+    for i, p in parts.items():
+        fits = [(*rules[c, v], v) for c in p for v in share if (c, v) in rules]
+        assert found[i] == (max(fits)[2] if fits else "allow"), rows[i]
+    assert [found[i] for i, _, bad in rows if bad] == ["block"] * 20
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id int, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
