@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata, normalize, sparse
 from ..operators import chunk, retrieval, segment
 from ..sources import index
+from ..sources.shared import spread, table
 from .fixtures import contracts, rows_sql, whole_contracts
 from .fixtures import SQL as CONTRACTS
 
@@ -29,12 +30,8 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _contracts(spark: SparkSession, sf_dir: str, made: Maker = contracts) -> DataFrame:
@@ -65,7 +62,7 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = sparse.postings(_table(spark, sf_dir, "benchmark"), "item_id")
+    asked = sparse.postings(table(spark, sf_dir, "benchmark"), "item_id")
     return retrieval.sparse_top_k(asked, _postings(spark, sf_dir), _weights(spark, sf_dir))
 
 
@@ -115,13 +112,13 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def _dense_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By convention the query vector of a benchmark item is the vector of the same id; the vectors carry no meaning."""
     vectors = _vectors(spark, sf_dir)
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return retrieval.dense_top_k(vectors.join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "vector"), vectors)
 
 
@@ -149,7 +146,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,14 +431,14 @@ def index_build_stats(spark: SparkSession, sf_dir: str, made: Maker = contracts)
 @registered("SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value, max(event_id) AS ingest_seq FROM events GROUP BY user_id")
 def index_upsert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upserts of the same id: the last one stays."""
-    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", F.round("value", 6).alias("value"), F.col("event_id").alias("ingest_seq"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.round("value", 6).alias("value"), F.col("event_id").alias("ingest_seq"))
     return index.latest(rows, "user_id").select("user_id", "event_type", "value", "ingest_seq")
 
 
 @registered("SELECT conv_id, count(*)::BIGINT AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat("role", F.lit(": "), "text")
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("all"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("all"))
     return rows.select("conv_id", "n_messages", F.array_join(F.transform("all", lambda x: x.getField("said")), "\n").alias("transcript"))
 
 

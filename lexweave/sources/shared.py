@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files under which a table may be a single row group, which one core reads alone.
+SMALL_TABLE = 24 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -26,3 +28,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a written table that no later result reads."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, small: int = SMALL_TABLE) -> DataFrame:
+    """A small table dealt over all cores, rows as they are; a larger one, which has row groups enough, untouched. Only the
+    layout differs, so that work on each row does not wait for the one core that read a single row group."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
