@@ -8,43 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontaminate, html, langid, licences, lm, oracle, quality, simhash, urls
-from .common import table
+from .common import spread, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.filter_urls(spread(table(spark, sf_dir, "pages")), table(spark, sf_dir, "labels"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
 def op7_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    return licences.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
