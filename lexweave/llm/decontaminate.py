@@ -4,8 +4,11 @@ A window is 13 consecutive item words; an item of fewer words (but not none) is
 window whose hash is in the set is verified by its word ids, so results are exact. Test sets beyond
 MAX_WINDOWS are scanned in blocks of that many windows; the blocks' hits are merged per row, by a written row key.
 
-Defined cases: a null or empty text has no words, no hit and the hash of an empty item list; repeated items
-count each; an empty benchmark contaminates nothing; a null item_id or item text is ignored.
+Defined cases: a null or empty text has no words, no hit and the hash of an empty item list; a very long text is scanned
+whole, a text at a time; repeated rows are judged each; null and repeated doc_ids are rows like any other; an item_id on
+several rows is one item with the windows of all; an item without an item_id marks words, but is not listed; an item
+without a text or word marks nothing; exactly one word in twenty is contaminated; empty documents give no row and an empty
+benchmark contaminates nothing; further columns of any name are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,7 @@ class WindowSet:
     by_length: dict[int, tuple[np.ndarray, dict[bytes, list[str]]]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, windows: list[tuple[str, tuple[bytes, ...]]]) -> WindowSet:
+    def of(cls, windows: list[tuple[str | None, tuple[bytes, ...]]]) -> WindowSet:
         out, exact = cls(), defaultdict(lambda: defaultdict(set))
         for item, words in windows:
             ids = np.array([out.vocabulary.setdefault(w, len(out.vocabulary) + 1) for w in words], np.uint64)
@@ -63,7 +66,7 @@ class WindowSet:
         for length, seen in exact.items():
             flags = np.zeros(1 << 20, bool)
             flags[(np.concatenate([rolling(np.frombuffer(k, np.uint64), length) for k in seen]) >> np.uint64(44)).astype(np.int64)] = True
-            out.by_length[length] = flags, {k: sorted(v) for k, v in seen.items()}
+            out.by_length[length] = flags, {k: sorted(v - {None}) for k, v in seen.items()}
         return out
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -82,28 +85,26 @@ class WindowSet:
                 continue
             places = np.flatnonzero(clean & flags[(rolling(ids, length) >> np.uint64(44)).astype(np.int64)])
             for at in places.tolist():
-                if found := exact.get(ids[at : at + length].tobytes()):
+                found = exact.get(ids[at : at + length].tobytes())
+                if found is not None:
                     hit[at : at + length] = True
                     items.update(found)
         return hit, items
 
 
-def benchmark_windows(benchmark: DataFrame, length: int = WINDOW) -> Iterator[tuple[str, tuple[bytes, ...]]]:
+def benchmark_windows(benchmark: DataFrame, length: int = WINDOW) -> Iterator[tuple[str | None, tuple[bytes, ...]]]:
     """Every window of every item, streamed to the driver partition by partition."""
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").toLocalIterator():
         words = normal_words(row.text)
         for at in range(max(1, len(words) - length + 1) if words else 0):
             yield row.item, tuple(words[at : at + length])
 
 
 def _blocks(windows: Iterator, size: int) -> Iterator[list]:
-    block: list = []
-    for w in windows:
-        block.append(w)
-        if len(block) == size:
-            yield block
-            block = []
-    yield block
+    """Lists of at most ``size`` windows; one empty list if there is none."""
+    yield list(islice(windows, size))
+    while block := list(islice(windows, size)):
+        yield block
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -176,7 +177,7 @@ def _merged(keyed: DataFrame, blocks: Iterator[list]) -> DataFrame:
     rows = keyed.select(ROW_KEY, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     for block in blocks:
         part = rows.mapInArrow(_scanner(sc.broadcast(WindowSet.of(block)), False), HITS)
-        hits = part if hits is None else hits.unionAll(part.where(F.size("items") > 0))
+        hits = part if hits is None else hits.unionAll(part.where(F.size("spans") > 0))
     return hits.groupBy(ROW_KEY).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
 
 

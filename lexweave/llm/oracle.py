@@ -41,12 +41,12 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NO
 _NORMAL = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_words(_LOWER.format(_TEXT), _NORMAL)} AS l FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, {_words(_LOWER.format('text'), _NORMAL)} AS l FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item, {_words(_LOWER.format('text'), _NORMAL)} AS l FROM benchmark WHERE text IS NOT NULL),
 bw AS (SELECT DISTINCT item, size, array_to_string(l[i:i + size - 1], ' ') AS w FROM (SELECT *, least(len(l), 13) AS size, unnest(range(1, greatest(len(l) - 12, 1) + 1)) AS i FROM b WHERE len(l) > 0)),
 dw AS (SELECT doc_id, size, i, array_to_string(l[i:i + size - 1], ' ') AS w FROM (SELECT doc_id, l, size, unnest(range(1, len(l) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(l) >= size)),
 h AS (SELECT doc_id, i, size, item FROM dw JOIN bw USING (size, w)),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
