@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release
 
-#: Rounds before giving up; each at least halves the longest path, so this is beyond any real table.
-MAX_ROUNDS = 60
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,11 +24,12 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (u, v); component is the smallest node reachable.
 
-    Alternating large and small stars; each round is written to the shared folder. A node without a link to a
+    Alternating large and small stars until nothing changes, which every table of links reaches; each round is written to the
+    shared folder. A node without a link to a
     smaller or larger one does not appear. An empty table gives an empty table."""
     e = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = materialise(e, "links"), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -38,4 +37,3 @@ def components(links: DataFrame) -> DataFrame:
         after = materialise(_small_star(_large_star(e)), "links")
         release(e)
         e, before = after, state
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -8,7 +8,9 @@ share a key. Fingerprints of a key are compared, and only a spanning forest of t
 group of n gives n - 1 links at most. Keys with more fingerprints than GROUP are dealt out as pairs of blocks.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer than four words are one
-shingle; equal fingerprints are one node; repeated rows stay; a null doc_id never names a component.
+shingle; a very long text is hashed whole; equal fingerprints are one node; repeated rows stay; a row with a null doc_id links
+others like any row but never names a component, so a component of such rows alone has a null component_id; an empty table
+gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def _linker(group: int, max_bits: int):
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
     """Links (u, v) between the roots of distinct fingerprints (fp, root) that connect all within max_bits (4 at most)."""
-    keyed = distinct.where("root is not null").select("fp", "root").mapInArrow(_emit_keys, "key bigint, fp bigint, root bigint")
+    keyed = distinct.select("fp", "root").mapInArrow(_emit_keys, "key bigint, fp bigint, root bigint")
     found = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(group, max_bits), _PAIRS), "simhash-pairs")
     rest = found.where("deferred").select("key", F.col("v").alias("fp"), F.col("u").alias("root"))
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("n"))
@@ -196,11 +198,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) ->
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    """A row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable). Fingerprints are
+    the nodes, whoever owns them; a component is named after its owners at the end."""
     prints = materialise(fingerprints(docs), "simhash-prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("root")), "simhash-distinct")
-    member = components(links(distinct))
-    labelled = distinct.join(member, distinct.root == member.node, "left").select("fp", F.coalesce("component", "root").alias("component_id"))
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    member = components(links(distinct.select("fp", F.col("fp").alias("root"))))
+    linked = materialise(member.join(distinct, member.node == distinct.fp).select("fp", "component", "least"), "simhash-linked")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(named, "component").select(F.col("fp").alias("node"), "component_id", F.lit(True).alias("found"))
+    labelled = distinct.join(named, distinct.fp == named.node, "left").select("fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
