@@ -10,7 +10,10 @@ mean vector of its nearest label. Near texts of one length reach a floor that fi
 the means, cut to that length, and on junk made of the same letters in random order.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is every text if nothing is
-labelled; with one label only, that label is predicted; a null doc_id is never learned from and not held out.
+labelled; with one label only, that label is predicted; a very long text is read whole; a null doc_id is never learned from
+and not held out; of the rows that share a doc_id one is learned from, the smallest by label and features, and all are
+predicted; equal votes of the duels go to the larger margins, then to the label first in the alphabet; an empty table gives
+no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import keep_rows, slices
 
 SAMPLE = 400
+#: Rows that the driver learns from in all (4096 numbers in single precision each): many labels share them evenly.
+SAMPLE_ROWS = 24_000
 BUCKETS = 4096
 UNKNOWN = "und"
 #: Characters of the held-out beginnings that floors are set at, the fewest of them, how many spreads below their median is
@@ -92,18 +97,20 @@ def features(text: str | None) -> np.ndarray | None:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """L2-loss linear SVM by dual coordinate descent; y is +1 or -1. The classes weigh the same in all."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    slack, norms = 0.5 / (c * weight), (x * x).sum(axis=1)
-    alpha, w, order = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(0)
+    slack, norms = 0.5 / (c * weight), np.array([float(r @ r) for r in x.astype(np.float32, copy=False)]) + 1
+    alpha, w, bias, order = np.zeros(len(x)), np.zeros(x.shape[1]), 0.0, np.random.default_rng(0)
     for _ in range(rounds):
         for i in order.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1 + alpha[i] * slack[i]
+            row = x[i].astype(np.float64)  # a row at a time, so that no second matrix is held
+            g = y[i] * (w @ row + bias) - 1 + alpha[i] * slack[i]
             new = max(0.0, alpha[i] - g / (norms[i] + slack[i]))
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * row
+                bias += step
                 alpha[i] = new
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 @dataclass
@@ -203,19 +210,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
-    """Learn from labelled documents outside the held-out third: the ``sample`` smallest by a hash of doc_id per label. For the
-    floors, a quarter of them comes with the beginning of its text."""
+    """Learn from labelled documents outside the held-out third: the ``sample`` smallest by a hash of doc_id per label, fewer if
+    the labels would have more than SAMPLE_ROWS in all. For the floors, a quarter of them comes with the beginning of its text."""
     learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = learn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     counts = ids.groupBy("lang").count().collect()
     if not counts:
         return Model([], (np.zeros((BUCKETS, 0)), np.zeros(0)), [], [])
+    sample = max(1, min(sample, SAMPLE_ROWS // len(counts)))
     # about twice as many as wanted, so that the rank below sees few rows; a label without a bound is taken whole
     bounds = [(row["lang"], int((1 << 40) * (2.0 * sample / row["count"]))) for row in counts if row["count"] > 4 * sample]
     bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
     wanted = F.col("h") < F.coalesce("bound", F.lit(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.join(bounds, "lang", "left").where(wanted).dropDuplicates(["doc_id"]).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
+    single = ids.join(bounds, "lang", "left").where(wanted).groupBy("doc_id", "h").agg(F.min("lang").alias("lang"))
+    chosen = single.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -224,9 +233,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
             rows = [(i, label, x.tobytes(), b) for i, label, x, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), got, begins, strict=True) if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["doc_id", "lang", "x", "begin"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")
-    found = {r.doc_id: r for r in texts.mapInArrow(run, "doc_id bigint, lang string, x binary, begin string").collect()}
-    rows = [found[k] for k in sorted(found)]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    read = texts.mapInArrow(run, "doc_id bigint, lang string, x binary, begin string")
+    read = read.groupBy("doc_id").agg(F.min(F.struct("lang", "x", "begin")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(read.collect(), key=lambda r: r.doc_id)
     if not rows:
         return Model([], (np.zeros((BUCKETS, 0)), np.zeros(0)), [], [])
     x, labels = np.array([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows]
@@ -257,8 +267,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is found with min_score or more and which reach the floor of their length, with all their
-    columns. Where nothing is labelled
-    no language can be told: then only texts without letters go."""
+    columns. Where
+    nothing is labelled no language can be told: then only texts without letters go."""
     model = fit(docs, sample, floors=True)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
