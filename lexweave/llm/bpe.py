@@ -4,7 +4,9 @@ Symbols of many words lie in one flat array. A round looks up every neighbouring
 the sorted pair keys, takes each word's lowest rank, joins all its places at once, and drops finished words.
 
 Defined cases: a null text is empty; an empty text has no token, the ids hash of the empty string and an
-empty decoded text; special-token strings in a text become their ids, as in the tokenizers library.
+empty decoded text; special-token strings in a text become their ids, as in the tokenizers library; pairs of one rank
+are joined from the left; a very long text is encoded whole; repeated rows and null doc_ids stay rows of their own; an empty
+table gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Distinct chunks whose encoding a worker remembers; only speed depends on it.
-CACHE_CHUNKS = 250_000
+#: Characters of the encodings that a worker remembers, of chunks up to CACHE_CHUNK characters; and of the chunks encoded at
+#: once. Only speed and memory depend on them.
+CACHE_CHARS = 40_000_000
+CACHE_CHUNK = 200
+BATCH_CHARS = 400_000
 _NONE = np.iinfo(np.int64).max
 _SPACES = "\t\n\v\f\r\x85\x20\xa0  -     　"
 #: Words of more symbols are joined one pair at a time from a heap: rounds would be as many as their pair kinds.
@@ -221,10 +226,29 @@ def load(spec: str) -> WordBpe:
     return WordBpe(json.loads(spec))
 
 
+class Memory(dict):
+    """Encodings by chunk, and the characters that they hold."""
+
+    chars = 0
+
+
 @lru_cache(maxsize=2)
-def remembered(spec: str, digest: bool) -> dict[str, tuple]:
+def remembered(spec: str, digest: bool) -> Memory:
     """A worker's encodings so far: later tasks of the same worker find them."""
-    return {}
+    return Memory()
+
+
+def _portions(chunks: list[str]) -> Iterator[list[str]]:
+    """The chunks in lists of about BATCH_CHARS characters."""
+    out, size = [], 0
+    for chunk in chunks:
+        out.append(chunk)
+        size += len(chunk)
+        if size >= BATCH_CHARS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
@@ -243,19 +267,20 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, digest: bool = False)
         token = bpe.token
         for batch in slices(batches):
             split = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
-            seen = set().union(*split)
-            new = seen - cache.keys()
-            if len(cache) + len(new) > CACHE_CHUNKS:
+            if cache.chars > CACHE_CHARS:
                 cache.clear()
-                new = seen
-            new = list(new)
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
+                cache.chars = 0
+            seen = set().union(*split)
+            own = {c: cache[c] for c in seen & cache.keys()}
+            for part in _portions(list(seen - own.keys())):
                 for chunk, ids in zip(part, bpe.encode_chunks(part), strict=True):
-                    cache[chunk] = (len(ids), " ".join(map(str, ids)) if digest else ids, " ".join([token[i] for i in ids]))
+                    made = own[chunk] = (len(ids), " ".join(map(str, ids)) if digest else ids, " ".join([token[i] for i in ids]))
+                    if len(chunk) <= CACHE_CHUNK:
+                        cache[chunk] = made
+                        cache.chars += 2 * len(chunk) + 8 * len(ids)
             n, left, right = [], [], []
             for chunks in split:
-                got = [cache[c] for c in chunks]
+                got = [own[c] for c in chunks]
                 n.append(sum([g[0] for g in got]))
                 text = " ".join([g[2] for g in got if g[0]])
                 if digest:

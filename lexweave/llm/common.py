@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..sources.shared import release, shared_dir, spread, table
 from ..sources.shared import written as materialise
 
 __all__ = ["keep_rows", "materialise", "release", "shared_dir", "slices", "spread", "table", "words_of"]
-#: Rows that a worker turns into Python objects at once.
+#: Rows, and bytes of text, that a worker turns into Python objects at once; a longer text comes alone.
 SLICE_ROWS = 256
+SLICE_BYTES = 16 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for column in texts:
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+            end = max(start + 1, min(start + rows, fits))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def keep_rows(docs: DataFrame, decide: Callable[[list], tuple[list, list | None]]) -> DataFrame:

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lexweave.llm import bpe, decontaminate, golay, langid, licences, lm, quality, simhash
+from lexweave.llm.common import slices
 from lexweave.llm.components import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +56,21 @@ def test_bpe_long_word_by_either_way(both):
     assert both[1].merge([word])[0] == both[1].merge_long(word)
 
 
+def test_bpe_with_little_memory(both, spark, monkeypatch):
+    """Chunks over the cache's size, a full cache and portions of a few characters give the same ids."""
+    for name, value in (("CACHE_CHARS", 50), ("CACHE_CHUNK", 4), ("BATCH_CHARS", 10)):
+        monkeypatch.setattr(bpe, name, value)
+    cut = list(bpe._portions(["abc", "defghij", "k" * 30, "l"]))
+    assert [x for part in cut for x in part] == ["abc", "defghij", "k" * 30, "l"] and len(cut) == 3
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["a" * n if n else None for n in (5, 0, 40, 3, 3, 3, 3)]), pa.array(range(7))], names=["t", "i"])
+    assert [b.num_rows for b in slices(iter([batch, batch.slice(0, 0)]), 3, 10)] == [2, 1, 3, 1]
+
+
 def test_bpe_documents(spark, odd, empty):
     library = Tokenizer.from_file(PATH)
     rows = odd.select("doc_id", "text").collect()
@@ -176,6 +192,18 @@ def test_contamination_of_repeated_and_null_ids(spark, size):
     assert sorted(name(r.doc_id, r.text) for r in kept.collect()) == sorted(name(i, t) for i, t in rows if t != bad)
 
 
+def test_items_without_an_id_mark_words(spark):
+    """Their words are hit, but no item is named; the number of windows in a block changes nothing."""
+    leak = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(None, leak), (4, "x1 x2"), (4, "x3 x4"), (5, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a " + leak), (2, "x1 x2 and x3 x4"), (3, "clean"), (None, leak)], "doc_id bigint, text string")
+    for size in (500_000, 5, 2, 1):
+        got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, bench, size).collect())
+        assert got == [(0, 15, 15, 0, True), (1, 16, 15, 0, True), (2, 5, 4, 1, True), (3, 1, 0, 0, False)], size
+        assert [r.doc_id for r in decontaminate.keep_uncontaminated(docs, bench, size).collect()] == [3]
+    assert [len(b) for b in decontaminate._blocks(iter(range(6)), 3)] == [3, 3] and list(decontaminate._blocks(iter(()), 3)) == [[]]
+
+
 # --- near duplicates
 
 
@@ -277,6 +305,16 @@ def test_near_duplicates_odd(odd, empty):
     assert kept.count(5) == 1 and 6 not in kept and None in kept
 
 
+def test_links_through_rows_without_an_id(spark, monkeypatch):
+    """A chain of three fingerprints whose middle one belongs to a null doc_id is one component; null rows alone have none."""
+    prints = [(7, 0x00), (None, 0x0F), (9, 0xFF), (None, 0x3FF << 40), (None, 0x1FF << 40), (3, 0x7F << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    got = simhash.near_duplicates(spark.createDataFrame(prints, "doc_id bigint, fp bigint")).collect()
+    assert {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in got} == {
+        (7, 0): 7, (None, 0x0F): 7, (9, 0xFF): 7, (None, 0x3FF << 40): None, (None, 0x1FF << 40): None, (3, 0x7F << 20): 3,
+    }
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 200)], "u bigint, v bigint")
     found = {r.node: r.component for r in components(edges).collect()}
@@ -311,6 +349,14 @@ def test_every_label_is_learned(spark):
     assert {model.predict(" ".join(words[k] * 3))[0] for k in range(n)} == {f"x{k}" for k in range(n)}
 
 
+def test_repeated_ids_are_learned_alike(spark, documents):
+    """Rows under one doc_id: the same one is learned from, in whatever order they come."""
+    rows = [(i % 30, t, lang) for i, (t, lang) in enumerate((r.text, r.lang) for r in documents.where("lang is not null").limit(90).collect())]
+    schema = "doc_id bigint, text string, lang string"
+    models = [langid.fit(spark.createDataFrame(given, schema).repartition(n)) for given, n in ((rows, 1), (rows[::-1], 3))]
+    assert models[0].families == models[1].families and (models[0].family[0] == models[1].family[0]).all()
+
+
 def test_letter_junk_is_rejected(spark, documents):
     """Random letters and endless words go whatever the duels between languages say; labelled texts held out stay."""
     rnd = random.Random(4)
