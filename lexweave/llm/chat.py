@@ -1,18 +1,22 @@
 """Chat formatting with tool-call linking. DataFrame functions only.
 
-Messages are rows (conv_id, turn, role, text). Text that is a JSON object may carry ``tool_calls`` (a list of objects
-with id, name and arguments), ``tool_call_id`` (a result) or ``tools`` (a list of objects with name and parameters:
-required, and properties with a type each); any other text is plain content.
-
-Calls and results are hash-joined by (conv_id, identifier). Each message gets the topological sort key (anchor_turn,
-is_result, turn): a result stands right after the message that holds its call, wherever it came. A call's
-arguments are checked against the schema that its conversation declares. Messages stay one row each, so that a
-conversation of any length is never gathered into one task.
-
-Defined cases: a null text is empty content; a null role is ``unknown``; invalid JSON is plain content; of repeated call
-identifiers the earliest turn's is linked to; a result without a call is ``orphan`` and stays where it was; a call
-without a result is ``pending``; a tool without a schema validates as null; repeated messages stay repeated; of several
-schemas for a tool the earliest turn's holds; null conv_id or turn link to nothing.
+Messages are rows (conv_id, turn, role, text). A text that is a JSON object with one of the keys ``content``, ``tool_calls``,
+``tool_call_id`` and ``tools`` is a message body; any other text is plain content. ``tool_calls`` lists objects with id, name
+and arguments, or with id and a ``function`` of name and arguments (also as a JSON string); ``tool_call_id`` marks the result of a
+call; ``tools`` lists objects (or their ``function``) with name and parameters, a JSON schema.
+
+Calls and results are hash-joined by (conv_id, identifier). A result comes after the message that holds its call, which may be
+a result itself: a message's anchor is the turn of the first message of its chain, its depth the number of calls between, and
+(anchor_turn, depth, turn) is a topological order. Chains are followed by doubling, in joins. Arguments are checked against the
+schema that the conversation declares: type (or types), enum, required, properties and items, LEVELS deep. Messages stay one row
+each, so that a conversation of any length is never gathered into one task.
+
+Defined cases: a null text is empty content; a null role is ``unknown``; invalid JSON is plain content; very long texts are read
+whole; a body keeps all its keys, its own role and turn as ``_role`` and ``_turn``; of repeated call identifiers the one of the
+earliest turn is linked to, then the smaller hash; a result without a call is ``orphan`` and stays where it was; so does a
+result whose chain of calls runs in a circle (``cyclic``); a call without a result is ``pending``; a tool without a schema validates
+as null; repeated messages stay repeated and link alike; of several schemas for a tool the earliest turn's holds; null conv_id
+or turn link to nothing; an empty table gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -20,79 +24,172 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+#: Levels of nested schemas that are checked.
+LEVELS = 3
 #: The variant type names that satisfy a schema type.
 TYPES = {
     "string": "^STRING$", "integer": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\\(\\d+,0\\))$", "boolean": "^BOOLEAN$", "null": "^VOID$",
     "number": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$", "array": "^ARRAY.*", "object": "^OBJECT.*",
 }
+BODY_KEYS = ("content", "tool_calls", "tool_call_id", "tools")
+_FIELDS, _LIST = "map<string,variant>", "array<variant>"
+_CALLS = "array<struct<id:string,name:string,arguments:string>>"
+_TOOLS = "array<struct<name:string,schema:string>>"
+
 
+def _get(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
 
-def _get(column: str, path: str, kind: str) -> Column:
-    return F.try_variant_get(F.col(column), path, kind)
 
+def _or_empty(value: Column, kind: str) -> Column:
+    return F.coalesce(value, (F.create_map() if kind.startswith("map") else F.array()).cast(kind))
 
-def _valid(call: Column, required: Column, types: Column) -> Column:
-    args = F.coalesce(call.arguments, F.parse_json(F.lit("{}")))
-    present = F.coalesce(args.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+def fits(value: Column, schema: Column, levels: int = LEVELS) -> Column:
+    """Whether a variant satisfies a JSON schema; a type that is not known, or none, admits anything."""
     pattern = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    wanted = F.coalesce(_get(schema, "$.type", "array<string>"), F.array(_get(schema, "$.type", "string")))
+    ok = F.exists(wanted, lambda t: t.isNull() | F.coalesce(F.regexp_like(F.schema_of_variant(value), F.try_element_at(pattern, t)), F.lit(True)))
+    allowed = _get(schema, "$.enum", _LIST)
+    ok &= allowed.isNull() | F.array_contains(F.transform(allowed, lambda x: F.to_json(x)), F.to_json(value))
+    if not levels:
+        return ok
+    members, entries = value.try_cast(_FIELDS), value.try_cast(_LIST)
+    required, properties = _or_empty(_get(schema, "$.required", "array<string>"), "array<string>"), _or_empty(_get(schema, "$.properties", _FIELDS), _FIELDS)
+    items = _get(schema, "$.items", "variant")
+    has = lambda k: F.coalesce(F.map_contains_key(members, k), F.lit(False))
+    inside = F.forall(properties_keys := F.map_keys(properties), lambda k: ~has(k) | fits(F.try_element_at(members, k), F.try_element_at(properties, k), levels - 1))
+    ok &= members.isNull() | properties_keys.isNull() | F.forall(required, has) & inside
+    return ok & (entries.isNull() | items.isNull() | F.forall(entries, lambda x: fits(x, items, levels - 1)))
+
+
+def _arguments(call: Column) -> Column:
+    """The arguments of a call as a variant: a string that holds JSON is read."""
+    given = F.coalesce(_get(call, "$.arguments", "variant"), _get(call, "$.function.arguments", "variant"))
+    return F.when(F.schema_of_variant(given) == "STRING", F.coalesce(F.try_parse_json(given.try_cast("string")), given)).otherwise(given)
+
+
+def _named(value: Column) -> Column:
+    return F.coalesce(_get(value, "$.name", "string"), _get(value, "$.function.name", "string"))
 
-    def fits(key: Column) -> Column:
-        want = F.try_element_at(types, key)
-        return want.isNull() | F.coalesce(F.regexp_like(F.schema_of_variant(F.try_element_at(present, key)), F.try_element_at(pattern, want)), F.lit(True))
 
-    return F.schema_of_variant(args).startswith("OBJECT") & F.forall(required, lambda k: F.map_contains_key(present, k)) & F.forall(F.map_keys(present), fits)
+def _quoted(text: Column) -> Column:
+    return F.to_json(text.cast("variant"))
 
 
-CALLS = "array<struct<arguments:variant,id:string,name:string>>"
-TOOLS = "array<struct<name:string,parameters:struct<required:array<string>,properties:map<string,struct<type:string>>>>>"
+def _object(keys: Column, json_of) -> Column:
+    """A canonical JSON object: sorted keys, no white space."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.array_distinct(keys)), lambda k: F.concat(_quoted(k), F.lit(":"), json_of(k))), ","), F.lit("}"))
+
+
+def _call_json(call: Column) -> Column:
+    """A call with the keys of its function beside its own, and its arguments read."""
+    own, inner = _or_empty(call.try_cast(_FIELDS), _FIELDS), _or_empty(_get(call, "$.function", _FIELDS), _FIELDS)
+    keys = F.filter(F.concat(F.map_keys(own), F.map_keys(inner)), lambda k: (k != "function") | (F.size(inner) == 0))
+    value = lambda k: F.when(k == "arguments", _arguments(call)).otherwise(F.coalesce(F.try_element_at(own, k), F.try_element_at(inner, k)))
+    return F.when(call.try_cast(_FIELDS).isNull(), F.to_json(call)).otherwise(_object(keys, lambda k: F.to_json(value(k))))
+
+
+def _body_json(body: Column, calls: Column) -> Column:
+    """The canonical message of a body: all its keys, and the row's role and turn."""
+    fields = _or_empty(body.try_cast(_FIELDS), _FIELDS)
+    renamed = F.transform(F.map_keys(fields), lambda k: F.when(k.isin("role", "turn"), F.concat(F.lit("_"), k)).otherwise(k))
+    keys = F.concat(renamed, F.array(F.lit("content"), F.lit("role")), F.when(F.col("turn").isNotNull(), F.array(F.lit("turn"))).otherwise(F.array().cast("array<string>")))
+    kept = lambda k: F.coalesce(F.try_element_at(fields, k), F.when(k.isin("_role", "_turn"), F.try_element_at(fields, F.substring(k, 2, 9))))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(calls, _call_json), ","), F.lit("]"))
+    return _object(keys, lambda k: F.when(k == "role", _quoted(F.col("role"))).when(k == "turn", F.col("turn").cast("string"))
+                   .when((k == "tool_calls") & calls.isNotNull(), listed).otherwise(F.coalesce(F.to_json(kept(k)), F.lit('""'))))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Each message with its JSON body, calls and the identifier that it answers; ``mid`` is a hash of its content, so
-    that repeated messages link alike."""
+    """Each message with ``body`` (null: plain content); ``mid`` is a hash of its content, so that repeated messages link alike."""
     rows = messages.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("body", F.when(F.col("text").rlike(r"^\s*\{"), F.try_parse_json("text")))
-    calls = F.filter(F.coalesce(_get("body", "$.tool_calls", CALLS), F.array().cast(CALLS)), lambda c: c.isNotNull())
-    return rows.select("*", calls.alias("calls"), _get("body", "$.tool_call_id", "string").alias("answers"), F.xxhash64("conv_id", "turn", "role", "text").alias("mid"))
+    read = F.when(F.col("text").rlike(r"^\s*\{"), F.try_parse_json("text"))
+    known = F.arrays_overlap(F.map_keys(F.col("read").try_cast(_FIELDS)), F.array(*map(F.lit, BODY_KEYS)))
+    return rows.withColumn("read", read).select("conv_id", "turn", "role", "text", F.when(known, F.col("read")).alias("body"), F.xxhash64("conv_id", "turn", "role", "text").alias("mid"))
+
+
+def bodies(parsed: DataFrame) -> DataFrame:
+    """The messages with a body: their calls, the identifier that they answer, the tools that they declare and their canonical
+    message, which hangs on nothing else."""
+    body, listed = F.col("body"), _get(F.col("body"), "$.tool_calls", _LIST)
+    objects = F.filter(_or_empty(listed, _LIST), lambda c: c.try_cast(_FIELDS).isNotNull())
+    calls = F.transform(objects, lambda c: F.struct(_get(c, "$.id", "string").alias("id"), _named(c).alias("name"), F.to_json(_arguments(c)).alias("arguments")))
+    offered = F.transform(_or_empty(_get(body, "$.tools", _LIST), _LIST), lambda t: F.struct(
+        _named(t).alias("name"), F.to_json(F.coalesce(_get(t, "$.parameters", "variant"), _get(t, "$.function.parameters", "variant"))).alias("schema")))
+    return parsed.where("body is not null").select(
+        "conv_id", "turn", "role", "mid", calls.cast(_CALLS).alias("calls"), _get(body, "$.tool_call_id", "string").alias("answers"),
+        offered.cast(_TOOLS).alias("tools"), _body_json(body, listed).alias("message"),
+    )
 
 
-def _message(anchor: Column, n_answered: Column, valid: Column, status: Column) -> list[Column]:
-    content = F.coalesce(_get("body", "$.content", "string"), F.when((F.size("calls") == 0) & F.col("answers").isNull(), F.col("text")), F.lit(""))
-    record = F.struct(
-        content.alias("content"), F.col("role"), F.col("answers").alias("tool_call_id"),
-        F.when(F.size("calls") > 0, F.col("calls")).alias("tool_calls"), F.col("turn"),
-    )
+def anchors(edges: DataFrame) -> DataFrame:
+    """Edges (conv_id, mid, parent, parent_turn), one per result, to (conv_id, mid, anchor_turn, depth, cyclic): each chain
+    is followed to its first message, twice as far in each round. A chain longer than the number of edges is a circle."""
+    state = materialise(edges.select("conv_id", "mid", F.col("parent").alias("top"), F.col("parent_turn").alias("anchor_turn"), F.lit(1).cast("bigint").alias("depth")), "chat-edges")
+    total, reach = state.count(), 1
+    further = state.select("conv_id", F.col("mid").alias("top"), F.lit(True).alias("cyclic"))
+    while reach <= 2 * total and not state.join(further, ["conv_id", "top"], "left_semi").isEmpty():
+        up = state.select("conv_id", F.col("mid").alias("top"), F.col("top").alias("above"), F.col("anchor_turn").alias("turn_above"), F.col("depth").alias("more"))
+        step = state.join(up, ["conv_id", "top"], "left")
+        moved = step.select(
+            "conv_id", "mid", F.coalesce("above", "top").alias("top"), F.coalesce("turn_above", "anchor_turn").alias("anchor_turn"),
+            F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(4 * total + 4)).alias("depth"),
+        )
+        state, reach = materialise(moved, "chat-edges"), 2 * reach
+    # the first message of a chain has no parent; in a circle every message has one
+    ends = state.join(further, ["conv_id", "top"], "left")
+    return ends.select("conv_id", "mid", "anchor_turn", "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _shown(anchor: Column, depth: Column, is_result: Column, n_calls: Column, n_answered: Column, valid: Column, status: Column, message: Column) -> list[Column]:
     return [
-        F.col("conv_id"), F.col("turn"), F.col("role"), anchor.cast("bigint").alias("anchor_turn"), F.col("answers").isNotNull().alias("is_result"),
-        F.size("calls").cast("bigint").alias("n_calls"), n_answered.cast("bigint").alias("n_answered"), valid.cast("boolean").alias("args_valid"),
-        status.alias("status"), F.to_json(record).alias("message"),
+        F.col("conv_id"), F.col("turn"), F.col("role"), anchor.cast("bigint").alias("anchor_turn"), depth.cast("bigint").alias("depth"), is_result.alias("is_result"),
+        n_calls.cast("bigint").alias("n_calls"), n_answered.cast("bigint").alias("n_answered"), valid.cast("boolean").alias("args_valid"), status.alias("status"), message.alias("message"),
     ]
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """A row per message: conv_id, turn, role, anchor_turn, is_result, n_calls, n_answered, args_valid (all of its calls'
+    """A row per message: conv_id, turn, role, anchor_turn, depth, is_result, n_calls, n_answered, args_valid (all of its calls'
     arguments fit; null if none has a schema), status and message (canonical JSON: sorted keys, no white space).
-    Order by (conv_id, anchor_turn, is_result, turn) to read a conversation. Only messages of tools are joined."""
-    rows = parse(messages)
-    plain = rows.where((F.size("calls") == 0) & F.col("answers").isNull())
-    tool = rows.where((F.size("calls") > 0) | F.col("answers").isNotNull())
-    made = tool.where(F.size("calls") > 0).dropDuplicates(["mid"]).select("mid", "conv_id", "turn", F.explode("calls").alias("call"))
-    origin = made.where("call.id is not null").groupBy("conv_id", F.col("call.id").alias("answers")).agg(F.min("turn").alias("call_turn"))
-    answered = tool.where("answers is not null").select("conv_id", "answers").distinct().withColumn("done", F.lit(True))
-    tools = rows.where("body is not null").select("conv_id", "turn", F.explode(_get("body", "$.tools", TOOLS)).alias("tool"))
-    schema = F.struct("tool.parameters.required", F.transform_values("tool.parameters.properties", lambda _, v: v.type).alias("types"))
-    tools = tools.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min_by(schema, F.struct("turn", F.to_json("tool"))).alias("schema"), F.lit(True).alias("known"))
-    checked = made.select("mid", "conv_id", "call", F.col("call.id").alias("answers"), F.col("call.name").alias("name"))
-    checked = checked.join(answered, ["conv_id", "answers"], "left").join(tools, ["conv_id", "name"], "left")
-    required = F.coalesce("schema.required", F.array().cast("array<string>"))
-    types = F.coalesce("schema.types", F.create_map().cast("map<string,string>"))
-    valid = F.when(F.col("known"), _valid(F.col("call"), required, types))
-    verdict = checked.groupBy("mid").agg(F.count_if(F.coalesce("done", F.lit(False))).alias("n_answered"), F.bool_and(valid).alias("args_valid"))
-    linked = tool.join(verdict, "mid", "left").join(origin, ["conv_id", "answers"], "left")
-    status = F.when(F.col("answers").isNotNull(), F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked"))
+    Order by (conv_id, anchor_turn, depth, turn) to read a conversation. Only messages of tools are joined."""
+    parsed = parse(messages)
+    said = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
+    none, no = F.lit(None), F.lit(False)
+    plain = parsed.where("body is null").select(*_shown(F.col("turn"), F.lit(0), no, F.lit(0), F.lit(0), none, F.lit("plain"), said))
+    held = materialise(bodies(parsed), "chat-bodies")
+    tool = held.where((F.size("calls") > 0) | F.col("answers").isNotNull())
+    other = held.where((F.size("calls") == 0) & F.col("answers").isNull())
+    other = other.select(*_shown(F.col("turn"), F.lit(0), no, F.lit(0), F.lit(0), none, F.lit("plain"), F.col("message")))
+
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    made = tool.where(F.size("calls") > 0).dropDuplicates(["conv_id", "mid"]).select("conv_id", "mid", "turn", F.explode("calls").alias("call"))
+    origin = made.where(placed & F.col("call.id").isNotNull()).groupBy("conv_id", F.col("call.id").alias("answers")).agg(F.min(F.struct("turn", "mid")).alias("at"))
+    results = tool.where(placed & F.col("answers").isNotNull()).select("conv_id", "mid", "answers").distinct()
+    edges = results.join(origin, ["conv_id", "answers"]).select("conv_id", "mid", F.col("at.mid").alias("parent"), F.col("at.turn").alias("parent_turn"))
+    answered = results.select("conv_id", "answers").distinct().withColumn("done", F.lit(True))
+
+    offered = held.where(F.size("tools") > 0).select("conv_id", "turn", F.explode("tools").alias("tool")).where("tool.name is not null and tool.schema is not null")
+    schemas = offered.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min(F.struct("turn", "tool.schema")).getField("schema").alias("schema"))
+    checked = made.select("conv_id", "mid", F.col("call.id").alias("answers"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+    checked = checked.join(answered, ["conv_id", "answers"], "left").join(schemas, ["conv_id", "name"], "left")
+    checked = checked.withColumn("given", F.try_parse_json(F.coalesce("arguments", F.lit("{}")))).withColumn("wanted", F.try_parse_json("schema"))
+    valid = F.when(F.col("wanted").isNotNull(), F.schema_of_variant("given").startswith("OBJECT") & fits(F.col("given"), F.col("wanted")))
+    verdict = checked.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), F.coalesce("done", no).alias("done"), valid.alias("valid"))
+    verdict = verdict.groupBy("c", "m").agg(F.count_if("done").alias("n_answered"), F.bool_and("valid").alias("args_valid"))
+
+    chained = anchors(edges)
+    linked = tool.join(verdict, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")), "left").join(chained, ["conv_id", "mid"], "left")
+    whole = F.col("cyclic").isNotNull() & ~F.col("cyclic")
+    status = F.when(F.col("cyclic"), "cyclic").when(whole, "linked").when(F.col("answers").isNotNull(), "orphan")
     status = status.when(F.col("n_answered") < F.size("calls"), "pending").otherwise("answered")
-    linked = linked.select(*_message(F.coalesce("call_turn", "turn"), F.coalesce("n_answered", F.lit(0)), F.col("args_valid"), status))
-    return plain.select(*_message(F.col("turn"), F.lit(0), F.lit(None), F.lit("plain"))).unionAll(linked)
+    linked = linked.select(*_shown(
+        F.when(whole, F.col("anchor_turn")).otherwise(F.col("turn")), F.when(whole, F.col("depth")).otherwise(0), F.col("answers").isNotNull(), F.size("calls"),
+        F.coalesce("n_answered", F.lit(0)), F.col("args_valid"), status, F.col("message"),
+    ))
+    return plain.unionAll(other).unionAll(linked)

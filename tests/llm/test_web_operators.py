@@ -198,3 +198,106 @@ def test_conversations_are_whole_and_canonical(spark):
     got = {(r.conv_id, r.turn): r.message for r in chat.link(rows).collect()}
     assert got == expected
     assert chat.link(rows.limit(0)).count() == 0 and chat.link(rows.withColumn("status", F.lit(1)).withColumn("calls", F.lit(2))).count() == len(expected)
+
+
+def plain_link(rows):
+    """Every message's place, by following each result up to its call, one message at a time."""
+    bodies = []
+    for conv, turn, role, text in rows:
+        try:
+            body = json.loads(text) if text and text.lstrip().startswith("{") else None
+        except ValueError:
+            body = None
+        body = body if isinstance(body, dict) and {"content", "tool_calls", "tool_call_id", "tools"} & set(body) else {}
+        calls = [c for c in body.get("tool_calls") or [] if isinstance(c, dict)]
+        bodies.append((conv, turn, calls, body.get("tool_call_id")))
+    holders = {}
+    for conv, turn, calls, _ in bodies:
+        for c in calls:
+            if conv is not None and turn is not None and c.get("id") is not None:
+                holders[conv, c["id"]] = min(turn, holders.get((conv, c["id"]), turn))
+    at = {(conv, turn): answers for conv, turn, _, answers in bodies}
+    done = {(conv, answers) for conv, turn, _, answers in bodies if conv is not None and turn is not None and answers is not None}
+    out = []
+    for conv, turn, calls, answers in bodies:
+        here, depth, met = turn, 0, set()
+        while (up := holders.get((conv, at.get((conv, here))))) is not None and here not in met and turn is not None:
+            met.add(here)
+            here, depth = up, depth + 1
+        circle = here in met
+        linked = (conv, answers) in holders and turn is not None
+        status = "cyclic" if circle else "linked" if linked else "orphan" if answers is not None else None
+        n_answered = sum((conv, c.get("id")) in done for c in calls)
+        status = status or ("plain" if not calls else "pending" if n_answered < len(calls) else "answered")
+        out.append((conv, turn, turn if circle else here, 0 if circle else depth, answers is not None, len(calls), n_answered, status))
+    return out
+
+
+def test_links_equal_following_them(spark):
+    """Random conversations, a message a turn: chains through results that call, repeated and missing identifiers, circles."""
+    rnd, rows = random.Random(12), []
+    for conv in range(60):
+        ids = [f"k{i}" for i in range(rnd.randint(1, 7))]
+        for turn in rnd.sample(range(30), rnd.randint(1, 14)):
+            body = {"content": "x"}
+            if rnd.random() < 0.6:
+                body["tool_calls"] = [{"id": rnd.choice(ids), "name": "f", "arguments": {}} for _ in range(rnd.randint(1, 2))]
+            if rnd.random() < 0.6:
+                body["tool_call_id"] = rnd.choice(ids)
+            rows.append((conv, turn, "tool", json.dumps(body) if rnd.random() < 0.9 else "text"))
+    rows += [(None, 1, "tool", message(tool_call_id="k1")), (1, None, "tool", message(tool_call_id="k1")), (None, 2, "assistant", message(tool_calls=[{"id": "k1", "name": "f"}]))]
+    rows += [(99, t, "tool", message(tool_call_id=f"c{t}", tool_calls=[{"id": f"c{t + 1}", "name": "f"}])) for t in range(20, 0, -1)]
+    expected = plain_link(rows)
+    assert {e[-1] for e in expected} == {"cyclic", "linked", "orphan", "plain", "pending", "answered"} and max(e[3] for e in expected) == 19
+    got = chat.link(spark.createDataFrame(rows, SCHEMA)).collect()
+    found = [(r.conv_id, r.turn, r.anchor_turn, r.depth, r.is_result, r.n_calls, r.n_answered, r.status) for r in got]
+    order = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(found, key=order) == sorted(expected, key=order)
+    place = {(r.conv_id, r.turn): (r.anchor_turn, r.depth, r.turn) for r in got}
+    for conv, turn, _, text in rows:
+        body = json.loads(text) if text.startswith("{") else {}
+        for call in body.get("tool_calls", []):
+            for other, later, _, reply in rows:
+                if other == conv and conv is not None and later is not None and reply.startswith("{") and json.loads(reply).get("tool_call_id") == call["id"]:
+                    first = min(t for c, t, _, x in rows if c == conv and x.startswith("{") and any(k["id"] == call["id"] for k in json.loads(x).get("tool_calls", [])))
+                    if first == turn and not any(r.status == "cyclic" for r in got if (r.conv_id, r.turn) in ((conv, later), (conv, turn))):
+                        assert place[conv, turn] < place[conv, later]
+
+
+def test_bodies_keep_what_they_hold(spark):
+    call = {"id": "c1", "type": "function", "function": {"name": "add", "arguments": '{"b": "é", "a": 1}'}}
+    texts = [
+        ('{"content":"keep","note":"lost?"}', {"content": "keep", "note": "lost?", "role": "user", "turn": 0}),
+        (message(content="hi", tools=TOOLS), {"content": "hi", "role": "user", "tools": TOOLS, "turn": 1}),
+        (message(content=None, tool_calls=[call]), {"content": None, "role": "user", "turn": 2, "tool_calls": [{"id": "c1", "type": "function", "name": "add", "arguments": {"a": 1, "b": "é"}}]}),
+        (message(content=[1, {"b": 2, "a": "\n"}], role="x", turn=9), {"content": [1, {"a": "\n", "b": 2}], "role": "user", "turn": 3, "_role": "x", "_turn": 9}),
+        ('{"a": 1}', {"content": '{"a": 1}', "role": "user", "turn": 4}),
+        ('{"tool_calls": "none", "content": ""}', {"content": "", "role": "user", "tool_calls": "none", "turn": 5}),
+        ('{"tool_calls": ["x", {"id": 7, "arguments": "not json"}]}', {"content": "", "role": "user", "tool_calls": ["x", {"arguments": "not json", "id": 7}], "turn": 6}),
+    ]
+    rows = [(1, i, "user", t) for i, (t, _) in enumerate(texts)]
+    got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (_, wanted) in enumerate(texts):
+        assert got[i].message == json.dumps(wanted, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert (got[2].n_calls, got[2].args_valid, got[6].n_calls) == (1, True, 1)
+
+
+DEEP = {
+    "required": ["kind"],
+    "properties": {
+        "kind": {"type": "string", "enum": ["x", "y"]}, "n": {"type": ["integer", "null"]}, "list": {"type": "array", "items": {"type": "number"}},
+        "in": {"type": "object", "required": ["z"], "properties": {"z": {"type": "object", "properties": {"w": {"type": "boolean"}}}}},
+    },
+}
+ARGUMENTS = [
+    ({"kind": "x"}, True), ({"kind": "z"}, False), ({}, False), ({"kind": "y", "n": None}, True), ({"kind": "y", "n": "1"}, False), ({"kind": "x", "list": [1, 2.5]}, True),
+    ({"kind": "x", "list": [1, "a"]}, False), ({"kind": "x", "in": {}}, False), ({"kind": "x", "in": {"z": {"w": True}}}, True), ({"kind": "x", "in": {"z": {"w": 1}}}, False),
+    ({"kind": "x", "other": 1}, True), ([1], False), ("text", False), ('{"kind": "x", "n": 4}', True),
+]
+
+
+def test_arguments_against_nested_schemas(spark):
+    rows = [(1, 0, "system", message(tools=[{"type": "function", "function": {"name": "f", "parameters": DEEP}}]))]
+    rows += [(1, i + 1, "assistant", message(tool_calls=[{"id": f"c{i}", "name": "f", "arguments": a}])) for i, (a, _) in enumerate(ARGUMENTS)]
+    got = {r.turn: r.args_valid for r in chat.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i + 1] for i in range(len(ARGUMENTS))] == [ok for _, ok in ARGUMENTS]
