@@ -1,5 +1,7 @@
 import json
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -380,6 +382,53 @@ def test_language_model_equals_sql(documents, duck):
     assert got == expected
 
 
+def plain_backoff(texts, order, alpha=lm.ALPHA):
+    """Every document by counting the n-grams of all the others."""
+    lists = [[w.decode() for w in lm.words_of((t or "").translate(lm._LOWER))] for t in texts]
+    out = []
+    for d, words in enumerate(lists):
+        rest = [x for i, x in enumerate(lists) if i != d]
+        counts = Counter(tuple(x[i : i + k]) for x in rest for k in range(1, order + 1) for i in range(len(x) - k + 1))
+        n, total, backed = sum(map(len, rest)), 0.0, 0
+
+        def score(gram):
+            if len(gram) == 1:
+                return math.log10(counts[gram] / n if counts[gram] else alpha / (n + 1))
+            return math.log10(counts[gram] / counts[gram[:-1]]) if counts[gram] else math.log10(alpha) + score(gram[1:])
+
+        for i in range(len(words)):
+            gram = tuple(words[max(0, i - order + 1) : i + 1])
+            total += score(gram)
+            backed += len(gram) > 1 and not counts[gram]
+        out.append((len(words), backed, round(total, 4)))
+    return out
+
+
+@pytest.mark.parametrize(("order", "group", "bits"), [(1, 256, 8), (2, 2, 2), (3, 256, 8), (3, 3, 3), (4, 2, 5), (2, 2, 8)])
+def test_language_model_by_a_tree_equals_counting(spark, order, group, bits):
+    """Blocks of a document or two, summed over several levels: the same totals as from one bucket."""
+    rnd = random.Random(order)
+    texts = [" ".join(rnd.choice("A a b c d e f g".split()) for _ in range(rnd.randint(0, 30))) for _ in range(40)] + [None, "a b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    got = {r.doc_id: (r.n_tokens, r.n_backoff, r.log10_score) for r in lm.score(docs, block_bytes=60, bucket_entries=20, group=group, order=order, bits=bits).collect()}
+    expected = plain_backoff(texts, order)
+    assert [got[i][:2] for i in range(len(texts))] == [e[:2] for e in expected]
+    assert all(abs(got[i][2] - e[2]) < 2e-4 for i, e in enumerate(expected))
+
+
+def test_language_model_rows_grow_with_the_blocks(spark):
+    """Twice the documents give about twice the rows at the blocks, whatever the number of buckets; nodes get fewer by level."""
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") + rnd.choice("qrstuvwxyz") for _ in range(100)) for _ in range(80)]
+    rows = {}
+    for n in (40, 80):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id int, text string").coalesce(1)
+        cut = lm.blocks(docs, 1)
+        made = cut.mapInArrow(lm._of_blocks(2, 2, -(-n // 4)), lm._PIECES)
+        rows[n] = made.count(), made.groupBy("path", "grp").count().count()
+    assert cut.count() == 80 and rows[80][0] == 2 * rows[40][0] <= 80 * 4 and rows[80][1] <= 4 * 20
+
+
 def test_language_model_odd(odd, empty):
     got = lm.score(odd).collect()
     assert len(got) == odd.count() and {r.log10_score for r in got if r.n_tokens == 0} == {0.0} and lm.score(empty).count() == 0
