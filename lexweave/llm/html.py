@@ -7,8 +7,13 @@ page is then extracted again from all containers at its host's winning path, in
 choice's path, if the winning path is missing, holds no prose, or holds less prose than a choice of another layout: one
 that does not enclose the winners, or a semantic one.
 
-Defined cases: a null or empty html has an empty text; a page without blocks has an empty text; a null url belongs to the
-empty host; ties between paths go to the deeper, then the lexically smaller one; repeated rows each count and stay.
+Prose beside containers that are not semantic stays, unless its path is a template of the host: on a tenth of its pages or
+more, and with words that repeat (half as many different texts as blocks, or fewer). A form or an element whose names mark
+boilerplate, but that holds nine tenths of the page's prose (PAGE_WORDS at least, comments aside), is the page itself and stays.
+
+Defined cases: a null or empty html has an empty text; a page without blocks has an empty text; a very long page is read
+whole; a null url belongs to the empty host; ties between paths go to the deeper, then the lexically smaller one; repeated rows
+each count and stay; null page_ids stay; an empty table gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -42,42 +47,55 @@ MARKS = set(
     "notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
     "search searchform contentinfo complementary copyright skip hidden".split()
 )
+#: Of these, marks of reader comments; marks that count only before a generic part, or at the name's end.
+COMMENTS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
+WEAK = {"share", "sharing", "social", "search", "widget"}
+GENERIC = set("area bar block box button buttons container form icon icons inner item items link links list post section this title wrap wrapper".split())
 LAYOUT = {"has", "with", "no", "without", "layout"}
+#: Words that an element marked as boilerplate must hold to be taken for the page itself.
+PAGE_WORDS = 30
 OWN = {"entry", "post", "article", "content", "section", "story", "page"}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(names: str, top: bool) -> bool:
-    """Whether class, id or role names mark boilerplate. Names that only tell of a layout (``has-sidebar``) don't; outside an
-    article (top) a header does, unless it is a text's own."""
+def _marked(names: str, top: bool, marks: set[str] = MARKS) -> bool:
+    """Whether class, id or role names mark boilerplate. What follows a word of layout (``content-with-sidebar``) doesn't count;
+    outside an article (top) a header does, unless it is a text's own."""
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if not parts or parts[0] in LAYOUT:
+        parts = parts[: next((i for i, p in enumerate(parts) if p in LAYOUT), len(parts))]
+        if not parts:
             continue
-        if any(p in MARKS for p in parts) or "".join(parts) in MARKS or top and "header" in parts and not OWN & set(parts):
+        strong = [p for p in parts if p in marks and p not in WEAK]
+        weak = parts[0] in WEAK & marks and (len(parts) == 1 or parts[-1] in GENERIC | WEAK) or parts[-1] in WEAK & marks - {"widget"}
+        if strong or weak or "".join(parts) in marks or top and "header" in parts and not OWN & set(parts):
             return True
     return False
 
 
 class Page(HTMLParser):
     """The elements and text blocks of a page. An element: (parent, tag, path hash, label, depth). A block: (element,
-    text, share of its words inside links)."""
+    text); link_words has its words inside links. Blocks of doubtful elements (forms, marked names) wait for _settle."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements: list[tuple[int, str, int, str, int]] = []
         self.blocks: list[tuple[int, str]] = []
         self.link_words: list[int] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element, dropped
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, element, dropped, doubtful element
+        self.doubtful: list[int] = []  # by doubtful element: the one around it
+        self.doubts: list[int] = []  # by block: its doubtful element, or -1
         self.parts: list[str] = []
+        self.doubt = -1
         self.linked = 0
         self.anchors = 0
         self.open: Counter[str] = Counter()
         self.feed(html)
         self.close()
         self._flush()
+        self._settle()
 
     def _flush(self) -> None:
         if self.parts:
@@ -85,13 +103,36 @@ class Page(HTMLParser):
             if text:
                 self.blocks.append((self.stack[-1][1] if self.stack else -1, text))
                 self.link_words.append(self.linked)
+                self.doubts.append(self.doubt)
             self.parts = []
         self.linked = 0
 
+    def _settle(self) -> None:
+        """Drop the blocks of doubtful elements, unless such an element holds (almost) all prose."""
+        if not self.doubtful:
+            return
+        words = [len(t.split()) if self.prose(i) else 0 for i, (_, t) in enumerate(self.blocks)]
+        held, total = [0] * len(self.doubtful), sum(words)
+        for at, n in zip(self.doubts, words, strict=True):
+            if at >= 0:
+                held[at] += n
+        for at in range(len(held) - 1, -1, -1):  # outer ones come first
+            if self.doubtful[at] >= 0:
+                held[self.doubtful[at]] += held[at]
+        stays = []
+        for around, n in zip(self.doubtful, held, strict=True):
+            stays.append((around < 0 or stays[around]) and n >= PAGE_WORDS and 10 * n >= 9 * total)
+        kept = [i for i, at in enumerate(self.doubts) if at < 0 or stays[at]]
+        self.blocks, self.link_words = [self.blocks[i] for i in kept], [self.link_words[i] for i in kept]
+
+    def prose(self, block: int) -> bool:
+        """Whether at most half of a block's words are inside links."""
+        return 2 * self.link_words[block] <= len(self.blocks[block][1].split())
+
     def _pop(self, size: int) -> None:
-        if any(tag in BLOCK for tag, _, _ in self.stack[size:]):
+        if any(entry[0] in BLOCK for entry in self.stack[size:]):
             self._flush()
-        for tag, _, _ in self.stack[size:]:
+        for tag, *_ in self.stack[size:]:
             self.open[tag] -= 1
             self.anchors -= tag == "a"
         del self.stack[size:]
@@ -117,11 +158,17 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         given = {k: v or "" for k, v in attrs}
-        parent, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (-1, False)
+        parent, dropped, doubt = self.stack[-1][1:] if self.stack else (-1, False, -1)
         if not dropped and tag not in ("html", "body"):
-            dropped = tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
-            top = not any(self.open[t] for t in SEMANTIC)
-            dropped = dropped or _marked(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}", top) or tag == "header" and top
+            dropped = tag in DROPPED and tag != "form" or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
+            top, names = not any(self.open[t] for t in SEMANTIC), f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
+            dropped = dropped or tag == "header" and top or _marked(names, False, COMMENTS)
+            if not dropped and (tag == "form" or _marked(names, top)):
+                if tag in BLOCK:
+                    self.doubtful.append(doubt)
+                    doubt = len(self.doubtful) - 1
+                else:
+                    dropped = True
         label = tag + "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in given.get("class", "").split()}))
         if tag in BLOCK or parent < 0:
             above, depth = (self.elements[parent][2], self.elements[parent][4] + 1) if parent >= 0 else (0, 0)
@@ -129,7 +176,7 @@ class Page(HTMLParser):
             parent = len(self.elements) - 1
         self.anchors += tag == "a"
         self.open[tag] += 1
-        self.stack.append((tag, parent, dropped))
+        self.stack.append((tag, parent, dropped, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,24 +197,24 @@ class Page(HTMLParser):
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)
+        self.doubt = self.stack[-1][3] if self.stack else -1
         if self.anchors:
             self.linked += len(data.split())
 
     def masses(self) -> list[int]:
         """The words of prose below each element."""
         out = [0] * len(self.elements)
-        for (at, text), linked in zip(self.blocks, self.link_words, strict=True):
-            words = len(text.split())
-            if 2 * linked <= words and at >= 0:
-                out[at] += words
+        for i, (at, text) in enumerate(self.blocks):
+            if at >= 0 and self.prose(i):
+                out[at] += len(text.split())
         for i in range(len(out) - 1, -1, -1):  # parents come first
             if self.elements[i][0] >= 0:
                 out[self.elements[i][0]] += out[i]
         return out
 
-    def choice(self) -> int:
+    def choice(self, mass: list[int] | None = None) -> int:
         """The element that this page votes for, or -1."""
-        mass = self.masses()
+        mass = mass or self.masses()
         total = sum(m for m, e in zip(mass, self.elements, strict=True) if e[0] < 0)
         if not total:
             return -1
@@ -182,12 +229,22 @@ class Page(HTMLParser):
             at = self.elements[at][0]
         return "/".join(reversed(labels))
 
-    def text(self, wanted: int | None) -> str:
-        """The blocks at or below the elements of a path (None: of the whole page), in page order."""
+    def inside(self, wanted: int | None) -> list[bool]:
+        """By block: whether it is at or below the elements of a path (None: of the whole page)."""
         inside = [False] * len(self.elements)
         for i, e in enumerate(self.elements):
             inside[i] = e[2] == wanted or e[0] >= 0 and inside[e[0]]
-        return "\n".join(t for i, t in self.blocks if wanted is None or i >= 0 and inside[i])
+        return [wanted is None or i >= 0 and inside[i] for i, _ in self.blocks]
+
+    def beside(self, wanted: int) -> list[int]:
+        """The blocks of prose outside the elements of a path, unless those are semantic."""
+        if any(e[2] == wanted and e[1] in SEMANTIC for e in self.elements):
+            return []
+        return [i for i, within in enumerate(self.inside(wanted)) if not within and self.prose(i)]
+
+    def block_path(self, block: int) -> int:
+        at = self.blocks[block][0]
+        return self.elements[at][2] if at >= 0 else 0
 
     def encloses(self, at: int, wanted: int) -> bool:
         """Whether all elements of the path lie below an element."""
@@ -196,39 +253,64 @@ class Page(HTMLParser):
             below[i] = e[0] >= 0 and (e[0] == at or below[e[0]])
         return all(below[i] for i, e in enumerate(self.elements) if e[2] == wanted)
 
-    def extract(self, wanted: int | None) -> str:
-        """Elements of one path have one depth, so none lies in another. A choice that encloses the winners is narrowed by
-        its host's vote, unless the page itself marks it as its article."""
-        mass, at = self.masses(), self.choice()
+    def target(self, wanted: int | None) -> int | None:
+        """The path to extract (None: the whole page). Elements of one path have one depth, so none lies in another. A choice
+        that encloses the winners is narrowed by its host's vote, unless the page itself marks it as its article."""
+        mass = self.masses()
+        at = self.choice(mass)
         if at < 0:
-            return self.text(None)
+            return None
         own = self.elements[at][2]
         won = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == wanted)
         chosen = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == own)
         other = won < chosen and (self.elements[at][1] in SEMANTIC or not self.encloses(at, wanted))
-        return self.text(own if not won or other else wanted)
+        return own if not won or other else wanted
+
+    def extract(self, wanted: int | None, template: set[int] | None = None) -> str:
+        """The text, in page order; with the host's templates, prose beside its containers that is none of them stays, but for
+        what lies at a winning path that the page's own choice overrules."""
+        path = self.target(wanted)
+        keep = self.inside(path)
+        if path is not None and template is not None:
+            overruled = self.inside(wanted) if wanted is not None and path != wanted else [False] * len(keep)
+            for i in self.beside(path):
+                keep[i] = self.block_path(i) not in template and not overruled[i]
+        return "\n".join(t for (_, t), kept in zip(self.blocks, keep, strict=True) if kept)
+
+
+_FOUND = "host string, beside boolean, path string, path_hash bigint, depth int, words_hash bigint"
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, path_hash and depth of each page's choice."""
+    """Of each page the path, its hash and depth that it votes for; and (beside) those of each block of prose outside, with a hash
+    of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+        names = [x.split(" ")[0] for x in _FOUND.split(", ")]
         for batch in slices(batches, 64):
             out = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html or "")
                 if (at := page.choice()) >= 0:
-                    out.append((host, page.path(at), page.elements[at][2], page.elements[at][4]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["host", "path", "path_hash", "depth"])
+                    wanted = page.elements[at][2]
+                    out.append((host, False, page.path(at), wanted, page.elements[at][4], 0))
+                    out += [(host, True, "", page.block_path(i), 0, xxh64_intdigest(page.blocks[i][1]) >> 1) for i in page.beside(wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, path_hash bigint, depth int")
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, _FOUND)
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """The winning path of each host."""
-    counted = votes(pages).groupBy("host", "path_hash").agg(F.count("*").alias("votes"), F.min("path").alias("path"), F.max("depth").alias("depth"))
+    """The winning path of each host, and its template paths: at most ten times the blocks of a page, on average."""
+    counted = votes(pages).groupBy("host", "beside", "path_hash", "words_hash").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.max("depth").alias("depth"))
+    counted = counted.groupBy("host", "beside", "path_hash").agg(F.sum("n").alias("votes"), F.count("*").alias("texts"), F.min("path").alias("path"), F.max("depth").alias("depth"))
+    counted = materialise(counted, "html-votes")
     ranked = F.struct((-F.col("votes")).alias("v"), (-F.col("depth")).alias("d"), F.col("path").alias("p"), F.col("path_hash").alias("path_hash"), F.col("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min(ranked).alias("best")).select("host", "best.path_hash", F.col("best.p").alias("path"), "best.votes")
+    won = counted.where("not beside").groupBy("host").agg(F.min(ranked).alias("best"), F.sum("votes").alias("pages"))
+    often = counted.where("beside and votes >= 2 and 2 * texts <= votes").join(won.select("host", "pages"), "host").where("10 * votes >= pages")
+    often = often.groupBy("host").agg(F.collect_list("path_hash").alias("template"))
+    return won.join(often, "host", "left").select("host", "best.path_hash", F.col("best.p").alias("path"), "best.votes", "template")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -236,11 +318,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            texts = [Page(html).extract(wanted) if html else "" for html, wanted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            given = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            texts = [Page(html).extract(wanted, set(template or ())) if html else "" for html, wanted, template in given]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     # written, so that its size is known before the plan is made: a table of few hosts is broadcast and no page is shuffled
-    won = materialise(winners(pages).select("host", "path_hash"), "html-winners")
-    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "path_hash")
+    won = materialise(winners(pages).select("host", "path_hash", "template"), "html-winners")
+    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "path_hash", "template")
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -33,7 +33,8 @@ def test_small_pages(raw, text):
 
 @pytest.mark.parametrize(
     ("names", "top", "marked"),
-    [("ad", False, True), ("sideBar", False, True), ("main has-sidebar", True, False), ("no-comments post", True, False), ("site-header", True, True), ("entry-header", True, False), ("site-header", False, False), ("adage", False, False), ("cookie_banner-2", True, True), ("", True, False)],
+    [("ad", False, True), ("sideBar", False, True), ("main has-sidebar", True, False), ("no-comments post", True, False), ("site-header", True, True), ("entry-header", True, False), ("site-header", False, False), ("adage", False, False), ("cookie_banner-2", True, True), ("", True, False), ("content-with-sidebar", True, False),
+     ("share-buttons", False, True), ("share-price-news", False, False), ("widget-area", False, True), ("elementor-widget", False, False), ("search", False, True), ("comments-area", False, True)],
 )
 def test_marks(names, top, marked):
     assert html._marked(names, top) is marked
@@ -67,6 +68,59 @@ def test_all_containers_of_the_path(spark):
     assert got[9] == ("its own article " * 20).strip() and got[0] == ("long text " * 40).strip()
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string")
+    return [r.text for r in sorted(html.extract(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_text_in_several_containers(spark):
+    """Equal articles, sibling posts and a short division beside a long one are all kept."""
+    long, short = " ".join(f"w{i}" for i in range(95)), "five more words stand here"
+    rows = [
+        ("http://a.org/1", f"<body><nav>m</nav><article><p>{long}</p></article><article><p>{long}</p></article></body>"),
+        ("http://b.org/1", f"<body><div class='post'><p>{long}</p></div><div class='post'><p>{short}</p></div></body>"),
+        ("http://c.org/1", f"<body><div class='a'><p>{long}</p></div><div class='b'><p>{short}</p></div><div><a href=x>all links here</a></div></body>"),
+    ]
+    assert extracted(spark, rows) == [f"{long}\n{long}", f"{long}\n{short}", f"{long}\n{short}"]
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='content-with-sidebar'>", "<div class='elementor-widget-container'>", "<div class='search-result-page'>", "<div id='share-price-news'>", "<form action=x>", "<div class='page-popup'><div class='modal'>"])
+def test_wrapped_pages_are_not_empty(wrapper):
+    text = "\n".join(" ".join(f"w{i}{j}" for i in range(20)) for j in range(3))
+    body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
+    page = f"<body><header>Site</header>{wrapper}<h1>A title</h1>{body}<div class='sidebar'><p>side</p></div><div class='comments'><p>{'nice ' * 500}</p></div></body>"
+    assert html.Page(page).extract(None) == "A title\n" + text
+
+
+def test_templates_beside_the_article(spark):
+    """Words that repeat at one path of a host's pages go; words that differ from page to page stay."""
+    page = "<body><div class='x1'><p>%s</p></div><div class='main-text'><p>%s</p></div></body>"
+    article = [" ".join(f"a{p}w{i}" for i in range(90)) for p in range(4)]
+    same = [("http://a.org/", page % ("call us now", a)) for a in article]
+    own = [("http://b.org/", page % (f"lead {p}", a)) for p, a in enumerate(article)]
+    assert extracted(spark, same + own) == article + [f"lead {p}\n{a}" for p, a in enumerate(article)]
+
+
+def test_votes_equal_counting(spark):
+    """The winner of each host where its pages disagree, by counting the pages one by one."""
+    rnd, rows = random.Random(7), []
+    for i in range(120):
+        tag = rnd.choice(["<article class='a%d'>", "<div class='t-%d'><div class='u'>", "<main>", "<section class='s'>"])
+        rows.append((i, f"http://h{rnd.randint(0, 6)}.org/{i}", f"<body>{tag % i if '%' in tag else tag}<p>{'word ' * rnd.randint(5, 40)}</p></body>"))
+    count, hashes = {}, {}
+    for _, url, page in rows:
+        made = html.Page(page)
+        at = made.choice()
+        key = (plain_host(url)[0], made.path(at))
+        count[key] = count.get(key, 0) + 1
+        hashes[key] = made.elements[at][2], made.elements[at][4]
+    best = {}
+    for (host, path), n in count.items():
+        best[host] = min(best.get(host, (1, 0, "")), (-n, -hashes[host, path][1], path))
+    got = {r.host: (r.path, r.votes, r.path_hash) for r in html.winners(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {h: (p, -n, hashes[h, p][0]) for h, (n, _, p) in best.items()}
+
+
 def test_all_pages_equal_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
