@@ -33,7 +33,7 @@ from .common import materialise, slices, words_of
 
 ALPHA = 0.4
 #: Words of an n-gram at most.
-ORDER = 3
+ORDER = 2
 #: UTF-8 bytes of text in a block, and n-gram entries in a bucket, about.
 BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 1_000_000
@@ -279,18 +279,29 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
     return joined.mapInArrow(_scores(n_total, alpha, order), SCHEMA)
 
 
-#: Order three in SQL: counts of all documents less those of the own one.
-SQL = """
+def sql(order: int = ORDER, alpha: float = ALPHA) -> str:
+    """The same in SQL: counts of all documents less those of the own one."""
+    later = range(2, order + 1)
+    history = "".join(f", lag(w, {k - 1}) OVER o AS h{k}" for k in later)
+    gram = {k: ", ".join([f"h{i}" for i in range(k, 1, -1)] + ["w"]) for k in range(1, order + 1)}
+    counts = ", ".join(f"count(*) OVER (PARTITION BY {g}) - count(*) OVER (PARTITION BY rid, {g}) AS c{k}" for k, g in gram.items())
+    before = "".join(f", lag(c{k - 1}) OVER o AS b{k}" for k in later)
+    score = f"log10(CASE WHEN c1 > 0 THEN c1 / n ELSE {alpha} / (n + 1) END)"
+    for k in later:
+        score = f"CASE WHEN has{k} AND c{k} > 0 THEN log10(c{k} / b{k}) ELSE CASE WHEN has{k} THEN log10({alpha}) ELSE 0 END + {score} END"
+    backed = " ".join(f"WHEN has{k} THEN c{k} = 0" for k in reversed(later)) or "WHEN false THEN false"
+    return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS l FROM documents),
 t AS (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d),
-p AS (SELECT rid, i, w, lag(w) OVER o AS h, lag(w, 2) OVER o AS g FROM t WINDOW o AS (PARTITION BY rid ORDER BY i)),
-c AS (SELECT rid, i, h IS NOT NULL AS two, g IS NOT NULL AS three, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY rid, w) AS c1,
-  count(*) OVER (PARTITION BY h, w) - count(*) OVER (PARTITION BY rid, h, w) AS c2, count(*) OVER (PARTITION BY g, h, w) - count(*) OVER (PARTITION BY rid, g, h, w) AS c3 FROM p),
-b AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2 FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)),
+p AS (SELECT rid, i, w{history} FROM t WINDOW o AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT rid, i{"".join(f", h{k} IS NOT NULL AS has{k}" for k in later)}, {counts} FROM p),
+b AS (SELECT *{before} FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)),
 n AS (SELECT rid, doc_id, len(l) AS own, (SELECT count(*) FROM t) - len(l) AS n FROM d),
-e AS (SELECT rid, CASE WHEN three THEN c3 = 0 WHEN two THEN c2 = 0 ELSE false END AS backed, CASE WHEN three AND c3 > 0 THEN log10(c3 / b2) ELSE CASE WHEN three THEN log10(0.4) ELSE 0 END
-  + CASE WHEN two AND c2 > 0 THEN log10(c2 / b1) ELSE CASE WHEN two THEN log10(0.4) ELSE 0 END + log10(CASE WHEN c1 > 0 THEN c1 / n ELSE 0.4 / (n + 1) END) END END AS s FROM b JOIN n USING (rid)),
+e AS (SELECT rid, CASE {backed} ELSE false END AS backed, {score} AS s FROM b JOIN n USING (rid)),
 r AS (SELECT rid, count(*) FILTER (WHERE backed) AS n_backoff, sum(s) AS total FROM e GROUP BY rid)
 SELECT doc_id, own::BIGINT AS n_tokens, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(total, 0), 4)::DOUBLE AS log10_score,
   round(coalesce(total, 0) / greatest(own, 1), 6)::DOUBLE AS mean_log10 FROM n LEFT JOIN r USING (rid)
 """
+
+
+SQL = sql()

@@ -380,6 +380,9 @@ def test_language_model_equals_sql(documents, duck):
     expected = {r[0]: r for r in duck.sql(lm.SQL).fetchall()}
     got = {r.doc_id: tuple(r) for r in lm.score(documents, block_bytes=50_000, bucket_entries=9_000).collect()}
     assert got == expected
+    expected = {r[0]: r for r in duck.sql(lm.sql(3)).fetchall()}
+    got = {r.doc_id: tuple(r) for r in lm.score(documents, block_bytes=50_000, bucket_entries=9_000, order=3, group=5).collect()}
+    assert got == expected
 
 
 def plain_backoff(texts, order, alpha=lm.ALPHA):
