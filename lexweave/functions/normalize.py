@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,10 +21,12 @@ SPACING = (
     (r"(?mdU)^(\s*(?:##\s*)?\d+\.\d+(?:\.\d+)*)\s*([A-Za-z])", "$1 $2"),
     (r"(?mdU)^(\s*(?:##\s*)?§\s*\d+(?:\.\d+)*)\s*([A-Za-z])", "$1 $2"),
 )
+#: Page marks of a parser and page numbers.
 ARTIFACTS = (
     (r"(?mdU)^Source:\s+.*?<PARSED TEXT FOR PAGE:\s*\d+\s*/\s*\d+>\s*", ""),
     (r"(?mdU)^\s*\d+\s*$", ""),
 )
+#: Line breaks before headings and items.
 BREAKS = (
     (r"(?idU)(?<!\n)(ARTICLE\s+[IVXLC]+\b)", "\n$1"),
     (r"(?idU)(?<!\n)(Section\s+\d+\.\d+\s+)", "\n$1"),
@@ -31,21 +35,26 @@ BREAKS = (
     (r"(?dU)(?<!\n)(\(\d+\)\s+)", "\n$1"),
     (r"(?imdU)^(?!##\s)(§\s*\d+(?:\.\d+)*\s+.{1,160}?)(?:\s*(?=\(\d+\))|\s*$)", "## $1"),
 )
+#: Headings with paragraph signs.
 PARAGRAPH_SIGNS = (
     (r"(?imdU)^##\s*§", "## §"),
     (r"(?idU)(?<!\n)(##\s*§\s*\d+(?:\.\d+)*)", "\n$1"),
     (r"(?imdU)^(##\s*§\s*\d+(?:\.\d+)*\s+.*?)(\(\d+\)\s+)", "$1\n$2"),
     (r"(?imdU)^(§\s*\d+(?:\.\d+)*\s+.*?)(\(\d+\)\s+)", "$1\n$2"),
 )
+#: Line breaks before numbered items.
 ITEMS = ((r"(?dU)(?<!\n)\s(\((?:\d+)\)\s+)", "\n$1"),)
+#: Numbers that only look like headings, until nothing changes.
 FALSE_HEADERS = (
     (r"(?mdU)^##\s*(\d+)\.\s+(\d+(?:\.\d+)*)\s+", "$1.$2 "),
     (r"(?mdU)^##\s*(\d+\.\d+(?:\.\d+)*)\s+", "$1 "),
 )
+#: Numbers with a gap inside, until nothing changes.
 BROKEN_NUMBERS = (
     (r"(?mdU)^(\s*(?:#{2,3}\s*)?(?:[-•]\s*)?)(\d+)\.\s+(\d+)(?=\s)", "$1$2.$3"),
     (r"(?mdU)^(\s*(?:#{2,3}\s*)?(?:[-•]\s*)?)(\d+\.\d+)\.\s+(\d+)(?=\s)", "$1$2.$3"),
 )
+#: White space, brackets and the appendix heading.
 TIDY = (
     (r"[ \t]+", " "),
     (r"\n{3,}", "\n\n"),
@@ -53,8 +62,8 @@ TIDY = (
     (r"(?iU)\(\s*([a-zivx\d]+)\s*\)", "($1)"),
     (r"(?mdU)^Appendix\s*$", "## Appendix"),
 )
-#: Passes of the rules that repeat until nothing changes: numbering of more levels than this stays as it is.
-PASSES = {"false_headers": 2, "broken_numbers": 6}
+#: What each pass of the repeated rules that changes something takes away at least one of.
+FEWER = {FALSE_HEADERS: "##", BROKEN_NUMBERS: r"(?U)\d\.\s"}
 
 
 def rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -63,6 +72,24 @@ def rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def guarded(text: Column, sign: str, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The rules, on texts that hold the sign which all of them need."""
+    return _bound(text, lambda t: F.when(t.contains(sign), rewrite(t, rules)).otherwise(t))
+
+
+def _bound(text: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a text that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(text), use), F.lit(0))
+
+
+def settled(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The rules again and again until nothing changes: one pass, and where a rule still matches as many as there are signs
+    that a pass takes away."""
+    again = lambda t: F.aggregate(F.sequence(F.lit(1), F.regexp_count(t, F.lit(FEWER[rules]))), t, lambda a, _: rewrite(a, rules))
+    matches = lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p, _ in rules])
+    return _bound(rewrite(text, rules), lambda t: F.when(matches(t), again(t)).otherwise(t))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, as Unicode has it."""
     return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -79,16 +106,21 @@ def _title(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _nfkc(text)).otherwise(text)
+    """A Python function gets every row, whatever condition stands around it: ASCII texts go to it as nulls."""
+    other = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    return F.coalesce(_nfkc(other), text)
 
 
 def normalise_page(text: Column) -> Column:
     """All rules but NFKC, which comes first (it may run on whole documents: the page mark is ASCII)."""
-    text = F.translate(text, *LITERALS)
-    for rules in (SPACING, ARTIFACTS, BREAKS, PARAGRAPH_SIGNS, ITEMS):
-        text = rewrite(text, rules)
-    text = rewrite(text, FALSE_HEADERS * PASSES["false_headers"])
-    text = rewrite(text, BROKEN_NUMBERS * PASSES["broken_numbers"])
+    text = rewrite(F.translate(text, *LITERALS), SPACING[:3])
+    text = rewrite(guarded(text, "§", SPACING[3:]), ARTIFACTS)
+    text = rewrite(text, BREAKS[:2])
+    text = guarded(text, "##", BREAKS[2:4])
+    text = guarded(text, "(", BREAKS[4:5])
+    text = guarded(text, "§", BREAKS[5:] + PARAGRAPH_SIGNS)
+    text = guarded(text, "(", ITEMS)
+    text = settled(settled(text, FALSE_HEADERS), BROKEN_NUMBERS)
     return strip(rewrite(text, TIDY))
 
 
@@ -96,20 +128,26 @@ def normalise_text(text: Column) -> Column:
     return normalise_page(nfkc(text))
 
 
-def clean_title(title: Column, max_words: int = 14) -> Column:
-    """White space collapsed, `` .;,:`` stripped, the first words (14 for headings, 10 for subunits)."""
-    words = F.split(F.btrim(F.regexp_replace(strip(title), r"(?U)\s+", " "), F.lit(" .;,:")), " ")
-    return F.array_join(F.slice(words, 1, max_words), " ")
+#: Fixed values of headings: signs stripped at their ends, and words kept of a heading's title; the number before a
+#: subsection's text, where its title ends, signs stripped from it, and its longest length in letters and words.
+HEADING_ENDS, HEADING_WORDS = " .;,:", 14
+LEAD_NUMBER, TITLE_END, TITLE_ENDS, TITLE_CHARS, TITLE_WORDS = r"(?U)^\d+\.\d+(?:\.\d+)*\s+", r"(?dU)^(.+?)[.:](?:\s|$)", " ;,.-:", 120, 14
+
+
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+
+
+def clean_title(title: Column, max_words: int = HEADING_WORDS) -> Column:
+    """White space collapsed, signs at the ends stripped, the first words (14 for headings, 10 for subunits)."""
+    return F.array_join(F.slice(F.split(F.btrim(_flat(title), F.lit(HEADING_ENDS)), " "), 1, max_words), " ")
 
 
-def infer_title(text: Column, max_chars: int = 120, max_words: int = 14) -> Column:
-    """The words before the first ``.`` or ``:`` that ends a word, if short enough; else null."""
-    flat = strip(F.regexp_replace(strip(text), r"(?U)\s+", " "))
-    flat = strip(F.regexp_replace(flat, r"(?U)^\d+\.\d+(?:\.\d+)*\s+", ""))
-    inner = F.nullif(F.regexp_extract(flat, r"(?dU)^(.+?)[.:]\s", 1), F.lit(""))
-    last = F.nullif(F.regexp_extract(flat, r"(?dU)^(.+?)[.:]$", 1), F.lit(""))
-    found = F.nullif(F.btrim(F.coalesce(inner, last), F.lit(" ;,.-:")), F.lit(""))
-    return F.when((F.length(found) <= max_chars) & (F.size(F.split(found, r"(?U)\s+")) <= max_words), found)
+def infer_title(text: Column, max_chars: int = TITLE_CHARS, max_words: int = TITLE_WORDS) -> Column:
+    """What stands between a subsection's number and the first sign that ends a word, if short enough; else null."""
+    said = F.regexp_extract(strip(F.regexp_replace(_flat(text), LEAD_NUMBER, "")), TITLE_END, 1)
+    short = lambda t: (t != "") & (F.length(t) <= max_chars) & (F.size(F.split(t, r"(?U)\s+")) <= max_words)
+    return F.get(F.filter(F.array(F.btrim(said, F.lit(TITLE_ENDS))), short), F.lit(0))
 
 
 def title_case(title: Column) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,37 +25,61 @@ def md5_bucket(token: Column, buckets: int = BUCKETS) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
 
 
-def _blake_bucket(buckets: int):
-    @F.pandas_udf("bigint")
-    def bucket(token: pd.Series) -> pd.Series:
-        return token.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % buckets)
-
-    return bucket
-
-
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token, tf): one row per distinct token of a text; the counts combine before the shuffle."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+def _blake_postings(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, int] = {}
+            rows, names, weights = [], [], []
+            for at, found in enumerate(batch.column(1).to_pylist()):
+                terms: dict[int, float] = {}
+                for token, n in Counter(found).items():
+                    if (bucket := known.get(token)) is None:
+                        bucket = known[token] = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big") % buckets
+                    terms[bucket] = terms.get(bucket, 0.0) + 1 + math.log(n)
+                rows += [at] * len(terms)
+                names += terms
+                weights += terms.values()
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array(weights, pa.float64())], names=["id", "bucket", "weight"])
+
+    return run
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(id, terms): a row per document with its (bucket, weight) pairs by ascending bucket, counted inside the row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("sorted"))
+    first = F.filter(F.transform("sorted", lambda _, i: i), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
+    rows = rows.select("id", "sorted", first.alias("first"))
+    after = F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(F.size("sorted")))
+    term = lambda at, end: F.struct(md5_bucket(F.get("sorted", at), buckets).alias("bucket"), (F.lit(1.0) + F.log((end - at).cast("double"))).alias("weight"))
+    rows = rows.select("id", F.array_sort(F.when(F.size("first") > 0, F.zip_with("first", after, term)).otherwise(F.array().cast("array<struct<bucket:bigint,weight:double>>"))).alias("terms"))
+    # tokens that share a bucket are neighbours now: their weights go to the first of them
+    place = F.filter(F.transform("terms", lambda _, i: i), lambda i: (i == 0) | (F.get("terms", i).bucket != F.get("terms", i - 1).bucket))
+    rows = rows.select("id", "terms", place.alias("place"))
+    after = F.concat(F.slice("place", F.lit(2), F.size("place")), F.array(F.size("terms")))
+    total = lambda at, end: F.aggregate(F.slice("terms", at + 1, end - at), F.lit(0.0), lambda s, t: s + t.weight)
+    merged = F.zip_with("place", after, lambda at, end: F.struct(F.get("terms", at).bucket.alias("bucket"), total(at, end).alias("weight")))
+    return rows.select("id", F.when(F.size("place") == F.size("terms"), F.col("terms")).otherwise(merged).alias("terms"))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, mode: str = "md5") -> DataFrame:
-    """(id, bucket, weight): 1 + ln(tf) per token, summed over the tokens that share a bucket.
+    """(id, bucket, weight): 1 + ln(tf) per token, summed over the tokens of a document that share a bucket; rows with one id are
+    documents of their own.
 
-    mode md5 stays in the JVM; blake2b hashes the distinct tokens once in Python and joins them back. Never mix modes in an index."""
+    mode md5 stays in the JVM, without a shuffle; blake2b hashes each batch's distinct tokens in Python. Never mix modes in an index."""
     if mode not in HASH_MODES:
         raise ValueError(f"unknown hash mode {mode!r}; known: {', '.join(HASH_MODES)}")
-    counts = term_counts(docs, id_col, text_col)
     if mode == "md5":
-        counts = counts.withColumn("bucket", md5_bucket(F.col("token"), buckets))
-    else:
-        hashed = counts.select("token").distinct().withColumn("bucket", _blake_bucket(buckets)(F.col("token")))
-        counts = counts.join(hashed, "token")
-    return counts.groupBy("id", "bucket").agg(F.sum(F.lit(1.0) + F.log(F.col("tf").cast("double"))).alias("weight"))
+        rows = encoded(docs, id_col, text_col, buckets)
+        # outer: else a filter on the array's size is pushed below and computes the array again, for each of its elements
+        return rows.select("id", F.explode_outer("terms").alias("term")).where("term is not null").select("id", "term.bucket", "term.weight")
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).mapInArrow(_blake_postings(buckets), f"id {kind}, bucket bigint, weight double")
 
 
 def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(bucket, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); n_docs has one row with column n, which counts
-    documents without tokens too."""
+    """(bucket, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), where df counts the documents (rows of postings) that hold
+    a bucket; n_docs has one row with column n, which counts documents without tokens too."""
     df = posted.groupBy("bucket").agg(F.count("*").alias("df"))
     n = n_docs.select("n").scalar()
     return df.select("bucket", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

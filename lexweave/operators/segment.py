@@ -223,15 +223,15 @@ def _complete(units: DataFrame) -> DataFrame:
     return units.select("source", "u", F.coalesce("p", F.lit(0)).alias("p"), *UNIT_COLUMNS, "page_numbers", "text")
 
 
-def semantic_units(raw: DataFrame) -> DataFrame:
-    """Raw documents (source, markdown) to semantic units with ids and token counts. Each document goes through the branch of
-    its format only."""
-    docs = written(documents(raw), "pages")  # five branches read it
+def semantic_units(raw: DataFrame, keep_lead_in: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """Raw documents (source, markdown) to semantic units with ids and token counts (of the stand-in tokenizer). Each document
+    goes through the branch of its format only. ``pages`` is documents(raw), if that is written already: five branches read it."""
+    docs = written(documents(raw), "pages") if pages is None else pages
     of = lambda name: docs.where(F.col("format") == name)
-    numeric = numeric_sections(lines(of("numeric")))
+    numeric = written(numeric_sections(lines(of("numeric"))), "numeric")
     branches = [
-        article_subunits(article_sections(lines(of("article")))),
-        roman_subunits(roman_sections(lines(of("roman")))),
+        article_subunits(article_sections(lines(of("article"))), keep_lead_in),
+        roman_subunits(roman_sections(lines(of("roman"))), keep_lead_in),
         numeric_subsections(numeric.where("section_type != 'appendix'")),
         appendix_blocks(numeric.where("section_type = 'appendix'")),
         fallback_units(of("fallback")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata, normalize, sparse
 from ..operators import chunk, retrieval, segment
 from ..sources import index
-from ..sources.shared import spread, table
+from ..sources.shared import spread, table, written
 from .fixtures import contracts, rows_sql, whole_contracts
 from .fixtures import SQL as CONTRACTS
 
@@ -62,8 +62,9 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = sparse.postings(table(spark, sf_dir, "benchmark"), "item_id")
-    return retrieval.sparse_top_k(asked, _postings(spark, sf_dir), _weights(spark, sf_dir))
+    asked = written(sparse.postings(table(spark, sf_dir, "benchmark"), "item_id"), "asked")
+    hits = retrieval.matched(asked, _postings(spark, sf_dir))
+    return retrieval.sparse_top_k(asked, hits, sparse.idf(hits, _docs(spark, sf_dir).agg(F.count("*").alias("n"))))
 
 
 @registered(f"SELECT doc_id, len(l)::BIGINT AS n_tokens, array_to_string(l, ' ') AS tokens FROM (SELECT doc_id, {_TOKENS} AS l FROM documents)")
@@ -82,10 +83,10 @@ def sparse_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array form: ascending indices and their values."""
-    rows = _postings(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("v"))
+    rows = sparse.encoded(_docs(spark, sf_dir).where(F.lower("text").rlike("[a-z0-9]")))
     return rows.select(
-        F.col("id").alias("doc_id"), F.array_join(F.transform("v", lambda x: x.getField("bucket").cast("string")), ",").alias("indices"),
-        F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x.getField("weight"))), ",").alias("weights"),
+        F.col("id").alias("doc_id"), F.array_join(F.transform("terms", lambda x: x.getField("bucket").cast("string")), ",").alias("indices"),
+        F.array_join(F.transform("terms", lambda x: F.format_string("%.6f", x.getField("weight"))), ",").alias("weights"),
     )
 
 
@@ -142,7 +143,8 @@ _CONTEXT = _RERANK + """, contexts AS (SELECT query_id, string_agg('[' || rank |
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rrf([_dense_ranked(spark, sf_dir), _sparse_ranked(spark, sf_dir)])
+    """Written: the few ranked rows are joined to texts later, and their known size spares the texts a shuffle."""
+    return written(retrieval.rrf([_dense_ranked(spark, sf_dir), _sparse_ranked(spark, sf_dir)]), "fused")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +157,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rerank(_fused(spark, sf_dir), _asked(spark, sf_dir), _stored(spark, sf_dir))
+    return written(retrieval.rerank(_fused(spark, sf_dir), _asked(spark, sf_dir), _stored(spark, sf_dir)), "reranked")
 
 
 @registered(f"WITH {_RRF} SELECT query_id, id AS doc_id, score, rank::BIGINT AS rank FROM fused")
@@ -168,6 +170,16 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(retrieval.retrieve("hybrid", lambda: _dense_ranked(spark, sf_dir), lambda: _sparse_ranked(spark, sf_dir)))
 
 
+@registered(f"WITH {_SPARSE} SELECT query_id, id AS doc_id, score, rank::BIGINT AS rank FROM sparse")
+def bm25_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(retrieval.retrieve("bm25", lambda: _dense_ranked(spark, sf_dir), lambda: _sparse_ranked(spark, sf_dir)))
+
+
+@registered(f"WITH {_dense('a.vec_id IN (SELECT item_id FROM benchmark)')} SELECT query_id, id AS doc_id, score, rank::BIGINT AS rank FROM dense")
+def vector_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(retrieval.retrieve("vector", lambda: _dense_ranked(spark, sf_dir), lambda: _sparse_ranked(spark, sf_dir)))
+
+
 @registered(f"WITH {_RERANK} SELECT query_id, id AS doc_id, score, rank::BIGINT AS rank FROM reranked")
 def rerank_topk_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(_reranked(spark, sf_dir))
@@ -198,7 +210,8 @@ w AS (SELECT doc_id, text, k, i, l[i * 216 + 1 : i * 216 + 256] AS part FROM (SE
 
 @registered(f"WITH {_WINDOWS} SELECT doc_id, i::BIGINT AS window_no, len(part)::BIGINT AS n_tokens, array_to_string(part, ' ') AS part FROM w")
 def token_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunk.windows(chunk.tokens(F.col("text")))).alias("window_no", "part"))
+    rows = _docs(spark, sf_dir).select("doc_id", chunk.tokens(F.col("text")).alias("tokens"))
+    rows = rows.select("doc_id", F.posexplode(chunk.windows(F.col("tokens"))).alias("window_no", "part"))
     return rows.select("doc_id", F.col("window_no").cast("bigint"), F.size("part").cast("bigint").alias("n_tokens"), F.array_join("part", " ").alias("part"))
 
 
@@ -235,8 +248,8 @@ _TRIM = f"regexp_replace(x, '^{_STRIP}|{_STRIP}$', '', 'g')"
 )
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed greedily, a line as a paragraph."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunk.pack(F.coalesce("text", F.lit("")), separator="\n")).alias("part_no", "part"))
-    return rows.select("doc_id", F.col("part_no").cast("bigint"), F.size(chunk.tokens(F.col("part"))).cast("bigint").alias("n_tokens"), "part")
+    rows = chunk.packed(_docs(spark, sf_dir).select("doc_id", "text"), separator="\n").select("doc_id", F.posexplode("_chunks").alias("part_no", "piece"))
+    return rows.select("doc_id", F.col("part_no").cast("bigint"), F.col("piece.n").cast("bigint").alias("n_tokens"), F.col("piece.text").alias("part"))
 
 
 # --- metadata and normalisation ----------------------------------------------------------------------------------------

@@ -5,41 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..operators import retrieval
 from ..sources.config import Config
 from ..sources.index import Embedder, HashEmbedder, embed
+from ..sources.shared import written
 
+Scorer = Callable[[Column, Column], Column]
 
-def search(queries: DataFrame, index: dict[str, DataFrame], config: Config = Config(), factory: Callable[[], Embedder] = HashEmbedder, prefix: str = "query: ") -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, query) by the configured method. Chunk ids are numbered for the search and
-    named again after it."""
-    names = index["chunks"].select("chunk_id", F.xxhash64("chunk_id").alias("id"))
-    numbered = lambda t: t.withColumn("id", F.xxhash64("id"))
+
+def search(queries: DataFrame, index: dict[str, DataFrame], config: Config = Config(), factory: Callable[[], Embedder] = HashEmbedder, prefix: str = "query: ", scorer: Scorer = retrieval.lexical_scorer) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, query) by the configured method. The search runs on the numbers that the
+    index gave its chunks; the few ranked ones get their chunk ids after it."""
 
     def dense() -> DataFrame:
-        asked = embed(queries, factory, "query_id", "query", prefix).select(F.col("id").alias("query_id"), "vector")
-        return retrieval.dense_top_k(asked, numbered(index["dense"]), config.k_dense)
+        asked = embed(queries, factory, "query_id", "query", prefix, config.embed_batch).select(F.col("id").alias("query_id"), "vector")
+        return retrieval.dense_top_k(asked, index["dense"], config.k_dense)
 
     def by_terms() -> DataFrame:
-        asked = sparse.postings(queries, "query_id", "query", mode=config.hash_mode)
-        return retrieval.sparse_top_k(asked, numbered(index["postings"]), index["idf"], config.k_sparse)
+        asked = written(sparse.postings(queries, "query_id", "query", mode=config.hash_mode), "asked")
+        return retrieval.sparse_top_k(asked, index["postings"].join(asked.select("bucket").distinct(), "bucket", "left_semi"), index["idf"], config.k_sparse)
 
     def ranked_again(ranked: DataFrame) -> DataFrame:
-        texts = index["chunks"].select(F.xxhash64("chunk_id").alias("id"), F.col("page_content").alias("text"))
-        return retrieval.rerank(ranked, queries, texts, config.k_rerank)
+        return retrieval.rerank(written(ranked, "ranked"), queries, index["chunks"].select("id", F.col("page_content").alias("text")), config.k_rerank, scorer)
 
     found = retrieval.retrieve(config.method, dense, by_terms, config.k_fused, config.rank_constant, ranked_again if config.rerank else None)
-    return found.join(names, "id").select("query_id", F.col("chunk_id").alias("id"), "score", "rank")
+    return written(found, "found").join(index["chunks"].select("id", "chunk_id"), "id").select("query_id", F.col("chunk_id").alias("id"), "score", "rank")
 
 
-def answer(queries: DataFrame, index: dict[str, DataFrame], config: Config = Config(), generate: Callable[[list[str]], list[str]] | None = None, factory: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
+def answer(queries: DataFrame, index: dict[str, DataFrame], config: Config = Config(), generate: Callable[[list[str]], list[str]] | None = None, factory: Callable[[], Embedder] = HashEmbedder, scorer: Scorer = retrieval.lexical_scorer) -> DataFrame:
     """(query_id, prompt), and answer if a generator is given: a function from prompts to texts, called per batch."""
     rows = index["chunks"].select(F.col("chunk_id").alias("id"), F.col("page_content").alias("text"), "title", "document_title", "source", "source_path")
-    prompts = retrieval.build_prompt(retrieval.format_context(search(queries, index, config, factory), rows), queries)
+    prompts = retrieval.build_prompt(retrieval.format_context(written(search(queries, index, config, factory, scorer=scorer), "shown"), rows), queries)
     if generate is None:
         return prompts
 

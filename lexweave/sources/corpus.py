@@ -21,8 +21,10 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFram
 
 
 def first_documents(files: DataFrame, max_documents: int | None) -> DataFrame:
-    """The first files by name, chosen before anything is read or parsed."""
-    return files if max_documents is None else files.orderBy("source").limit(max_documents)
+    """The first files by name, chosen by their names alone: only theirs is the content that is read."""
+    if max_documents is None:
+        return files
+    return files.join(files.select("source").orderBy("source").limit(max_documents), "source", "left_semi")
 
 
 def extract(files: DataFrame, extractor: Extractor) -> DataFrame:

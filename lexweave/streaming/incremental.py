@@ -1,29 +1,32 @@
-"""Incremental indexing: a stream of page-marked texts, parsed per micro-batch and appended by id.
+"""Incremental indexing: a stream of page-marked texts, parsed per micro-batch and added to an index as a segment.
 
-Parsing is stateless per document, so a micro-batch needs no state; readers take the last row of each id and derive the
-weights when they read, since document frequencies change with every batch."""
+Parsing is stateless per document, so a micro-batch needs no state; open_index takes the last segment's chunk of each id and
+derives the weights when it reads, since document frequencies change with every batch."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.index import chunks, latest
+from ..sources.config import Config
+from ..sources.index import Embedder, HashEmbedder, open_index, upsert_index
 
 
-def follow(spark: SparkSession, folder: str, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, path: str, checkpoint: str, available_now: bool = True, factory: Callable[[], Embedder] = HashEmbedder, config: Config = Config()) -> StreamingQuery:
     """Index new text files of a folder into ``path``; run again, it takes up where it stopped."""
     lines = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
     raw = lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("markdown"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        made = chunks(batch).withColumn("ingest_seq", F.lit(batch_id).cast("bigint"))
-        made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")  # a batch that runs again replaces itself
+        upsert_index(batch, path, factory, config, number=batch_id)  # a batch that runs again replaces its segment
 
     query = raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch"), "chunk_id", "ingest_seq")
+    """The live chunks."""
+    return open_index(spark, path)["chunks"]
