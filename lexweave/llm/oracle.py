@@ -55,20 +55,34 @@ _KEYS = "[" + ", ".join(map(_quoted, licences.KNOWN)) + "]"
 _IDS = "[" + ", ".join(map(_quoted, licences.KNOWN.values())) + "]"
 
 
+def _swapped(text: str, rule: tuple[str, str], flags: str = "") -> str:
+    pattern, by = rule
+    return f"regexp_replace({text}, '{flags}{pattern}', '{by.replace('$', chr(92))}', 'g')"
+
+
 def _identified(marked: str) -> str:
-    pieces = f"[trim(regexp_replace(x, '[.!?]', '', 'g')) FOR x IN string_split({marked}, '|')]"
+    pieces = f"[trim(regexp_replace(x, '[.!?]', '', 'g')) FOR x IN string_split({_swapped(marked, licences.HOLDER)}, '|')]"
     return f"[{_IDS}[list_position({_KEYS}, x)] FOR x IN {pieces} IF list_contains({_KEYS}, x)]"
 
 
-_RULE_ROWS = ", ".join(f"({_quoted(name)}, {_quoted('%<' + '>%<'.join(ids) + '>%')})" for name, ids in licences.RULES)
+_PARAGRAPHS = r"regexp_replace(t, '(?m)^ *copyright( c)? (\d{4}|yyyy|year)\b.*$', chr(10) || chr(10), 'g')"
+_PARAGRAPHS = rf"regexp_replace({_PARAGRAPHS}, '\n *\n[ \n]*', '|', 'g')"
+for _before, _after in licences.GOES_ON:
+    _PARAGRAPHS = _swapped(_PARAGRAPHS, ("(" + _before.replace(" ", r"[ \n]+") + r")[ \n]*\|[ \n]*(" + _after.replace(" ", r"[ \n]+") + ")", "$1 $2"))
+_PARAGRAPHS = rf"regexp_replace(regexp_replace({_PARAGRAPHS}, ' *\n *', ' ', 'g'), '[.!?]+ ', '|', 'g')"
+_LINED, _WRAPPED = r"regexp_replace(t, '[.!?]* *\n|[.!?]+ ', '|', 'g')", r"regexp_replace(regexp_replace(t, ' *\n[ \n]*', ' ', 'g'), '[.!?]+ ', '|', 'g')"
+_RULE_ROWS = ", ".join(
+    f"({_quoted(name)}, {_quoted('%<' + '>%<'.join(ids) + '>%')}, [{', '.join(map(_quoted, inside))}]::VARCHAR[])" for (name, ids), inside in zip(licences.RULES, licences.INSIDE, strict=True)
+)
 LICENCES = rf"""
-WITH d AS (SELECT doc_id, regexp_replace(lower({_TEXT}), '[^a-z0-9.!?\n]+', ' ', 'g') AS t FROM documents),
-i AS (SELECT doc_id, {_identified("regexp_replace(t, '[.!?]* *' || chr(10) || '|[.!?]+ ', '|', 'g')")} AS lined,
-  {_identified("regexp_replace(regexp_replace(t, ' *' || chr(10) || '[ ' || chr(10) || ']*', ' ', 'g'), '[.!?]+ ', '|', 'g')")} AS wrapped FROM d),
-j AS (SELECT *, array_to_string(['<' || x || '>' FOR x IN lined], '') AS a, array_to_string(['<' || x || '>' FOR x IN wrapped], '') AS b FROM i),
-n AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n FROM j, (VALUES {_RULE_ROWS}) r(name, p) WHERE a LIKE p OR b LIKE p GROUP BY doc_id)
-SELECT j.doc_id, greatest(len(lined), len(wrapped))::BIGINT AS n_sentences, array_to_string(CASE WHEN len(wrapped) > len(lined) THEN wrapped ELSE lined END, ',') AS sentence_ids,
-  coalesce(names, '') AS licences, coalesce(n, 0)::BIGINT AS n_licences FROM j LEFT JOIN n USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_swapped(f"regexp_replace(lower({_TEXT}), '[^a-z0-9.!?{chr(92)}n]+', ' ', 'g')", licences.VERSION)} AS t FROM documents),
+i AS (SELECT rid, doc_id, {_identified(_LINED)} AS lined, {_identified(_WRAPPED)} AS wrapped, {_identified(_PARAGRAPHS)} AS paragraphs FROM d),
+j AS (SELECT *, greatest(len(lined), len(wrapped), len(paragraphs)) AS most, [array_to_string(['<' || x || '>' FOR x IN y], '') FOR y IN [lined, wrapped, paragraphs]] AS said FROM i),
+h AS (SELECT DISTINCT rid, name, inside FROM (SELECT * FROM j WHERE most > 0) j, (VALUES {_RULE_ROWS}) r(name, p, inside) WHERE said[1] LIKE p OR said[2] LIKE p OR said[3] LIKE p),
+a AS (SELECT rid, list(name) AS all_names FROM h GROUP BY rid),
+n AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n FROM h JOIN a USING (rid) WHERE NOT list_has_any(inside, all_names) GROUP BY rid)
+SELECT doc_id, most::BIGINT AS n_sentences, array_to_string(CASE WHEN len(lined) = most THEN lined WHEN len(wrapped) = most THEN wrapped ELSE paragraphs END, ',') AS sentence_ids,
+  coalesce(names, '') AS licences, coalesce(n, 0)::BIGINT AS n_licences FROM j LEFT JOIN n USING (rid)
 """
 
 

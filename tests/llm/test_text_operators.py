@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexweave.llm import bpe, decontaminate, golay, langid, licences, lm, quality, simhash
+from lexweave.llm import bpe, decontaminate, golay, langid, licences, lm, oracle, quality, simhash
 from lexweave.llm.common import slices
 from lexweave.llm.components import components
 
@@ -496,6 +497,89 @@ def test_wrapped_standard_texts(spark):
     assert {r.doc_id: r.licences for r in licences.scan(table).collect()} == {i: name for i, (_, name) in enumerate(rows)}
 
 
+BSD3 = """Copyright (c) 2011, Example Org
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+BSD2 = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS") :]
+ISC = """Copyright (c) 2019 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+GPL3 = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+LATER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+APACHE_TERMS = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        (BSD3, "BSD-3-Clause"), (BSD2, "BSD-2-Clause"), (BSD3.replace("\n\n1.", "\n1."), "BSD-3-Clause"), ("BSD 2-Clause License\n\n" + BSD3, "BSD-2-Clause,BSD-3-Clause"),
+        (ISC, "ISC"), (ISC.replace("and/or", "and"), "ISC"), (ISC.replace(", provided", " if provided"), ""), (MPL, "MPL-2.0"), (MPL.replace("v. 2.0", "v. 1.1"), ""), (GPL3, "GPL-3.0"), (GPL3.replace("29 June", "30 June"), ""),
+        (GPL3.replace("GENERAL", "LESSER GENERAL"), "LGPL-3.0"), (LATER, "LGPL-2.1-or-later"), (LATER.replace("either\nversion 2.1 of the License, or (at your option) any later version", "version 2.1 of the License"), "LGPL-2.1-only"),
+        (LATER.replace("Lesser General", "General").replace("2.1", "2").replace("library", "program"), "GPL-2.0-or-later"), (LATER.replace("2.1", "2.5"), ""),
+        (APACHE_TERMS, "Apache-2.0"), (APACHE_TERMS.replace("2.0, January 2004", "1.1"), ""), (ZLIB, "Zlib"), (ZLIB.replace("no event", "any event"), ""),
+        ("# SPDX-License-Identifier: MIT\nimport x", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("SPDX-License-Identifier: MITX", ""),
+        ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"), ("Licensed under CC BY-SA 2.0.", ""),
+    ],
+)
+def test_licence_texts_and_near_misses(spark, text, name):
+    """Standard texts, written out here; SQL says the same of each."""
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = licences.scan(rows).collect()
+    assert [r.licences for r in found] == [name]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents AS SELECT 1::BIGINT AS doc_id, $1::VARCHAR AS text", [text])
+    sql = duck.sql(oracle.LICENCES)
+    assert [dict(zip(sql.columns, r, strict=True)) for r in sql.fetchall()] == [r.asDict() for r in found]
+
+
 def plain_licences(text):
     import re
 
