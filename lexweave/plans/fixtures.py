@@ -1,4 +1,7 @@
-"""Contracts made in the query from the documents' own letters, and their expected texts in SQL."""
+"""Contracts made in the query from the documents' whole texts, and their expected rows in SQL.
+
+A text's lines are its letters in lower case (no line of it can then look like a heading), each behind a ``w``; the one word that
+stands for a heading anywhere in a line is swapped. The first half of the lines fills one slot of a template, the rest the other."""
 
 from __future__ import annotations
 
@@ -8,59 +11,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE = "<<<PAGE_BREAK>>>"
-#: Templates by doc_id mod 4; {b1} and {b2} are letters of the document's text.
+#: Templates by doc_id mod 4.
 TEMPLATES = (
-    "## MASTER AGREEMENT\nAcme Web, Inc., and Beta LLC, made with acme web inc,\n\nARTICLE I\nDEFINITIONS\nSection 1.1 Terms.\n{b1}\n(a) First item. {b2}\n(b) Second item. {b1}\n"
-    + PAGE + "ARTICLE II\nSection 2.1 Scope\n{b2}\n\n\nSection 2.2 Notices.\n{b1}",
-    "Front {b1}\n\n1. Term\n1.1 Length. {b1}\n- 1.2 {b2}\n" + PAGE + "2. Payment\n{b2}\n\n2.1 Fees: {b1}\n## Appendix\nSchedule One\n- {b1}\n3. Not a section",
-    "Preamble {b1}\n## I. General\n## § 1 Scope\n{b1}\n(1) Area. {b2}\n(2) Limits: {b1}\n" + PAGE + "## II. Payment\n{b2}\nA. Lettered\n{b1}\n## § 2 Price\n{b2}",
-    "{b1}\n{b2}\n\n\n{b1} again\n" + PAGE + "\n" + PAGE + "tail {b2}",
+    "## MASTER AGREEMENT\nAcme Web, Inc., and Beta LLC, made with acme web inc,\nWHEREAS Gamma Corp, joins them,\n\nARTICLE I\nDEFINITIONS\nSection 1.1 Terms.\nLead words\n(a) First item. {b1}\n"
+    + "(b) Second item. More\n" + PAGE + "ARTICLE II\nSection 2.1 Scope\n{b2}\n\n\nSection 2.2 Notices.\nBy letter\nARTICLE III\nSECTION 9 RULES\nSection 3.1 Last Words.\nend",
+    "Front {b1}\n\n1. Term\n1.1 Length. Long\n- 1.2 {b2}\n" + PAGE + "2. Payment\nWords\n\n2.1 Fees: due\n### 2.2.1 Deep\n## Appendix\nSchedule One\n- item\n3. Not a section",
+    "Preamble {b1}\n## I. General\n## § 1 Scope\nLead\n(1) Area. {b2}\n(2) Limits: few\n" + PAGE + "## II. Payment\nwords\nA. Lettered\nmore\n## § 2 Price\nend\n## C. Foo\nlast",
+    "{b1}\nplain line\n\n\n{b2} again\n" + PAGE + "\n" + PAGE + "tail words",
 )
+FORMATS = ("article", "numeric", "roman", "fallback")
 
 
-def _source() -> Column:
-    return F.concat(F.lit("data/raw/CUAD_v1/full_contract_pdf/Part_I/"), F.coalesce("lang", F.lit("xx")), F.lit("/GoodDoc"), F.col("doc_id").cast("string"), F.lit("Inc_20070810_S-1.pdf"))
-
-
-def _made(docs: DataFrame, b1: Column, b2: Column) -> DataFrame:
-    chosen, slots = None, {"{b1}": b1, "{b2}": b2}
-    for i, template in enumerate(TEMPLATES):
-        built = F.concat(*[slots.get(part, F.lit(part)) for part in re.split(r"(\{b[12]\})", template) if part])
-        here = F.pmod(F.col("doc_id"), F.lit(4)) == i
-        chosen = F.when(here, built) if chosen is None else chosen.when(here, built)
-    return docs.where("doc_id is not null").select("doc_id", _source().alias("source"), chosen.alias("markdown"))
+def _lines(text: Column) -> Column:
+    letters = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z]+", " ")))
+    return F.transform(F.filter(letters, lambda x: x != ""), lambda x: F.concat(F.lit("w"), F.replace(F.lower(x), F.lit("article"), F.lit("item"))))
 
 
 def contracts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and markdown; a contract per document, of the first 120 letters of its text (those that SQL lists)."""
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")
-    b1, b2 = (F.concat(F.lit("x"), F.trim(F.substring(letters, at, 60))) for at in (1, 61))
-    return _made(docs, b1, b2)
-
-
-def whole_contracts(docs: DataFrame) -> DataFrame:
-    """The same with every line of the text: the first half of its lines in one slot, the others in the other."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    half = F.ceil(F.size(lines) / 2).cast("int")
-    b1, b2 = F.slice(lines, F.lit(1), half), F.slice(lines, half + 1, F.size(lines))
-    return _made(docs, F.array_join(b1, "\n"), F.array_join(b2, "\n"))
+    """doc_id, source and markdown; a contract per document, of its whole text. A document without an id is named by its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("0"), F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10)))
+    source = F.concat(F.lit("data/raw/CUAD_v1/full_contract_pdf/Part_I/"), F.coalesce("lang", F.lit("xx")), F.lit("/GoodDoc"), name, F.lit("Inc_20070810_S-1.pdf"))
+    rows = docs.select("doc_id", source.alias("source"), F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(3)).alias("kind"), _lines(F.col("text")).alias("lines"))
+    half = F.ceil(F.size("lines") / 2).cast("int")
+    joined = lambda part: F.when(F.size(part) > 0, F.array_join(part, "\n")).otherwise("w")
+    slots = {"{b1}": joined(F.slice("lines", F.lit(1), half)), "{b2}": joined(F.slice("lines", half + 1, F.size("lines")))}
+    rows = rows.select("doc_id", "source", "kind", slots["{b1}"].alias("b1"), slots["{b2}"].alias("b2"))
+    chosen = None
+    for i, template in enumerate(TEMPLATES):
+        built = F.concat(*[F.col(part[1:-1]) if part in slots else F.lit(part) for part in re.split(r"(\{b[12]\})", template) if part])
+        chosen = F.when(F.col("kind") == i, built) if chosen is None else chosen.when(F.col("kind") == i, built)
+    return rows.select("doc_id", "source", chosen.alias("markdown"))
 
 
-#: The same letters and paths in SQL, as the common table ``c``.
-SQL = """c AS (SELECT doc_id, doc_id % 4 AS kind, 'data/raw/CUAD_v1/full_contract_pdf/Part_I/' || coalesce(lang, 'xx') || '/GoodDoc' || doc_id || 'Inc_20070810_S-1.pdf' AS source,
-  'x' || trim(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), 1, 60)) AS b1, 'x' || trim(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), 61, 60)) AS b2 FROM documents)"""
+#: The same lines and paths in SQL, as the common table ``c``.
+SQL = """c0 AS (SELECT *, coalesce(doc_id::VARCHAR, '0' || ('0x' || substring(md5(coalesce(text, '')), 1, 15))::BIGINT) AS name, ['w' || replace(lower(y), 'article', 'item') FOR y IN
+  [trim(regexp_replace(z, '[^A-Za-z]+', ' ', 'g')) FOR z IN string_split(coalesce(text, ''), chr(10))] IF y <> ''] AS lines FROM documents),
+c1 AS (SELECT *, ((len(lines) + 1) // 2)::INT AS half FROM c0),
+c AS (SELECT name, coalesce(doc_id % 4, 3) AS kind, 'data/raw/CUAD_v1/full_contract_pdf/Part_I/' || coalesce(lang, 'xx') || '/GoodDoc' || name || 'Inc_20070810_S-1.pdf' AS source, coalesce(lang, 'xx') AS lang,
+  CASE WHEN len(lines) = 0 THEN 'w' ELSE array_to_string(lines[1:half], chr(10)) END AS b1, CASE WHEN len(lines) < 2 THEN 'w' ELSE array_to_string(lines[half + 1:], chr(10)) END AS b2 FROM c1)"""
 
 
-def rows_sql(kind: int, columns: tuple[str, ...], rows: list[tuple]) -> str:
-    """Expected rows of one template: strings with {b1} and {b2}, numbers or None."""
+def value_sql(v: object) -> str:
+    """A number, None, or a string with {b1} and {b2}."""
+    if v is None:
+        return "NULL"
+    if not isinstance(v, str):
+        return str(v)
+    quoted = "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return quoted.replace("{b1}", "' || b1 || '").replace("{b2}", "' || b2 || '")
 
-    def value(v: object) -> str:
-        if v is None:
-            return "NULL"
-        if not isinstance(v, str):
-            return str(v)
-        quoted = "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-        return quoted.replace("{b1}", "' || b1 || '").replace("{b2}", "' || b2 || '")
 
-    parts = [f"SELECT source, {', '.join(f'{value(v)} AS {c}' for c, v in zip(columns, row, strict=True))} FROM c WHERE kind = {kind}" for row in rows]
-    return f"WITH {SQL} " + " UNION ALL ".join(parts)
+def rows_sql(kind: int, columns: tuple[str, ...], rows: list[tuple], more: str = "") -> str:
+    """Expected rows of one template, over ``c``."""
+    parts = [f"SELECT source{more}, {', '.join(f'{value_sql(v)} AS {c}' for c, v in zip(columns, row, strict=True))} FROM c WHERE kind = {kind}" for row in rows]
+    return " UNION ALL ".join(parts)

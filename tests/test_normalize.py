@@ -34,6 +34,30 @@ def test_case(i, normal):
     assert normal[i] == CASES[i][1]
 
 
+def plain_settled(text, rules):
+    import re
+
+    while True:
+        after = text
+        for pattern, by in rules:
+            after = re.sub(pattern.replace("(?mdU)", "(?m)"), by.replace("$", "\\"), after)
+        if after == text:
+            return text
+        text = after
+
+
+def test_rules_that_repeat_until_nothing_changes(spark):
+    import random
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["## ", "1. ", "2.3 ", "4.\n", "## 5.\n", "x ", "\n", "6.7. ", "- ", "### "]) for _ in range(rnd.randint(1, 25))) for _ in range(300)]
+    texts += ["## 1.\n" * 12 + "## 2.3 x", "", "plain"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for rules in (n.FALSE_HEADERS, n.BROKEN_NUMBERS):
+        got = {r.i: r.x for r in rows.select("i", n.settled(F.col("t"), rules).alias("x")).collect()}
+        assert [got[i] for i in range(len(texts))] == [plain_settled(t, rules) for t in texts]
+
+
 def test_titles(spark):
     rows = [("13.5 Governing Law; Jurisdiction. And so on",), ("10.2 Indemnification:",), ("12.1 MA recognizes that the Technology in source form",), ("1.1 " + "w " * 15 + ".",)]
     got = spark.createDataFrame(rows, "t string").select(n.infer_title(F.col("t"))).collect()
