@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import licences, quality, urls
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -21,20 +23,32 @@ def _quoted(value: str) -> str:
 
 _SYMBOLS = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
 _BOILERPLATE = " OR ".join(f"contains(low, {_quoted(x)})" for x in quality.BOILERPLATE)
+_NAMED = "trim(regexp_replace(low, '[^a-z0-9\\x{80}-\\x{10FFFF}]+', ' ', 'g'))"
+_ENDED = "[\\x20\\x09-\\x0D]*$"
+
+
+def _in(words: tuple | frozenset) -> str:
+    return f"IN ({', '.join(map(_quoted, sorted(words)))})"
+
+
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, {_TEXT} AS text, {_words(_TEXT, _GAP)} AS l FROM documents),
-w AS (SELECT doc_id, i, l[i:i + 4] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 3)) AS i FROM d)),
-r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w) WHERE c > 1) GROUP BY doc_id),
-s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-n AS (SELECT doc_id, line, i, {_words('line', _GAP)} AS l, {_LOWER.format('line')} AS low FROM s),
-j AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k, len(l) AS n, {_SYMBOLS.format('line')} AS sym, len(line) - len(replace(line, '!', '')) AS bang,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TEXT} AS text, {_words(_TEXT, _GAP)} AS l FROM documents),
+w AS (SELECT rid, i, l[i:i + 4] AS g FROM (SELECT rid, l, unnest(range(1, len(l) - 3)) AS i FROM d)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM w) WHERE c > 1) GROUP BY rid),
+s AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+n AS (SELECT rid, line, i, coalesce(lead(line) OVER (PARTITION BY rid ORDER BY i), '') AS after, {_words('line', _GAP)} AS l, {_LOWER.format('line')} AS low FROM s),
+j AS (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS k, len(l) AS n, {_SYMBOLS.format('line')} AS sym, len(line) - len(replace(line, '!', '')) AS bang, string_split({_NAMED}, ' ') AS named,
   length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters, len([x FOR x IN range(1, len(l)) IF l[x] = l[x + 1]]) AS same FROM n WHERE len(l) > 0),
 f AS (SELECT *, (4 * sym > n AND (sym > n OR n >= 4)) OR (n >= 3 AND (2 * bang >= n OR 10 * upper > 6 * letters)) OR (n >= 6 AND 3 * same >= n)
-  OR (n <= 12 AND (contains(line, ' | ') OR contains(line, ' » ') OR contains(line, ' > '))) OR (n <= 3 AND trim(regexp_replace(low, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) IN ({', '.join(map(_quoted, quality.NAVIGATION))}))
+  OR (n BETWEEN 4 AND 25 AND regexp_matches(line, '[\p{{L}}\p{{N}}]{_ENDED}') AND NOT regexp_matches(after, '^[\x20\x09-\x0D]*\p{{Ll}}'))
+  OR (n BETWEEN 3 AND 25 AND 2 * len([x FOR x IN l IF regexp_matches(x, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]')]) < n)
+  OR (n <= 25 AND regexp_matches(line, '({"|".join(re.escape(x) for x in quality.CODE_ENDS)}){_ENDED}'))
+  OR (n <= 12 AND (contains(line, ' | ') OR contains(line, ' » ') OR contains(line, ' > ') OR len([x FOR x IN l IF x {_in(quality.SEPARATORS)}]) >= 2 OR regexp_matches(low, '{quality.COPYRIGHT}')
+    OR {_NAMED} {_in(quality.NAVIGATION)} OR (len([x FOR x IN named IF x {_in(quality.NAV_WORDS)}]) = len(named) AND len([x FOR x IN named IF x {_in(quality.PAGES)}]) >= 2)))
   OR (n <= 25 AND ({_BOILERPLATE})) AS fails FROM j),
-g AS (SELECT doc_id, count(*) AS lines, count(DISTINCT line) AS own, sum(n) FILTER (WHERE k > 1 OR fails) AS lost FROM f GROUP BY doc_id),
+g AS (SELECT rid, count(*) AS lines, count(DISTINCT line) AS own, sum(n) FILTER (WHERE k > 1 OR fails) AS lost FROM f GROUP BY rid),
 a AS (SELECT d.doc_id, len(d.l)::BIGINT AS n_words, length(array_to_string(d.l, ''))::BIGINT AS word_chars, {_SYMBOLS.format('d.text')}::BIGINT AS n_symbols,
-  coalesce(lines - own, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+  coalesce(lines - own, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words FROM d LEFT JOIN r USING (rid) LEFT JOIN g USING (rid))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_lost_words <= 0.5 * n_words AS kept FROM a
 """
 

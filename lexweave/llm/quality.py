@@ -4,18 +4,25 @@ Line rules (a line without a word is neither judged nor lost):
   symbols     more than one of ``#*$%&|<>`` to four words, in a line of four words or more; else to one word
   shouting    three words or more, of whose letters over 60 in 100 are upper case
   bangs       ``!`` in number at least half the words, three words or more
-  navigation  a ``|``, ``»`` or ``>`` between words with at most 12 words in all, or a navigation phrase alone
-  boilerplate a boilerplate phrase in a line of at most 25 words
   stutter     a third of the words or more equal the word before, six words or more
+  unended     4 to 25 words, a letter or digit at the end, and no line right after that begins with a lower-case letter
+  wordless    3 to 25 words, over half of them without a letter or digit
+  code        at most 25 words with a bracket or comment sign of program code at the end
+  navigation  a ``|``, ``»`` or ``>`` between words, or two other separators, with at most 12 words in all; a navigation phrase
+              alone; at most 12 words, all of them words of such phrases and two of them names of pages
+  boilerplate a boilerplate phrase in a line of at most 25 words; a copyright line with a year of at most 12 words
   repeated    equal to an earlier line
 A document is kept if its base counts pass and its failing lines hold at most half of its words.
 
-Defined cases: a null or empty text has no words, fails the base rule and is rejected.
+Defined cases: a null or empty text has no words, fails the base rule and is rejected; a text that loses exactly half of its
+words is kept; a very long text is read whole; repeated rows and null doc_ids are judged each; an empty table gives no row;
+further columns of any name are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +34,20 @@ from .common import keep_rows, slices, words_of
 
 WINDOW = 5
 MAX_LOST = 0.5
-#: Lines that consist of one of these only, and phrases that mark boilerplate.
-NAVIGATION = ("home", "next", "previous", "back", "back to top", "menu", "search", "login", "log in", "sign in", "sign up", "share", "read more", "more", "comments", "reply", "contact", "contact us", "about", "about us")
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "uses cookies", "accept cookies", "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "follow us on", "click here to", "lorem ipsum", "powered by wordpress")
+#: Lines that consist of one of these only; further names of pages; phrases that mark boilerplate.
+NAVIGATION = (
+    "home", "next", "previous", "back", "back to top", "menu", "search", "login", "log in", "sign in", "sign up", "share", "read more", "more", "comments", "reply",
+    "contact", "contact us", "about", "about us", "skip to content", "skip to main content", "site map",
+)
+PAGES = ("home", "menu", "search", "login", "logout", "register", "contact", "about", "share", "comments", "reply", "sitemap", "faq", "help", "blog", "news", "account", "cart", "privacy", "terms")
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "site uses cookies", "website uses cookies", "accept cookies",
+    "accept all cookies", "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "follow us on", "click here to", "lorem ipsum", "powered by wordpress",
+)
+SEPARATORS = ("·", "•", "›", "/", "::")
+CODE_ENDS = ("{", "}", ");", "*/", "-->")
+COPYRIGHT = r"^[\x20\x09-\x0D]*(copyright|\(c\)|©).*(19|20)[0-9][0-9]"
+NAV_WORDS = frozenset(w for phrase in NAVIGATION + PAGES for w in phrase.split())
 _SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>")
 _UPPER, _LETTERS, _OTHER = (bytes(c for c in range(256) if not keep(c)) for keep in (lambda c: 65 <= c <= 90, lambda c: c < 128 and 65 <= c & 0xDF <= 90, lambda c: c >= 128))
 _NAV = re.compile(rb"[^a-z0-9\x80-\xff]+")
@@ -76,7 +94,18 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def line_fails(line: bytes, words: list[bytes]) -> bool:
+_PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
+_SEPARATORS, _CODE_ENDS, _PAGES, _NAV_WORDS = ({x.encode() for x in words} for words in (SEPARATORS, CODE_ENDS, PAGES, NAV_WORDS))
+_COPYRIGHT = re.compile(COPYRIGHT.encode())
+
+
+def _unended(line: bytes, after: bytes) -> bool:
+    last, first = line.rstrip()[-4:].decode("utf-8", "ignore")[-1:], after.lstrip()[:4].decode("utf-8", "ignore")[:1]
+    return bool(last) and unicodedata.category(last)[0] in "LN" and not (first and unicodedata.category(first) == "Ll")
+
+
+def line_fails(line: bytes, words: list[bytes], after: bytes = b"") -> bool:
+    """Whether a line fails, with the line right after it."""
     n = len(words)
     symbols = len(line.translate(None, _SYMBOL))
     if 4 * symbols > n and (symbols > n or n >= 4):
@@ -91,13 +120,18 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
                 return True
     if n >= 6 and 3 * sum(map(bytes.__eq__, words, words[1:])) >= n:
         return True
-    if n <= 12 and (b" | " in line or b" \xc2\xbb " in line or b" > " in line):
-        return True
     if n > 25:
         return False
-    low = line.lower()
-    if n <= 3 and _NAV.sub(b" ", low).strip() in NAVIGATION_LINES:
+    if n >= 4 and _unended(line, after) or n >= 3 and 2 * len(line.translate(None, _PUNCTUATION).split()) < n or line.rstrip().endswith(tuple(_CODE_ENDS)):
         return True
+    low = line.lower()
+    if n <= 12:
+        if b" | " in line or b" \xc2\xbb " in line or b" > " in line or sum(w in _SEPARATORS for w in words) >= 2 or _COPYRIGHT.match(low):
+            return True
+        named = _NAV.sub(b" ", low).strip()
+        found = named.split()
+        if named in NAVIGATION_LINES or all(w in _NAV_WORDS for w in found) and sum(w in _PAGES for w in found) >= 2:
+            return True
     return any(x in low for x in BOILERPLATE_PARTS)
 
 
@@ -107,10 +141,10 @@ def clean(text: str | None) -> tuple[str, int]:
         return "", 0
     out, seen, lost = [], set(), 0
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    for line in lines:
+    for line, after in zip(lines, [*lines[1:], b""], strict=True):
         words = line.split()
         if words:
-            if line in seen or line_fails(line, words):
+            if line in seen or line_fails(line, words, after):
                 lost += len(words)
             else:
                 out.append(line)

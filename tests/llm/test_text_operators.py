@@ -118,7 +118,9 @@ def test_repeats_beyond_packed_keys():
     [
         ("An ordinary sentence of some length ends here.", False), ("of%%% the*** and$$$ to&&& be###", True), ("RR!! EAUX!! DE!! LA!!", True), ("ALL CAPITAL LETTERS IN HERE", True),
         ("home | about | contact", True), ("Read more", True), ("Copyright 2020. All rights reserved.", True), ("the the the the the the", True), ("Short.", False), ("ÄÖÜ ÀÉÈ ÑÕ", True), ("МОСКВА ГОРОД РЕКА", True),
-        ("R&D costs rose.", False),
+        ("R&D costs rose.", False), ("You can use cookies in the recipe for dessert.", False), ("We use cookies on this site.", True), ("Home About Contact Login", True), ("Copyright 2024 Example Corp", True),
+        ("The copyright of 1998 was hers.", False), ("Skip to content", True), ("... ... ... ...", True), ("if (found) { return found; }", True), ("this line has no end", True), ("Das Ende fehlt auch ü", True), ("it ended, he said.\"", False),
+        ("Home · Politics · Sport", True), ("To be. In.", False), ("More about this.", False), ("A Heading Here", False), (" ".join(f"word{i}" for i in range(26)), False),
     ],
 )
 def test_line_rules(line, fails):
@@ -126,6 +128,11 @@ def test_line_rules(line, fails):
     assert quality.line_fails(raw, raw.split()) is fails
 
 
+def test_lines_that_go_on_are_not_unended():
+    wrapped = "This paragraph was wrapped at a\nwidth that leaves no sign at\nthe end of its lines. It ends.\n\nA line without an end here\n\nnot its second half."
+    assert quality.clean(wrapped) == (wrapped.replace("A line without an end here\n", ""), 6)
+
+
 def test_quality_documents(odd, empty, documents):
     got = {r.doc_id: r for r in quality.judge(odd).collect()}
     assert not got[1].kept and not got[2].kept and got[1].base_failed and quality.judge(empty).count() == 0
