@@ -35,8 +35,8 @@ ALPHA = 0.4
 #: Words of an n-gram at most.
 ORDER = 2
 #: UTF-8 bytes of text in a block, and n-gram entries in a bucket, about.
-BLOCK_BYTES = 8_000_000
-BUCKET_ENTRIES = 1_000_000
+BLOCK_BYTES = 5_000_000
+BUCKET_ENTRIES = 800_000
 #: Nodes that meet in a bucket, and hash bits that a level of the tree is cut by.
 GROUP = 256
 BITS = 8
