@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import metadata, normalize, sparse
 from ..operators import chunk, retrieval, segment
 from ..sources import index
-from ..sources.shared import spread, table, written
+from ..sources.config import Config
+from ..sources.shared import shared_dir, spread, table, written
+from .rag import search
 from .fixtures import contracts, rows_sql, value_sql
 from .fixtures import SQL as CONTRACTS
 
@@ -43,6 +46,7 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+', 0)"
 _POSTINGS = f"""t AS (SELECT doc_id AS id, unnest({_TOKENS}) AS token FROM documents),
 tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY id, token),
 posted AS (SELECT id, ('0x' || substring(md5(token), 1, 8))::BIGINT % 1048576 AS bucket, sum(1.0 + ln(tf)) AS weight FROM tf GROUP BY 1, 2)"""
+_BUCKETS = "{name} AS (SELECT {id}, ('0x' || substring(md5(token), 1, 8))::BIGINT % 1048576 AS bucket, sum(1.0 + ln(tf)) AS weight FROM {table} GROUP BY 1, 2)"
 _IDF = _POSTINGS + """, n AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT bucket, count(*) AS df, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posted GROUP BY bucket)"""
 _SPARSE = _IDF + f""", qt AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS token FROM benchmark),
@@ -531,6 +535,20 @@ def index_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.agg(F.count_if(good).alias("stored"), F.count_if(~good).alias("failed"), F.count_distinct("id").alias("distinct_ids"))
 
 
+@registered(f"""WITH {_CHUNKS}, ch AS (SELECT semantic_unit_id || '|chunk|' || (j + 1) AS id, CASE WHEN k = 1 THEN text ELSE array_to_string(part_tokens, ' ') END AS text FROM w),
+    t AS (SELECT id, unnest({_TOKENS}) AS token FROM ch), tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY id, token), {_BUCKETS.format(name="posted", id="id", table="tf")},
+    idf AS (SELECT bucket, ln(1 + ((SELECT count(*) FROM ch) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posted GROUP BY bucket),
+    qt AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS token FROM benchmark), qtf AS (SELECT query_id, token, count(*) AS tf FROM qt GROUP BY query_id, token), {_BUCKETS.format(name="q", id="query_id", table="qtf")},
+    s AS (SELECT query_id, id, round(sum(posted.weight * q.weight * idf), 6) AS score FROM posted JOIN q USING (bucket) JOIN idf USING (bucket) GROUP BY query_id, id)
+    SELECT query_id, score, rank::BIGINT AS rank FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s) WHERE rank <= 10""")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the contracts, built, opened and searched; equal scores share their ranks, so ids are left out."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build_index(_contracts(spark, sf_dir), path)
+    found = search(_asked(spark, sf_dir), index.open_index(spark, path), Config(method="bm25", rerank=False))
+    return found.select("query_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @registered("SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value, max(event_id) AS ingest_seq FROM events GROUP BY user_id")
 def index_upsert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upserts of the same id: the last one stays."""

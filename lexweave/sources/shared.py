@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,16 @@ SMALL_TABLE = 24 << 20
 _OWN: dict[str, str] = {}
 
 
+class _Journal(threading.local):
+    """The paths that this thread has written, in order."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_JOURNAL = _Journal()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,17 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same table, written once and read back, for plans that read it several times."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _JOURNAL.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a written table that no later result reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
+
+
+def completed(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, written; the tables that were written on the way there are deleted then, since nothing else reads them."""
+    before = len(_JOURNAL.paths)
+    out = written(made := make(), name)
+    for path in _JOURNAL.paths[before:-1]:
+        _delete(made.sparkSession, path)
+    del _JOURNAL.paths[before:-1]
+    return out
 
 
 def spread(df: DataFrame, small: int = SMALL_TABLE) -> DataFrame:
