@@ -6,8 +6,12 @@ pruned by support, confidence and lift, and found by an inverted index: each rul
 frequent token (a host with a third of all pages) meets few rules; the other tokens are verified in the row. The
 most confident rule that fits decides (then support, then the rule's text); without one the page is allowed.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and no token but its scheme mark, so
-it is allowed unless a rule says otherwise; no labels give no mined rule; repeated rows count each.
+Labels name what they mark by doc_id; that a page's page_id is such a doc_id is this operator's convention.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path and, without a query, no token, so it is
+allowed unless a rule says otherwise; a very long url has a token for each of its different parts; no labels give no mined rule;
+of several labels of an id one that blocks decides; repeated rows and null page_ids stay and count each; rules of one
+confidence and support go by their text; an empty table gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -66,12 +70,17 @@ def judged(pages: DataFrame) -> DataFrame:
     return rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"))).withColumn("tokens", tokens_of(url, F.col("host"), F.col("path")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, **pruning: float) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support) from the URLs that labels cover."""
+    return _mine(judged(pages), labels, **pruning)
+
+
+def _mine(rows: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     label = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("page_id"))
     label = label.agg(F.max(F.when((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1), 1).otherwise(0)).alias("bad"))
-    baskets = judged(pages).join(label, "page_id").select(F.concat("tokens", F.array(F.when(F.col("bad") == 1, "=block").otherwise("=allow"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = rows.join(label, "page_id").select(F.concat("tokens", F.array(F.when(F.col("bad") == 1, "=block").otherwise("=allow"))).alias("items"))
+    # mining counts and scans the baskets several times
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(materialise(baskets, "url-baskets"))
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("=") & (F.col("lift") >= min_lift))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "support")
@@ -90,27 +99,31 @@ def _telling(rules: DataFrame) -> DataFrame:
     return long.join(said, ["antecedent", "verdict"], "left_anti").select(rules.columns)
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, **pruning: float) -> DataFrame:
-    """A row per page: page_id, host, path, rule (of the fixed rules, else null), verdict, mined_rule (else null)."""
-    rules = mine(pages, labels, **pruning)
-    rows = judged(pages)
+#: Names a row, since page_ids can be null or repeated.
+ROW = "_url_row"
+
+
+def _index(rules: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rules, each under its rarest token; a row per token, so that a page meets at most one row for each of its tokens."""
     frequency = rows.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
-    frequency = frequency.join(wanted, "token", "left_semi")
-    key = F.concat_ws("\t", "antecedent")
-    spread = rules.withColumn("rule", key).select("*", F.explode("antecedent").alias("token")).join(frequency, "token", "left")
+    frequency = frequency.join(rules.select(F.explode("antecedent").alias("token")).distinct(), "token", "left_semi")
+    spread = rules.withColumn("rule", F.concat_ws("\t", "antecedent")).select("*", F.explode("antecedent").alias("token")).join(frequency, "token", "left")
     index = spread.groupBy("rule", "verdict").agg(
         F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.max("confidence").alias("confidence"), F.max("support").alias("support")
     )
-    # one row per token: pages then meet at most one index row per token
-    index = index.groupBy("token").agg(F.collect_list(F.struct("confidence", "support", "rule", "verdict", "antecedent")).alias("rules"))
-    open_rows = rows.where("fixed is null")
-    hit = open_rows.select("page_id", "url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return index.groupBy("token").agg(F.collect_list(F.struct("confidence", "support", "rule", "verdict", "antecedent")).alias("rules"))
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, **pruning: float) -> DataFrame:
+    """A row per page: page_id, host, path, rule (of the fixed rules, else null), verdict, mined_rule (else null). The pages' urls
+    are cut once, into a narrow table; index and hits are written, so that small ones are broadcast and no page is shuffled."""
+    rows = materialise(judged(pages).drop("url").withColumn(ROW, F.monotonically_increasing_id()), "url-pages")
+    index = materialise(_index(materialise(_mine(rows, labels, **pruning), "url-telling"), rows), "url-index")
+    hit = rows.where("fixed is null").select(ROW, "tokens", F.explode("tokens").alias("token")).join(index, "token")
     fits = F.filter("rules", lambda r: F.size(F.array_except(r.getField("antecedent"), F.col("tokens"))) == 0)
-    best = hit.select("page_id", "url", F.array_max(F.transform(fits, lambda r: F.struct(r.getField("confidence").alias("c"), r.getField("support").alias("s"), r.getField("rule").alias("r"), r.getField("verdict").alias("v")))).alias("best"))
-    best = best.where("best is not null").groupBy("page_id", "url").agg(F.max("best").alias("best"))
-    found = rows.alias("a").join(best.alias("b"), F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & F.col("a.url").eqNullSafe(F.col("b.url")), "left")
-    return found.select(
-        "a.page_id", "a.host", "a.path", F.col("a.fixed.rule").alias("rule"), F.coalesce("a.fixed.verdict", "b.best.v", F.lit("allow")).alias("verdict"),
-        F.when(F.col("a.fixed").isNull(), F.translate(F.col("b.best.r"), "\t", " ")).alias("mined_rule"),
+    best = hit.select(ROW, F.array_max(F.transform(fits, lambda r: F.struct(r.getField("confidence").alias("c"), r.getField("support").alias("s"), r.getField("rule").alias("r"), r.getField("verdict").alias("v")))).alias("best"))
+    best = materialise(best.where("best is not null").groupBy(ROW).agg(F.max("best").alias("best")), "url-best")
+    return rows.join(best, ROW, "left").select(
+        "page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", "best.v", F.lit("allow")).alias("verdict"),
+        F.when(F.col("fixed").isNull(), F.translate(F.col("best.r"), "\t", " ")).alias("mined_rule"),
     )
