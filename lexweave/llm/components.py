@@ -10,8 +10,10 @@ from .common import materialise, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the least of its neighbours and itself. The least ones are written: a hub's links
+    then meet them in a join that AQE can split, which it can't while the join reads an aggregate of its own shuffle."""
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
