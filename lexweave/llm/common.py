@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..sources.shared import release, shared_dir, spread, table
+from ..sources.shared import completed, release, shared_dir, spread, table
 from ..sources.shared import written as materialise
 
-__all__ = ["keep_rows", "materialise", "release", "shared_dir", "slices", "spread", "table", "words_of"]
+__all__ = ["completed", "keep_rows", "materialise", "release", "shared_dir", "slices", "spread", "table", "words_of"]
 #: Rows, and bytes of text, that a worker turns into Python objects at once; a longer text comes alone.
 SLICE_ROWS = 256
 SLICE_BYTES = 16 << 20

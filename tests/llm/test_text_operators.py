@@ -15,6 +15,7 @@ import corpus_pipeline
 from lexweave.llm import bpe, decontaminate, golay, langid, licences, lm, oracle, quality, simhash
 from lexweave.llm.common import slices
 from lexweave.llm.components import components
+from lexweave.sources import shared
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -624,3 +625,43 @@ def test_pipeline(spark, documents, odd, empty):
             docs = stage(spark, docs, sf)
             assert docs.columns == table.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
+def test_pipeline_equals_plain_reading(spark, documents):
+    """Every stage by plain loops over the rows that the one before kept, down to the library's token ids."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in documents.collect()}
+    texts = {}
+    for i, r in rows.items():
+        n, _, _, _, repeated = plain_counts(r.text)
+        cleaned, lost = quality.clean(r.text)
+        if n >= 10 and 100 * repeated <= 20 * n and 2 * lost <= n:
+            texts[i] = cleaned if lost else r.text
+    schema = "doc_id bigint, text string, lang string"
+    model = langid.fit(spark.createDataFrame([(i, t, rows[i].lang) for i, t in texts.items()], schema), floors=True)
+    texts = {i: t for i, t in texts.items() if model.identified(t, langid.MIN_SCORE)}
+    groups = plain_components([plain_print(t) for t in texts.values()], list(texts))
+    texts = {i: texts[i] for i in sorted(set(groups.values()))}
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        words = decontaminate.normal_words(r.text)
+        windows |= {tuple(words[a : a + 13]) for a in range(max(1, len(words) - 12) if words else 0)}
+    kept = {}
+    for i, t in texts.items():
+        words, hit = decontaminate.normal_words(t), set()
+        for size in {len(w) for w in windows}:
+            for a in range(len(words) - size + 1):
+                if tuple(words[a : a + size]) in windows:
+                    hit.update(range(a, a + size))
+        if not hit or 20 * len(hit) < len(words):
+            kept[i] = t
+    library = Tokenizer.from_file(PATH)
+    expected = {i: (ids := library.encode(t, add_special_tokens=False).ids, library.decode(ids, skip_special_tokens=False)) for i, t in kept.items()}
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == expected and 100 < len(got) < len(rows)
+
+
+def test_pipeline_leaves_no_tables_of_its_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["decontamination"]
