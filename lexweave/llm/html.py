@@ -18,12 +18,14 @@ each count and stay; null page_ids stay; an empty table gives no row; further co
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -75,15 +77,121 @@ def _marked(names: str, top: bool, marks: set[str] = MARKS) -> bool:
     return False
 
 
-class Page(HTMLParser):
+class Layout:
     """The elements and text blocks of a page. An element: (parent, tag, path hash, label, depth). A block: (element,
-    text); link_words has its words inside links. Blocks of doubtful elements (forms, marked names) wait for _settle."""
+    text); link_words has its words inside links."""
+
+    def __init__(self, elements: list, blocks: list, link_words: list[int]):
+        self.elements: list[tuple[int, str, int, str, int]] = elements
+        self.blocks: list[tuple[int, str]] = blocks
+        self.link_words = link_words
+
+    def pack(self) -> bytes:
+        """The elements that hold text, without their labels, and the blocks, compressed."""
+        used = [False] * len(self.elements)
+        for at, _ in self.blocks:
+            while at >= 0 and not used[at]:
+                used[at] = True
+                at = self.elements[at][0]
+        place = {-1: -1}
+        for i, there in enumerate(used):
+            if there:
+                place[i] = len(place) - 1
+        kept = [(place[e[0]], e[1], e[2], "", e[4]) for e, there in zip(self.elements, used, strict=True) if there]
+        held = json.dumps((kept, [(place[at], text) for at, text in self.blocks], self.link_words), separators=(",", ":"))
+        return zstandard.ZstdCompressor(level=1).compress(held.encode())
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Layout:
+        return cls(*json.loads(zstandard.ZstdDecompressor().decompress(raw)))
+
+    def prose(self, block: int) -> bool:
+        """Whether at most half of a block's words are inside links."""
+        return 2 * self.link_words[block] <= len(self.blocks[block][1].split())
+
+    def masses(self) -> list[int]:
+        """The words of prose below each element."""
+        out = [0] * len(self.elements)
+        for i, (at, text) in enumerate(self.blocks):
+            if at >= 0 and self.prose(i):
+                out[at] += len(text.split())
+        for i in range(len(out) - 1, -1, -1):  # parents come first
+            if self.elements[i][0] >= 0:
+                out[self.elements[i][0]] += out[i]
+        return out
+
+    def choice(self, mass: list[int] | None = None) -> int:
+        """The element that this page votes for, or -1."""
+        mass = self.masses() if mass is None else mass
+        total = sum(m for m, e in zip(mass, self.elements, strict=True) if e[0] < 0)
+        if not total:
+            return -1
+        fits = [i for i, e in enumerate(self.elements) if e[1] in SEMANTIC and 2 * mass[i] >= total]
+        fits = fits or [i for i, e in enumerate(self.elements) if e[1] in CONTAINER and 10 * mass[i] >= 9 * total]
+        return max(fits, key=lambda i: (self.elements[i][4], mass[i], -i), default=-1)
+
+    def path(self, at: int) -> str:
+        labels = []
+        while at >= 0:
+            labels.append(self.elements[at][3])
+            at = self.elements[at][0]
+        return "/".join(reversed(labels))
+
+    def inside(self, wanted: int | None) -> list[bool]:
+        """By block: whether it is at or below the elements of a path (None: of the whole page)."""
+        inside = [False] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            inside[i] = e[2] == wanted or e[0] >= 0 and inside[e[0]]
+        return [wanted is None or i >= 0 and inside[i] for i, _ in self.blocks]
+
+    def beside(self, wanted: int) -> list[int]:
+        """The blocks of prose outside the elements of a path, unless those are semantic."""
+        if any(e[2] == wanted and e[1] in SEMANTIC for e in self.elements):
+            return []
+        return [i for i, within in enumerate(self.inside(wanted)) if not within and self.prose(i)]
+
+    def block_path(self, block: int) -> int:
+        at = self.blocks[block][0]
+        return self.elements[at][2] if at >= 0 else 0
+
+    def encloses(self, at: int, wanted: int) -> bool:
+        """Whether all elements of the path lie below an element."""
+        below = [False] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            below[i] = e[0] >= 0 and (e[0] == at or below[e[0]])
+        return all(below[i] for i, e in enumerate(self.elements) if e[2] == wanted)
+
+    def target(self, wanted: int | None) -> int | None:
+        """The path to extract (None: the whole page). Elements of one path have one depth, so none lies in another. A choice
+        that encloses the winners is narrowed by its host's vote, unless the page itself marks it as its article."""
+        mass = self.masses()
+        at = self.choice(mass)
+        if at < 0:
+            return None
+        own = self.elements[at][2]
+        won = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == wanted)
+        chosen = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == own)
+        other = won < chosen and (self.elements[at][1] in SEMANTIC or not self.encloses(at, wanted))
+        return own if not won or other else wanted
+
+    def extract(self, wanted: int | None, template: set[int] | None = None) -> str:
+        """The text, in page order; with the host's templates, prose beside its containers that is none of them stays, but for
+        what lies at a winning path that the page's own choice overrules."""
+        path = self.target(wanted)
+        keep = self.inside(path)
+        if path is not None and template is not None:
+            overruled = self.inside(wanted) if wanted is not None and path != wanted else [False] * len(keep)
+            for i in self.beside(path):
+                keep[i] = self.block_path(i) not in template and not overruled[i]
+        return "\n".join(t for (_, t), kept in zip(self.blocks, keep, strict=True) if kept)
+
+
+class Page(Layout, HTMLParser):
+    """A page read from its html. Blocks of doubtful elements (forms, marked names) wait for _settle."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.elements: list[tuple[int, str, int, str, int]] = []
-        self.blocks: list[tuple[int, str]] = []
-        self.link_words: list[int] = []
+        Layout.__init__(self, [], [], [])
+        HTMLParser.__init__(self, convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, int]] = []  # tag, element, dropped, doubtful element
         self.doubtful: list[int] = []  # by doubtful element: the one around it
         self.doubts: list[int] = []  # by block: its doubtful element, or -1
@@ -125,10 +233,6 @@ class Page(HTMLParser):
         kept = [i for i, at in enumerate(self.doubts) if at < 0 or stays[at]]
         self.blocks, self.link_words = [self.blocks[i] for i in kept], [self.link_words[i] for i in kept]
 
-    def prose(self, block: int) -> bool:
-        """Whether at most half of a block's words are inside links."""
-        return 2 * self.link_words[block] <= len(self.blocks[block][1].split())
-
     def _pop(self, size: int) -> None:
         if any(entry[0] in BLOCK for entry in self.stack[size:]):
             self._flush()
@@ -201,109 +305,37 @@ class Page(HTMLParser):
         if self.anchors:
             self.linked += len(data.split())
 
-    def masses(self) -> list[int]:
-        """The words of prose below each element."""
-        out = [0] * len(self.elements)
-        for i, (at, text) in enumerate(self.blocks):
-            if at >= 0 and self.prose(i):
-                out[at] += len(text.split())
-        for i in range(len(out) - 1, -1, -1):  # parents come first
-            if self.elements[i][0] >= 0:
-                out[self.elements[i][0]] += out[i]
-        return out
-
-    def choice(self, mass: list[int] | None = None) -> int:
-        """The element that this page votes for, or -1."""
-        mass = mass or self.masses()
-        total = sum(m for m, e in zip(mass, self.elements, strict=True) if e[0] < 0)
-        if not total:
-            return -1
-        fits = [i for i, e in enumerate(self.elements) if e[1] in SEMANTIC and 2 * mass[i] >= total]
-        fits = fits or [i for i, e in enumerate(self.elements) if e[1] in CONTAINER and 10 * mass[i] >= 9 * total]
-        return max(fits, key=lambda i: (self.elements[i][4], mass[i], -i), default=-1)
-
-    def path(self, at: int) -> str:
-        labels = []
-        while at >= 0:
-            labels.append(self.elements[at][3])
-            at = self.elements[at][0]
-        return "/".join(reversed(labels))
-
-    def inside(self, wanted: int | None) -> list[bool]:
-        """By block: whether it is at or below the elements of a path (None: of the whole page)."""
-        inside = [False] * len(self.elements)
-        for i, e in enumerate(self.elements):
-            inside[i] = e[2] == wanted or e[0] >= 0 and inside[e[0]]
-        return [wanted is None or i >= 0 and inside[i] for i, _ in self.blocks]
-
-    def beside(self, wanted: int) -> list[int]:
-        """The blocks of prose outside the elements of a path, unless those are semantic."""
-        if any(e[2] == wanted and e[1] in SEMANTIC for e in self.elements):
-            return []
-        return [i for i, within in enumerate(self.inside(wanted)) if not within and self.prose(i)]
-
-    def block_path(self, block: int) -> int:
-        at = self.blocks[block][0]
-        return self.elements[at][2] if at >= 0 else 0
-
-    def encloses(self, at: int, wanted: int) -> bool:
-        """Whether all elements of the path lie below an element."""
-        below = [False] * len(self.elements)
-        for i, e in enumerate(self.elements):
-            below[i] = e[0] >= 0 and (e[0] == at or below[e[0]])
-        return all(below[i] for i, e in enumerate(self.elements) if e[2] == wanted)
-
-    def target(self, wanted: int | None) -> int | None:
-        """The path to extract (None: the whole page). Elements of one path have one depth, so none lies in another. A choice
-        that encloses the winners is narrowed by its host's vote, unless the page itself marks it as its article."""
-        mass = self.masses()
-        at = self.choice(mass)
-        if at < 0:
-            return None
-        own = self.elements[at][2]
-        won = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == wanted)
-        chosen = sum(m for m, e in zip(mass, self.elements, strict=True) if e[2] == own)
-        other = won < chosen and (self.elements[at][1] in SEMANTIC or not self.encloses(at, wanted))
-        return own if not won or other else wanted
-
-    def extract(self, wanted: int | None, template: set[int] | None = None) -> str:
-        """The text, in page order; with the host's templates, prose beside its containers that is none of them stays, but for
-        what lies at a winning path that the page's own choice overrules."""
-        path = self.target(wanted)
-        keep = self.inside(path)
-        if path is not None and template is not None:
-            overruled = self.inside(wanted) if wanted is not None and path != wanted else [False] * len(keep)
-            for i in self.beside(path):
-                keep[i] = self.block_path(i) not in template and not overruled[i]
-        return "\n".join(t for (_, t), kept in zip(self.blocks, keep, strict=True) if kept)
-
 
-_FOUND = "host string, beside boolean, path string, path_hash bigint, depth int, words_hash bigint"
+_VOTE = "array<struct<beside:boolean,path:string,path_hash:bigint,depth:int,words_hash:bigint>>"
+_READ = f"page_id bigint, url string, host string, found {_VOTE}, page binary"
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """Of each page the path, its hash and depth that it votes for; and (beside) those of each block of prose outside, with a hash
-    of its words."""
+def read(pages: DataFrame) -> DataFrame:
+    """Each page parsed once: what it votes for, and its layout. ``found`` has the path that it votes for, and (beside) those of each
+    block of prose outside, with a hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int64())
-        names = [x.split(" ")[0] for x in _FOUND.split(", ")]
+        kind = pa.list_(pa.struct([("beside", pa.bool_()), ("path", pa.string()), ("path_hash", pa.int64()), ("depth", pa.int32()), ("words_hash", pa.int64())]))
         for batch in slices(batches, 64):
-            out = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(html or "")
+            found, held = [], []
+            for html in batch.column(3).to_pylist():
+                page, votes = Page(html or ""), []
                 if (at := page.choice()) >= 0:
                     wanted = page.elements[at][2]
-                    out.append((host, False, page.path(at), wanted, page.elements[at][4], 0))
-                    out += [(host, True, "", page.block_path(i), 0, xxh64_intdigest(page.blocks[i][1]) >> 1) for i in page.beside(wanted)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+                    votes.append((False, page.path(at), wanted, page.elements[at][4], 0))
+                    votes += [(True, "", page.block_path(i), 0, xxh64_intdigest(page.blocks[i][1].encode("utf-8", "surrogatepass")) >> 1) for i in page.beside(wanted)]
+                found.append([dict(zip(("beside", "path", "path_hash", "depth", "words_hash"), v, strict=True)) for v in votes])
+                held.append(page.pack())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, kind), pa.array(held, pa.binary())], names=["page_id", "url", "host", "found", "page"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, _FOUND)
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    return rows.mapInArrow(run, _READ)
 
 
-def winners(pages: DataFrame) -> DataFrame:
+def winners(parsed: DataFrame) -> DataFrame:
     """The winning path of each host, and its template paths: at most ten times the blocks of a page, on average."""
-    counted = votes(pages).groupBy("host", "beside", "path_hash", "words_hash").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.max("depth").alias("depth"))
+    votes = parsed.select("host", F.explode("found").alias("vote")).select("host", "vote.*")
+    counted = votes.groupBy("host", "beside", "path_hash", "words_hash").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.max("depth").alias("depth"))
     counted = counted.groupBy("host", "beside", "path_hash").agg(F.sum("n").alias("votes"), F.count("*").alias("texts"), F.min("path").alias("path"), F.max("depth").alias("depth"))
     counted = materialise(counted, "html-votes")
     ranked = F.struct((-F.col("votes")).alias("v"), (-F.col("depth")).alias("d"), F.col("path").alias("p"), F.col("path_hash").alias("path_hash"), F.col("votes").alias("votes"))
@@ -314,16 +346,16 @@ def winners(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """A row per page: page_id, url, text and n_chars."""
+    """A row per page: page_id, url, text and n_chars. Pages are parsed once, into a written table of layouts (text without markup)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             given = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-            texts = [Page(html).extract(wanted, set(template or ())) if html else "" for html, wanted, template in given]
+            texts = [Layout.unpack(page).extract(wanted, set(template or ())) for page, wanted, template in given]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    parsed = materialise(read(pages), "html-pages")
     # written, so that its size is known before the plan is made: a table of few hosts is broadcast and no page is shuffled
-    won = materialise(winners(pages).select("host", "path_hash", "template"), "html-winners")
-    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "path_hash", "template")
+    won = materialise(winners(parsed).select("host", "path_hash", "template"), "html-winners")
+    rows = parsed.join(won, "host", "left").select("page_id", "url", "page", "path_hash", "template")
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

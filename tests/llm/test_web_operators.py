@@ -101,6 +101,14 @@ def test_templates_beside_the_article(spark):
     assert extracted(spark, same + own) == article + [f"lead {p}\n{a}" for p, a in enumerate(article)]
 
 
+def test_layouts_survive_packing():
+    page = html.Page(PAGE % ("<div class='post'><p>A &amp; b <a href=x>c</a></p><div></div><p>\ud800 é</p></div>", ""))
+    held = html.Layout.unpack(page.pack())
+    assert [t for _, t in held.blocks] == [t for _, t in page.blocks] and held.link_words == page.link_words
+    assert held.extract(None) == page.extract(None) == "A & b c\n\ud800 é" and len(held.elements) < len(page.elements)
+    assert html.Layout.unpack(html.Page("").pack()).extract(5, set()) == ""
+
+
 def test_votes_equal_counting(spark):
     """The winner of each host where its pages disagree, by counting the pages one by one."""
     rnd, rows = random.Random(7), []
@@ -117,7 +125,7 @@ def test_votes_equal_counting(spark):
     best = {}
     for (host, path), n in count.items():
         best[host] = min(best.get(host, (1, 0, "")), (-n, -hashes[host, path][1], path))
-    got = {r.host: (r.path, r.votes, r.path_hash) for r in html.winners(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    got = {r.host: (r.path, r.votes, r.path_hash) for r in html.winners(html.read(spark.createDataFrame(rows, "page_id int, url string, html string"))).collect()}
     assert got == {h: (p, -n, hashes[h, p][0]) for h, (n, _, p) in best.items()}
 
 
