@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of files under which a table may be a single row group, which one core reads alone.
 SMALL_TABLE = 24 << 20
+#: Bytes of files that are worth a task, where a small table is dealt out.
+TASK_BYTES = 128 << 10
 _OWN: dict[str, str] = {}
 
 
@@ -68,7 +70,8 @@ def spread(df: DataFrame, small: int = SMALL_TABLE) -> DataFrame:
     """A small table dealt over all cores, rows as they are; a larger one, which has row groups enough, untouched. Only the
     layout differs, so that work on each row does not wait for the one core that read a single row group."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
+    return df.repartition(tasks) if size <= small else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
