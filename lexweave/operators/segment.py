@@ -51,7 +51,8 @@ def documents(raw: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame) -> DataFrame:
     """A row per line: source, page_no, line_no, line (stripped)."""
-    paged = docs.select("source", F.explode("pages").alias("page"))
+    # outer: else a filter on the number of pages is pushed below and normalises them again
+    paged = docs.select("source", F.explode_outer("pages").alias("page")).where("page is not null")
     split = paged.select("source", "page.page_no", F.posexplode(F.split("page.text", LINE_END)).alias("line_no", "line"))
     return split.select("source", "page_no", "line_no", strip(F.col("line")).alias("line"))
 
@@ -145,7 +146,7 @@ def roman_sections(split: DataFrame) -> DataFrame:
 def fallback_units(docs: DataFrame) -> DataFrame:
     """Paragraphs between blank lines, numbered, without pages."""
     parts = F.filter(F.transform(F.split("full_text", "\n\n"), strip), lambda p: p != "")
-    rows = docs.select("source", F.posexplode(parts).alias("u", "text"))
+    rows = docs.select("source", F.posexplode_outer(parts).alias("u", "text")).where("u is not null")
     none = F.array().cast("array<int>")
     return rows.select("source", "u", F.lit("body").alias("section_type"), F.concat(F.lit("Paragraph "), (F.col("u") + 1).cast("string")).alias("section_title"), "text", none.alias("page_numbers"))
 

@@ -214,7 +214,7 @@ w AS (SELECT doc_id, text, k, i, l[i * 216 + 1 : i * 216 + 256] AS part FROM (SE
 @registered(f"WITH {_WINDOWS} SELECT doc_id, i::BIGINT AS window_no, len(part)::BIGINT AS n_tokens, array_to_string(part, ' ') AS part FROM w")
 def token_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", chunk.tokens(F.col("text")).alias("tokens"))
-    rows = rows.select("doc_id", F.posexplode(chunk.windows(F.col("tokens"))).alias("window_no", "part"))
+    rows = rows.select("doc_id", F.posexplode_outer(chunk.windows(F.col("tokens"))).alias("window_no", "part"))
     return rows.select("doc_id", F.col("window_no").cast("bigint"), F.size("part").cast("bigint").alias("n_tokens"), F.array_join("part", " ").alias("part"))
 
 
@@ -251,7 +251,7 @@ _TRIM = f"regexp_replace(x, '^{_STRIP}|{_STRIP}$', '', 'g')"
 )
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed greedily, a line as a paragraph."""
-    rows = chunk.packed(_docs(spark, sf_dir).select("doc_id", "text"), separator="\n").select("doc_id", F.posexplode("_chunks").alias("part_no", "piece"))
+    rows = chunk.packed(_docs(spark, sf_dir).select("doc_id", "text"), separator="\n").select("doc_id", F.posexplode_outer("_chunks").alias("part_no", "piece"))
     return rows.select("doc_id", F.col("part_no").cast("bigint"), F.col("piece.n").cast("bigint").alias("n_tokens"), F.col("piece.text").alias("part"))
 
 
@@ -364,7 +364,7 @@ _PAGES = [
 
 @registered(_expected(*[(kind, ("page_no", "text"), rows) for kind, rows in _PAGES]))
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = segment.documents(_contracts(spark, sf_dir)).select("source", F.explode("pages").alias("p"))
+    pages = segment.documents(_contracts(spark, sf_dir)).select("source", F.explode_outer("pages").alias("p")).where("p is not null")
     return pages.select("source", F.col("p.page_no").alias("page_no"), F.col("p.text").alias("text"))
 
 
@@ -375,8 +375,13 @@ def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", *[F.col(c).cast("bigint").alias(c) for c in ("article_score", "roman_score", "numeric_score")], "format")
 
 
+def _of_format(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Written: a filter on the format would be pushed below and normalise the pages once more."""
+    return written(segment.documents(_contracts(spark, sf_dir)), "pages").where(F.col("format") == name)
+
+
 def _lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return segment.lines(segment.documents(_contracts(spark, sf_dir)).where(F.col("format") == name))
+    return segment.lines(_of_format(spark, sf_dir, name))
 
 
 def _shown(units: DataFrame, *columns: str) -> DataFrame:
@@ -468,7 +473,7 @@ _PARAGRAPHS = [("Paragraph 1", "", "{b1}\nplain line"), ("Paragraph 2", "", "{b2
 
 @registered(_expected((3, ("section_title", "pages", "text"), _PARAGRAPHS)))
 def fallback_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(segment.fallback_units(segment.documents(_contracts(spark, sf_dir)).where("format = 'fallback'")), "section_title")
+    return _shown(segment.fallback_units(_of_format(spark, sf_dir, "fallback")), "section_title")
 
 
 _SUB = ("section_type", "section_number", "section_title", "subsection_number", "subsection_title", "subunit_title", "pages", "text")
