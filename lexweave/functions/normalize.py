@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -56,7 +57,7 @@ BROKEN_NUMBERS = (
 )
 #: White space, brackets and the appendix heading.
 TIDY = (
-    (r"[ \t]+", " "),
+    (r"[ \t]{2,}|\t", " "),  # single spaces stay as they are
     (r"\n{3,}", "\n\n"),
     (r"(?U)\s+\.", "."),
     (r"(?iU)\(\s*([a-zivx\d]+)\s*\)", "($1)"),
@@ -72,32 +73,49 @@ def rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-def guarded(text: Column, sign: str, rules: tuple[tuple[str, str], ...]) -> Column:
-    """The rules, on texts that hold the sign which all of them need."""
-    return _bound(text, lambda t: F.when(t.contains(sign), rewrite(t, rules)).otherwise(t))
-
-
 def _bound(text: Column, use: Callable[[Column], Column]) -> Column:
     """An expression of a text that is computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(text), use), F.lit(0))
 
 
+def guarded(text: Column, needed: Callable[[Column], Column], rules: tuple[tuple[str, str], ...]) -> Column:
+    """The rules, on texts that have what all of them need: most texts then cost one cheap look."""
+    return _bound(text, lambda t: F.when(needed(t), rewrite(t, rules)).otherwise(t))
+
+
+def holds(sign: str) -> Callable[[Column], Column]:
+    return lambda t: t.contains(sign)
+
+
+def says(word: str) -> Callable[[Column], Column]:
+    """Whether a text may hold a word in any case: letters beyond ASCII can stand for some of its own."""
+    return lambda t: F.lower(t).contains(word) | (F.length(t) != F.octet_length(t))
+
+
 def settled(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    """The rules again and again until nothing changes: one pass, and where a rule still matches as many as there are signs
-    that a pass takes away."""
-    again = lambda t: F.aggregate(F.sequence(F.lit(1), F.regexp_count(t, F.lit(FEWER[rules]))), t, lambda a, _: rewrite(a, rules))
+    """The rules again and again until nothing changes, on texts with what each pass takes away: one pass, and where a rule
+    still matches as many as there are signs."""
+    sign = FEWER[rules]
+    again = lambda t: F.aggregate(F.sequence(F.lit(1), F.regexp_count(t, F.lit(sign))), t, lambda a, _: rewrite(a, rules))
     matches = lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p, _ in rules])
-    return _bound(rewrite(text, rules), lambda t: F.when(matches(t), again(t)).otherwise(t))
+    once = lambda t: _bound(rewrite(t, rules), lambda x: F.when(matches(x), again(x)).otherwise(x))
+    return _bound(text, lambda t: F.when(t.rlike(sign), once(t)).otherwise(t))
+
+
+#: White space as Unicode has it, and the four separators that Python strips too.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end, as Unicode has it."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(WHITE))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    parts = [text.slice(at, 256).to_pylist() for at in range(0, len(text), 256)]
+    made = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()) for part in parts]
+    return pa.concat_arrays(made) if made else text
 
 
 @F.pandas_udf(StringType())
@@ -114,14 +132,16 @@ def nfkc(text: Column) -> Column:
 def normalise_page(text: Column) -> Column:
     """All rules but NFKC, which comes first (it may run on whole documents: the page mark is ASCII)."""
     text = rewrite(F.translate(text, *LITERALS), SPACING[:3])
-    text = rewrite(guarded(text, "§", SPACING[3:]), ARTIFACTS)
-    text = rewrite(text, BREAKS[:2])
-    text = guarded(text, "##", BREAKS[2:4])
-    text = guarded(text, "(", BREAKS[4:5])
-    text = guarded(text, "§", BREAKS[5:] + PARAGRAPH_SIGNS)
-    text = guarded(text, "(", ITEMS)
+    text = guarded(guarded(text, holds("§"), SPACING[3:]), holds("Source:"), ARTIFACTS[:1])
+    text = rewrite(text, ARTIFACTS[1:])
+    text = guarded(guarded(text, says("article"), BREAKS[:1]), says("section"), BREAKS[1:2])
+    text = guarded(text, holds("##"), BREAKS[2:4])
+    text = guarded(text, holds("("), BREAKS[4:5])
+    text = guarded(text, holds("§"), BREAKS[5:] + PARAGRAPH_SIGNS)
+    text = guarded(text, holds("("), ITEMS)
     text = settled(settled(text, FALSE_HEADERS), BROKEN_NUMBERS)
-    return strip(rewrite(text, TIDY))
+    text = rewrite(text, TIDY[:3])
+    return strip(guarded(guarded(text, holds("("), TIDY[3:4]), holds("Appendix"), TIDY[4:]))
 
 
 def normalise_text(text: Column) -> Column:
