@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import stem
-from ..functions.normalize import PAGE_BREAK, clean_title, infer_title, nfkc, normalise_page, strip
+from ..functions.normalize import PAGE_BREAK, clean_title, holds, infer_title, nfkc, normalise_page, says, strip
 from ..sources.shared import written
 from .chunk import tokens
 
@@ -43,8 +43,13 @@ def documents(raw: DataFrame) -> DataFrame:
     pages = F.transform(F.split("markdown", PAGE_BREAK), lambda p, i: F.struct((i + 1).alias("page_no"), normalise_page(p).alias("text")))
     rows = marked.select("source", F.filter(pages, lambda p: p.getField("text") != "").alias("pages"))
     rows = rows.withColumn("full_text", F.array_join(F.transform("pages", lambda p: p.getField("text")), "\n\n"))
-    count = lambda *patterns: sum(F.regexp_count("full_text", F.lit(p)) for p in patterns)
-    rows = rows.select("*", count(ARTICLE, SECTION).alias("article_score"), count(ROMAN, PARAGRAPH).alias("roman_score"), count(TOP_SECTION).alias("numeric_score"))
+    full = F.col("full_text")
+    count = lambda pattern, needed: F.when(needed(full), F.regexp_count(full, F.lit(pattern))).otherwise(0)
+    scores = {
+        "article_score": count(ARTICLE, says("article")) + count(SECTION, says("section")), "roman_score": count(ROMAN, holds("##")) + count(PARAGRAPH, holds("§")),
+        "numeric_score": F.regexp_count(full, F.lit(TOP_SECTION)),
+    }
+    rows = rows.select("*", *[score.alias(name) for name, score in scores.items()])
     chosen = F.when(F.col("article_score") >= THRESHOLDS["article"], "article").when(F.col("roman_score") >= THRESHOLDS["roman"], "roman")
     return rows.withColumn("format", chosen.when(F.col("numeric_score") >= THRESHOLDS["numeric"], "numeric").otherwise("fallback"))
 
