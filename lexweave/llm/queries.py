@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, langid, licences, lm, oracle, quality, simhash, urls
+from . import bpe, chat, decontaminate, html, infill, langid, licences, lm, oracle, quality, simhash, urls
 from .common import spread, table
 
 
@@ -51,11 +51,15 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(spread(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_simhash_golay, op3_line_quality, op4_decontaminate, op5_url_rules,
-        op6_bpe, op7_html_consensus, op8_stupid_backoff, op9_licence_rules, op10_tool_calls,
+        op6_bpe, op7_html_consensus, op8_stupid_backoff, op9_licence_rules, op10_tool_calls, op12_fill_in_middle,
     )
 }
 ORACLE: dict[str, str] = {
@@ -64,4 +68,5 @@ ORACLE: dict[str, str] = {
     "op5_url_rules": oracle.URLS,
     "op8_stupid_backoff": lm.SQL,
     "op9_licence_rules": oracle.LICENCES,
+    "op12_fill_in_middle": oracle.INFILL,
 }
