@@ -45,15 +45,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a file or folder; nothing happens if there is none."""
+    path, store = _path(spark, name)
+    store.delete(path, True)
+
+
+def move(spark: SparkSession, name: str, to: str) -> bool:
+    """Give a file or folder another name, whose parents are made; False if that name is taken already."""
+    (path, store), (target, _) = _path(spark, name), _path(spark, to)
+    store.mkdirs(target.getParent())
+    return not store.exists(target) and store.rename(path, target)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a written table that no later result reads."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, name)
+        delete(df.sparkSession, name)
 
 
 def completed(make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -61,7 +74,7 @@ def completed(make: Callable[[], DataFrame], name: str) -> DataFrame:
     before = len(_JOURNAL.paths)
     out = written(made := make(), name)
     for path in _JOURNAL.paths[before:-1]:
-        _delete(made.sparkSession, path)
+        delete(made.sparkSession, path)
     del _JOURNAL.paths[before:-1]
     return out
 
