@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, bpe, chat, decontaminate, html, infill, langid, licences, lm, oracle, quality, simhash, urls
+from . import assembly, bpe, chat, decontaminate, html, infill, langid, leaks, licences, lm, oracle, quality, simhash, urls
 from .common import spread, table
 
 
@@ -51,6 +51,10 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.digests(spread(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(spread(table(spark, sf_dir, "documents")))
 
@@ -63,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_simhash_golay, op3_line_quality, op4_decontaminate, op5_url_rules,
-        op6_bpe, op7_html_consensus, op8_stupid_backoff, op9_licence_rules, op10_tool_calls, op12_fill_in_middle, op13_sale_assembly,
+        op6_bpe, op7_html_consensus, op8_stupid_backoff, op9_licence_rules, op10_tool_calls, op11_secret_scan, op12_fill_in_middle, op13_sale_assembly,
     )
 }
 ORACLE: dict[str, str] = {
