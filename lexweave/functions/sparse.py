@@ -83,3 +83,9 @@ def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     df = posted.groupBy("bucket").agg(F.count("*").alias("df"))
     n = n_docs.select("n").scalar()
     return df.select("bucket", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def weights(changes: DataFrame, n: int) -> DataFrame:
+    """idf of n documents from signed changes of document frequencies (bucket, df)."""
+    df = changes.groupBy("bucket").agg(F.sum("df").alias("df")).where("df > 0")
+    return df.select("bucket", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sparse
-from ..operators import retrieval
+from ..operators import pruned, retrieval
 from ..sources.config import Config
 from ..sources.index import Embedder, HashEmbedder, embed
 from ..sources.shared import written
@@ -27,7 +27,10 @@ def search(queries: DataFrame, index: dict[str, DataFrame], config: Config = Con
 
     def by_terms() -> DataFrame:
         asked = written(sparse.postings(queries, "query_id", "query", mode=config.hash_mode), "asked")
-        return retrieval.sparse_top_k(asked, index["postings"].join(asked.select("bucket").distinct(), "bucket", "left_semi"), index["idf"], config.k_sparse)
+        changes = index["changes"].join(asked.select("bucket").distinct(), "bucket", "left_semi")  # of few buckets, before they are summed
+        weights = sparse.weights(changes, index["n"].scalar())
+        weighted = asked.join(weights, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
+        return pruned.search(weighted, index["blocks"], index["terms"], config.k_sparse, index["dead"]).found
 
     def ranked_again(ranked: DataFrame) -> DataFrame:
         return retrieval.rerank(written(ranked, "ranked"), queries, index["chunks"].select("id", F.col("page_content").alias("text")), config.k_rerank, scorer)

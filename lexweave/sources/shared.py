@@ -45,20 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _path(spark: SparkSession, name: str):
+def file_system(spark: SparkSession, name: str):
+    """A Hadoop path and the file system that it lies in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def delete(spark: SparkSession, name: str) -> None:
     """Delete a file or folder; nothing happens if there is none."""
-    path, store = _path(spark, name)
+    path, store = file_system(spark, name)
     store.delete(path, True)
 
 
 def move(spark: SparkSession, name: str, to: str) -> bool:
     """Give a file or folder another name, whose parents are made; False if that name is taken already."""
-    (path, store), (target, _) = _path(spark, name), _path(spark, to)
+    (path, store), (target, _) = file_system(spark, name), file_system(spark, to)
     store.mkdirs(target.getParent())
     return not store.exists(target) and store.rename(path, target)
 

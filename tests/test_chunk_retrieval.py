@@ -159,7 +159,7 @@ def test_segments_replace_chunks(spark, tmp_path):
     assert opened["idf"].agg(F.max("df")).first()[0] == 3
     asked = spark.createDataFrame([(0, "red apples plums")], "query_id bigint, query string")
     assert [r.id for r in search(asked, opened, config.Config(method="bm25", rerank=False)).collect()] == ["a|unit|1|chunk|1"]
-    assert index.upsert_index(new, path, number=1) == (2, 0) and index.open_index(spark, path)["chunks"].count() == 3
+    assert index.upsert_index(new, path) == (2, 0) and index.open_index(spark, path)["chunks"].count() == 3
 
 
 def test_first_documents_are_chosen_by_name(spark):

@@ -1,0 +1,85 @@
+"""Searches that leave parts of an index unread: they equal those that read all."""
+
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lexweave.functions import sparse
+from lexweave.operators import lists, pruned, retrieval
+
+
+def corpus(spark, n=1500, seed=3):
+    """Words by Zipf's law, so that a few buckets hold most postings."""
+    pick = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(pick.choices(words, weights, k=pick.randrange(5, 60)))) for i in range(n)]
+    asked = [(i, " ".join(pick.choices(words, weights, k=8)) + f" w{pick.randrange(200, 400)} w{pick.randrange(100, 400)}") for i in range(12)] + [(90, "unknown"), (91, ""), (92, "w399")]
+    return spark.createDataFrame(rows, "id bigint, text string"), spark.createDataFrame(asked, "query_id bigint, query string")
+
+
+def test_pruned_search_equals_the_exhaustive_one(spark, monkeypatch):
+    monkeypatch.setattr(pruned, "RANGE_BITS", 6)
+    docs, queries = corpus(spark)
+    posted = sparse.postings(docs, "id", "text").cache()
+    asked = sparse.postings(queries, "query_id", "query")
+    for dead in (None, docs.where("id % 7 = 0").select("id")):
+        alive = posted if dead is None else posted.join(dead, "id", "left_anti")
+        idf = sparse.idf(alive, alive.select("id").distinct().agg(F.count("*").alias("n")))
+        want = sorted(map(tuple, retrieval.sparse_top_k(asked, alive, idf, 5).collect()))
+        weighted = asked.join(idf, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
+        result = pruned.search(weighted, pruned.blocks(posted), pruned.terms(posted), 5, dead)
+        assert sorted(map(tuple, result.found.collect())) == want and want
+        read, there = result.read.count(), result.matching.count()
+        assert read < 0.6 * there  # the buckets of frequent words, and low blocks of others
+    assert sorted(map(tuple, pruned.postings(pruned.blocks(posted)).collect())) == sorted(map(tuple, posted.select("bucket", "id", "weight").select("id", "bucket", "weight").collect()))
+
+
+def test_pruned_search_of_nothing(spark):
+    docs, queries = corpus(spark, 20)
+    posted = sparse.postings(docs, "id", "text")
+    none = spark.createDataFrame([], "query_id bigint, bucket bigint, asked double")
+    assert pruned.search(none, pruned.blocks(posted), pruned.terms(posted)).found.count() == 0
+    one = spark.createDataFrame([(1, 5, 1.0)], "query_id bigint, bucket bigint, asked double")
+    assert pruned.search(one, pruned.blocks(posted.limit(0)), pruned.terms(posted.limit(0))).found.count() == 0
+
+
+def clustered(spark, n=4000, groups=40, size=24, seed=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, size)) * 4
+    rows = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, size)) * 0.7
+    given = [(i, r.tolist()) for i, r in enumerate(rows)] + [(n, None), (None, rows[0].tolist()), (n + 1, [0.0] * size)] + [(n + 2 + i, rows[5].tolist()) for i in range(30)]
+    return spark.createDataFrame(given, "id bigint, vector array<float>")
+
+
+def test_lists_of_grouped_vectors(spark, tmp_path):
+    """Recall over 0.9 from under a tenth of the lists; the exact way equals the exhaustive search and leaves most lists unread."""
+    vectors = clustered(spark).cache()
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = lists.build(vectors, str(tmp_path / "lists"), lists.fit(vectors, lists=64, pieces=6))
+    assert index.sizes.sum() == 4031
+    true = retrieval.dense_top_k(asked, vectors, 10).cache()
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+    found, share = lists.exact(asked, index, 10, probes=2)
+    assert rows(found) == rows(true) and share < 0.5
+    probes = lists.tune(asked, index, 10, 0.95)
+    assert probes <= 6
+    got = lists.search(asked, index, 10, probes)
+    assert lists.recall(got, true) >= 0.9
+    scores = {(r.query_id, r.id): r.score for r in retrieval.dense_top_k(asked, vectors, 200).collect()}
+    assert all(math.isclose(r.score, scores[r.query_id, r.id], abs_tol=2e-6) for r in got.collect() if (r.query_id, r.id) in scores)
+    assert rows(lists.search(asked.limit(0), index)) == []
+    lists.save(index, spark)
+    again = lists.load(spark, index.path)
+    assert rows(lists.exact(asked, again, 10, 2)[0]) == rows(true)
+
+
+def test_lists_of_few_vectors(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(3)], "id bigint, vector array<float>")
+    index = lists.build(vectors, str(tmp_path / "few"), lists.fit(vectors))
+    asked = vectors.select(F.col("id").alias("query_id"), "vector")
+    want = sorted(map(tuple, retrieval.dense_top_k(asked, vectors, 10).collect()))
+    assert sorted(map(tuple, lists.exact(asked, index, 10, 1)[0].collect())) == want
+    assert sorted((r.query_id, r.id) for r in lists.search(asked, index, 10, 9).collect()) == sorted((q, i) for q, i, *_ in want)
