@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 HASH_MODES = ("md5", "blake2b")
 KNOWN = 1 << 18
+#: Documents that become Python objects at once.
+SLICE_ROWS = 256
 
 
 def tokens(text: Column) -> Column:
@@ -41,20 +44,22 @@ def _counted(buckets: int, mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            if len(known) > KNOWN:
-                known = {}
-            rows, names, weights = [], [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                terms: dict[int, float] = {}
-                for token, n in Counter(_FIND(text)).items():
-                    if (bucket := known.get(token)) is None:
-                        bucket = known[token] = hashed(token.encode()) % buckets
-                    terms[bucket] = terms.get(bucket, 0.0) + 1 + math.log(n)
-                rows += [at] * len(terms)
-                names += terms
-                weights += terms.values()
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array(weights, pa.float64())], names=["id", "bucket", "weight"])
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                if len(known) > KNOWN:
+                    known = {}
+                sizes, names, weights = [], [], []
+                for text in part.column(1).to_pylist():
+                    terms: dict[int, float] = {}
+                    for token, n in Counter(_FIND(text)).items():
+                        if (bucket := known.get(token)) is None:
+                            bucket = known[token] = hashed(token.encode()) % buckets
+                        terms[bucket] = terms.get(bucket, 0.0) + 1 + math.log(n)
+                    sizes.append(len(terms))
+                    names += terms
+                    weights += terms.values()
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array(weights, pa.float64())], names=["id", "bucket", "weight"])
 
     return run
 
