@@ -7,9 +7,10 @@ page is then extracted again from all containers at its host's winning path, in
 choice's path, if the winning path is missing, holds no prose, or holds less prose than a choice of another layout: one
 that does not enclose the winners, or a semantic one.
 
-Prose beside containers that are not semantic stays, unless its path is a template of the host: on a tenth of its pages or
-more, and with words that repeat (half as many different texts as blocks, or fewer). A form or an element whose names mark
-boilerplate, but that holds nine tenths of the page's prose (PAGE_WORDS at least, comments aside), is the page itself and stays.
+Prose beside the containers stays, semantic ones too, unless its path is a template of the host: on a tenth of its pages or more, and
+with words that repeat (half as many different texts as blocks, or fewer). A form or an element whose names mark boilerplate, but that
+holds nine tenths of the page's prose (comments aside), is the page itself and stays if it has PAGE_WORDS, a heading or article inside,
+or is a form without controls. Inline elements with such names go only where they are all of a block.
 
 Defined cases: a null or empty html has an empty text; a page without blocks has an empty text; a very long page is read
 whole; a null url belongs to the empty host; ties between paths go to the deeper, then the lexically smaller one; repeated rows
@@ -52,25 +53,34 @@ MARKS = set(
 #: Of these, marks of reader comments; marks that count only before a generic part, or at the name's end.
 COMMENTS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
 WEAK = {"share", "sharing", "social", "search", "widget"}
-GENERIC = set("area bar block box button buttons container form icon icons inner item items link links list post section this title wrap wrapper".split())
+#: Parts of names that say nothing of what an element holds; a mark counts if only these follow it.
+GENERIC = set(
+    "area bar block box button buttons container form icon icons inner outer item items link links list section this title wrap wrapper "
+    "author avatar body content date details holder label main media message meta metadata panel post posts region row slot space text thread trail unit zone column columns "
+    "articles products reading stories policy left right top bottom middle primary secondary first second last one two three desktop mobile sticky fixed global site".split()
+)
 LAYOUT = {"has", "with", "no", "without", "layout"}
-#: Words that an element marked as boilerplate must hold to be taken for the page itself.
+#: Words that an element marked as boilerplate must hold to be taken for the page itself, if nothing in it says that it is.
 PAGE_WORDS = 30
 OWN = {"entry", "post", "article", "content", "section", "story", "page"}
+#: Elements that only a text of its own holds, and controls that make a form one.
+TITLES, CONTROLS = {"h1", "article", "main"}, {"input", "textarea", "select", "button"}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _marked(names: str, top: bool, marks: set[str] = MARKS) -> bool:
-    """Whether class, id or role names mark boilerplate. What follows a word of layout (``content-with-sidebar``) doesn't count;
-    outside an article (top) a header does, unless it is a text's own."""
+    """Whether class, id or role names mark boilerplate: in one of them a mark is the last part that says anything (``main-nav-wrapper``,
+    but not ``menu-ideas`` or ``comments-open``). What follows a word of layout (``content-with-sidebar``) doesn't count; outside an
+    article (top) a header marks too, unless it is a text's own."""
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
         parts = parts[: next((i for i, p in enumerate(parts) if p in LAYOUT), len(parts))]
         if not parts:
             continue
-        strong = [p for p in parts if p in marks and p not in WEAK]
+        said = [p for p in parts if p not in GENERIC and len(p) > 1] or parts[:1]
+        strong = said[-1] in marks and said[-1] not in WEAK
         weak = parts[0] in WEAK & marks and (len(parts) == 1 or parts[-1] in GENERIC | WEAK) or parts[-1] in WEAK & marks - {"widget"}
         if strong or weak or "".join(parts) in marks or top and "header" in parts and not OWN & set(parts):
             return True
@@ -145,9 +155,7 @@ class Layout:
         return [wanted is None or i >= 0 and inside[i] for i, _ in self.blocks]
 
     def beside(self, wanted: int) -> list[int]:
-        """The blocks of prose outside the elements of a path, unless those are semantic."""
-        if any(e[2] == wanted and e[1] in SEMANTIC for e in self.elements):
-            return []
+        """The blocks of prose outside the elements of a path."""
         return [i for i, within in enumerate(self.inside(wanted)) if not within and self.prose(i)]
 
     def block_path(self, block: int) -> int:
@@ -192,13 +200,16 @@ class Page(Layout, HTMLParser):
     def __init__(self, html: str):
         Layout.__init__(self, [], [], [])
         HTMLParser.__init__(self, convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, element, dropped, doubtful element
+        self.stack: list[tuple[str, int, bool, int, bool]] = []  # tag, element, dropped, doubtful element, inline with a mark
         self.doubtful: list[int] = []  # by doubtful element: the one around it
+        self.solid: list[bool] = []  # by doubtful element: whether a short one may be the page too
         self.doubts: list[int] = []  # by block: its doubtful element, or -1
         self.parts: list[str] = []
         self.doubt = -1
         self.linked = 0
         self.anchors = 0
+        self.named = 0  # open inline elements whose names mark boilerplate
+        self.plain = False  # whether the block has words outside of those
         self.open: Counter[str] = Counter()
         self.feed(html)
         self.close()
@@ -208,12 +219,12 @@ class Page(Layout, HTMLParser):
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text:
+            if text and self.plain:
                 self.blocks.append((self.stack[-1][1] if self.stack else -1, text))
                 self.link_words.append(self.linked)
                 self.doubts.append(self.doubt)
             self.parts = []
-        self.linked = 0
+        self.linked, self.plain = 0, False
 
     def _settle(self) -> None:
         """Drop the blocks of doubtful elements, unless such an element holds (almost) all prose."""
@@ -228,17 +239,25 @@ class Page(Layout, HTMLParser):
             if self.doubtful[at] >= 0:
                 held[self.doubtful[at]] += held[at]
         stays = []
-        for around, n in zip(self.doubtful, held, strict=True):
-            stays.append((around < 0 or stays[around]) and n >= PAGE_WORDS and 10 * n >= 9 * total)
+        for around, n, solid in zip(self.doubtful, held, self.solid, strict=True):
+            stays.append((around < 0 or stays[around]) and n > 0 and (solid or n >= PAGE_WORDS) and 10 * n >= 9 * total)
         kept = [i for i, at in enumerate(self.doubts) if at < 0 or stays[at]]
         self.blocks, self.link_words = [self.blocks[i] for i in kept], [self.link_words[i] for i in kept]
 
+    def _told(self, solid: bool, doubt: int | None = None) -> None:
+        """Note that a text's own title is inside doubtful elements, or that a control is inside the form around it."""
+        at = (self.stack[-1][3] if self.stack else -1) if doubt is None else doubt
+        while at >= 0:
+            self.solid[at] = solid
+            at = self.doubtful[at]
+
     def _pop(self, size: int) -> None:
         if any(entry[0] in BLOCK for entry in self.stack[size:]):
             self._flush()
-        for tag, *_ in self.stack[size:]:
+        for tag, _, _, _, named in self.stack[size:]:
             self.open[tag] -= 1
             self.anchors -= tag == "a"
+            self.named -= named
         del self.stack[size:]
 
     def _close_open(self, tags: set[str], limits: set[str]) -> None:
@@ -259,20 +278,26 @@ class Page(Layout, HTMLParser):
             self._close_open(CLOSED_BY[tag], LIMITS[tag])
         if tag in BLOCK:
             self._flush()
+        given = {k: v or "" for k, v in attrs}
+        if tag in CONTROLS and given.get("type", "").lower() != "hidden":
+            self._told(False)
         if tag in VOID:
             return
-        given = {k: v or "" for k, v in attrs}
-        parent, dropped, doubt = self.stack[-1][1:] if self.stack else (-1, False, -1)
+        parent, dropped, doubt = self.stack[-1][1:4] if self.stack else (-1, False, -1)
+        named = False
         if not dropped and tag not in ("html", "body"):
             dropped = tag in DROPPED and tag != "form" or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
             top, names = not any(self.open[t] for t in SEMANTIC), f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
-            dropped = dropped or tag == "header" and top or _marked(names, False, COMMENTS)
+            dropped = dropped or tag in BLOCK and (tag == "header" and top or _marked(names, False, COMMENTS))
             if not dropped and (tag == "form" or _marked(names, top)):
                 if tag in BLOCK:
                     self.doubtful.append(doubt)
+                    self.solid.append(tag == "form")
                     doubt = len(self.doubtful) - 1
                 else:
-                    dropped = True
+                    named = True
+            if tag in TITLES and not dropped:
+                self._told(True, doubt)
         label = tag + "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in given.get("class", "").split()}))
         if tag in BLOCK or parent < 0:
             above, depth = (self.elements[parent][2], self.elements[parent][4] + 1) if parent >= 0 else (0, 0)
@@ -280,7 +305,8 @@ class Page(Layout, HTMLParser):
             parent = len(self.elements) - 1
         self.anchors += tag == "a"
         self.open[tag] += 1
-        self.stack.append((tag, parent, dropped, doubt))
+        self.named += named
+        self.stack.append((tag, parent, dropped, doubt, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -301,6 +327,7 @@ class Page(Layout, HTMLParser):
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)
+        self.plain = self.plain or not self.named and not data.isspace()
         self.doubt = self.stack[-1][3] if self.stack else -1
         if self.anchors:
             self.linked += len(data.split())

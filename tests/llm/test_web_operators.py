@@ -34,7 +34,7 @@ def test_small_pages(raw, text):
 @pytest.mark.parametrize(
     ("names", "top", "marked"),
     [("ad", False, True), ("sideBar", False, True), ("main has-sidebar", True, False), ("no-comments post", True, False), ("site-header", True, True), ("entry-header", True, False), ("site-header", False, False), ("adage", False, False), ("cookie_banner-2", True, True), ("", True, False), ("content-with-sidebar", True, False),
-     ("share-buttons", False, True), ("share-price-news", False, False), ("widget-area", False, True), ("elementor-widget", False, False), ("search", False, True), ("comments-area", False, True)],
+     ("comments-open", True, False), ("comment-status-open", True, False), ("post-comments", True, True), ("comment-body", True, True), ("site-nav-wrapper", True, True), ("copyright-law", True, False), ("related-posts", False, True), ("share-buttons", False, True), ("share-price-news", False, False), ("widget-area", False, True), ("elementor-widget", False, False), ("search", False, True), ("comments-area", False, True)],
 )
 def test_marks(names, top, marked):
     assert html._marked(names, top) is marked
@@ -84,7 +84,7 @@ def test_text_in_several_containers(spark):
     assert extracted(spark, rows) == [f"{long}\n{long}", f"{long}\n{short}", f"{long}\n{short}"]
 
 
-@pytest.mark.parametrize("wrapper", ["<div class='content-with-sidebar'>", "<div class='elementor-widget-container'>", "<div class='search-result-page'>", "<div id='share-price-news'>", "<form action=x>", "<div class='page-popup'><div class='modal'>"])
+@pytest.mark.parametrize("wrapper", ["<div class='content-with-sidebar'>", "<div class='elementor-widget-container'>", "<div class='search-result-page'>", "<div id='share-price-news'>", "<form action=x>", "<div class='page-popup'><div class='modal'>", "<div class='post comments-open'>", "<article class='post comment-status-open'>", "<div class='single comments-open'>"])
 def test_wrapped_pages_are_not_empty(wrapper):
     text = "\n".join(" ".join(f"w{i}{j}" for i in range(20)) for j in range(3))
     body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
@@ -92,6 +92,29 @@ def test_wrapped_pages_are_not_empty(wrapper):
     assert html.Page(page).extract(None) == "A title\n" + text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<form action=x><input type=hidden name=v><h1>A title</h1><p>few words in it</p></form>", "A title\nfew words in it"), ("<form><p>few words in it</p></form>", "few words in it"),
+    ("<form><p>Your name</p><input name=n></form>", ""), ("<div class='cookie-notice'><p>We use cookies</p></div>", ""), ("<div class='modal'><h1>A title</h1><p>few words</p></div>", "A title\nfew words"),
+    ("<article><p>A <span class='share'>portion</span> of it, and a <a class='related' href=x>linkedword</a> stay.</p><p><a class='share' href=x>Tweet</a></p></article>", "A portion of it, and a linkedword stay."),
+    ("<article><div class='copyright-law'><p>On the law</p></div><section id='menu-ideas'><p>On menus</p></section><div class='copyright'><p>Me 2020</p></div></article>", "On the law\nOn menus"),
+    ("<article class='post comment-status-open'><p>words</p></article><div class='comments-area'><p>nice</p></div><ol class='comment-list'><li>bad</ol>", "words"),
+])
+def test_short_pages_and_names(page, text):
+    made = html.Page(f"<body>{page}</body>")
+    assert made.extract(None) == text
+
+
+def test_prose_beside_semantic_containers(spark):
+    lead, more = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 40)))
+    rows = [
+        ("http://a.org/", f"<body><main><article class='lead'><p>{lead}</p></article><article class='more'><p>{more}</p></article></main></body>"),
+        ("http://b.org/", f"<body><main><h1>Heading</h1><article><p>{lead}</p></article></main></body>"),
+        ("http://c.org/", f"<body><main><article><p>{lead}</p></article><p>{more}</p></main></body>"),
+        ("http://d.org/", f"<body><div><p>{more}</p></div><article><p>{lead}</p></article></body>"),
+    ] + [(f"http://e.org/{i}", f"<body><h1>Name of the site</h1><article><p>{lead} {i}</p></article><p>All about us</p></body>") for i in range(4)]
+    assert extracted(spark, rows) == [f"{lead}\n{more}", f"Heading\n{lead}", f"{lead}\n{more}", f"{more}\n{lead}", *(f"{lead} {i}" for i in range(4))]
+
+
 def test_templates_beside_the_article(spark):
     """Words that repeat at one path of a host's pages go; words that differ from page to page stay."""
     page = "<body><div class='x1'><p>%s</p></div><div class='main-text'><p>%s</p></div></body>"
