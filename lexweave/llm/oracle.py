@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import licences, quality, urls
+from . import licences, urls
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,12 +22,23 @@ def _quoted(value: str) -> str:
 
 
 _SYMBOLS = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
-_BOILERPLATE = " OR ".join(f"contains(low, {_quoted(x)})" for x in quality.BOILERPLATE)
+#: The lists of the quality rules, written out again.
+_PHRASES = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "site uses cookies", "website uses cookies", "accept cookies", "accept all cookies",
+    "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "follow us on", "click here to", "lorem ipsum", "powered by wordpress",
+]
+_NAV_LINES = [
+    "home", "next", "previous", "back", "back to top", "menu", "search", "login", "log in", "sign in", "sign up", "share", "read more", "more", "comments", "reply", "contact", "contact us", "about",
+    "about us", "skip to content", "skip to main content", "site map",
+]
+_NAV_PAGES = ["home", "menu", "search", "login", "logout", "register", "contact", "about", "share", "comments", "reply", "sitemap", "faq", "help", "blog", "news", "account", "cart", "privacy", "terms"]
+_NAV_ANY = ["home", "next", "previous", "back", "to", "top", "menu", "search", "login", "log", "in", "sign", "up", "share", "read", "more", "comments", "reply", "contact", "us", "about", "skip", "content", "main", "site", "map", "logout", "register", "sitemap", "faq", "help", "blog", "news", "account", "cart", "privacy", "terms"]
+_SAID = " + ".join(f"CASE WHEN contains(low, {_quoted(x)}) THEN {len(x.split())} ELSE 0 END" for x in _PHRASES)
 _NAMED = "trim(regexp_replace(low, '[^a-z0-9\\x{80}-\\x{10FFFF}]+', ' ', 'g'))"
 _ENDED = "[\\x20\\x09-\\x0D]*$"
 
 
-def _in(words: tuple | frozenset) -> str:
+def _in(words: list[str]) -> str:
     return f"IN ({', '.join(map(_quoted, sorted(words)))})"
 
 
@@ -36,16 +47,18 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TEXT} AS text, {_words(
 w AS (SELECT rid, i, l[i:i + 4] AS g FROM (SELECT rid, l, unnest(range(1, len(l) - 3)) AS i FROM d)),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM w) WHERE c > 1) GROUP BY rid),
 s AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-n AS (SELECT rid, line, i, coalesce(lead(line) OVER (PARTITION BY rid ORDER BY i), '') AS after, {_words('line', _GAP)} AS l, {_LOWER.format('line')} AS low FROM s),
+n0 AS (SELECT rid, line, i, {_words('line', _GAP)} AS l, {_LOWER.format('line')} AS low, regexp_matches(line, '[\p{{L}}\p{{N}}]{_ENDED}') AS bare FROM s),
+n AS (SELECT *, lead(l[1]) OVER o AS first_after, coalesce(len(lag(l) OVER o), 0) = 0 AS alone, max(length(line)) FILTER (WHERE len(l) <= 25) OVER w AS width,
+  count(*) FILTER (WHERE len(l) BETWEEN 4 AND 25) OVER w AS n_judged, count(*) FILTER (WHERE len(l) BETWEEN 4 AND 25 AND bare) OVER w AS n_bare FROM n0 WINDOW o AS (PARTITION BY rid ORDER BY i), w AS (PARTITION BY rid)),
 j AS (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS k, len(l) AS n, {_SYMBOLS.format('line')} AS sym, len(line) - len(replace(line, '!', '')) AS bang, string_split({_NAMED}, ' ') AS named,
   length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters, len([x FOR x IN range(1, len(l)) IF l[x] = l[x + 1]]) AS same FROM n WHERE len(l) > 0),
 f AS (SELECT *, (4 * sym > n AND (sym > n OR n >= 4)) OR (n >= 3 AND (2 * bang >= n OR 10 * upper > 6 * letters)) OR (n >= 6 AND 3 * same >= n)
-  OR (n BETWEEN 4 AND 25 AND regexp_matches(line, '[\p{{L}}\p{{N}}]{_ENDED}') AND NOT regexp_matches(after, '^[\x20\x09-\x0D]*\p{{Ll}}'))
+  OR (n BETWEEN 4 AND 25 AND bare AND 2 * n_bare <= n_judged AND NOT (n <= 12 AND alone) AND NOT coalesce(length(line) + 1 + length(first_after) > width, FALSE))
   OR (n BETWEEN 3 AND 25 AND 2 * len([x FOR x IN l IF regexp_matches(x, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]')]) < n)
-  OR (n <= 25 AND regexp_matches(line, '({"|".join(re.escape(x) for x in quality.CODE_ENDS)}){_ENDED}'))
-  OR (n <= 12 AND (contains(line, ' | ') OR contains(line, ' » ') OR contains(line, ' > ') OR len([x FOR x IN l IF x {_in(quality.SEPARATORS)}]) >= 2 OR regexp_matches(low, '{quality.COPYRIGHT}')
-    OR {_NAMED} {_in(quality.NAVIGATION)} OR (len([x FOR x IN named IF x {_in(quality.NAV_WORDS)}]) = len(named) AND len([x FOR x IN named IF x {_in(quality.PAGES)}]) >= 2)))
-  OR (n <= 25 AND ({_BOILERPLATE})) AS fails FROM j),
+  OR (n <= 25 AND regexp_matches(line, '(\{{|\}}|\);|\*/|-->){_ENDED}'))
+  OR (n <= 12 AND (contains(line, ' | ') OR contains(line, ' » ') OR contains(line, ' > ') OR len([x FOR x IN l IF x IN ('·', '•', '›', '/', '::')]) >= 2 OR regexp_matches(low, '^[\x20\x09-\x0D]*(copyright|\(c\)|©).*(19|20)[0-9][0-9]')
+    OR {_NAMED} {_in(_NAV_LINES)} OR (len([x FOR x IN named IF x {_in(_NAV_ANY)}]) = len(named) AND len([x FOR x IN named IF x {_in(_NAV_PAGES)}]) >= 2)))
+  OR (n <= 25 AND ({_SAID}) > 0 AND 2 * ({_SAID}) >= n) AS fails FROM j),
 g AS (SELECT rid, count(*) AS lines, count(DISTINCT line) AS own, sum(n) FILTER (WHERE k > 1 OR fails) AS lost FROM f GROUP BY rid),
 a AS (SELECT d.doc_id, len(d.l)::BIGINT AS n_words, length(array_to_string(d.l, ''))::BIGINT AS word_chars, {_SYMBOLS.format('d.text')}::BIGINT AS n_symbols,
   coalesce(lines - own, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words FROM d LEFT JOIN r USING (rid) LEFT JOIN g USING (rid))

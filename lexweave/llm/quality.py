@@ -5,12 +5,14 @@ Line rules (a line without a word is neither judged nor lost):
   shouting    three words or more, of whose letters over 60 in 100 are upper case
   bangs       ``!`` in number at least half the words, three words or more
   stutter     a third of the words or more equal the word before, six words or more
-  unended     4 to 25 words, a letter or digit at the end, and no line right after that begins with a lower-case letter
+  unended     4 to 25 words and a letter or digit at the end, in a text of whose lines of that length half or more have an end; not
+              a heading (at most 12 words, at the start or after a blank line), and not wrapped: the next line's first word would
+              not fit into the text's width, its longest line of up to 25 words
   wordless    3 to 25 words, over half of them without a letter or digit
   code        at most 25 words with a bracket or comment sign of program code at the end
   navigation  a ``|``, ``»`` or ``>`` between words, or two other separators, with at most 12 words in all; a navigation phrase
               alone; at most 12 words, all of them words of such phrases and two of them names of pages
-  boilerplate a boilerplate phrase in a line of at most 25 words; a copyright line with a year of at most 12 words
+  boilerplate boilerplate phrases that are half or more of a line of at most 25 words; a copyright line with a year of at most 12 words
   repeated    equal to an earlier line
 A document is kept if its base counts pass and its failing lines hold at most half of its words.
 
@@ -34,6 +36,8 @@ from .common import keep_rows, slices, words_of
 
 WINDOW = 5
 MAX_LOST = 0.5
+#: Words that a heading has at most.
+HEADING = 12
 #: Lines that consist of one of these only; further names of pages; phrases that mark boilerplate.
 NAVIGATION = (
     "home", "next", "previous", "back", "back to top", "menu", "search", "login", "log in", "sign in", "sign up", "share", "read more", "more", "comments", "reply",
@@ -99,13 +103,32 @@ _SEPARATORS, _CODE_ENDS, _PAGES, _NAV_WORDS = ({x.encode() for x in words} for w
 _COPYRIGHT = re.compile(COPYRIGHT.encode())
 
 
-def _unended(line: bytes, after: bytes) -> bool:
-    last, first = line.rstrip()[-4:].decode("utf-8", "ignore")[-1:], after.lstrip()[:4].decode("utf-8", "ignore")[:1]
-    return bool(last) and unicodedata.category(last)[0] in "LN" and not (first and unicodedata.category(first) == "Ll")
-
-
-def line_fails(line: bytes, words: list[bytes], after: bytes = b"") -> bool:
-    """Whether a line fails, with the line right after it."""
+def _ended(line: bytes) -> bool:
+    """Whether a line's last sign is no letter or digit."""
+    last = line.rstrip()[-4:].decode("utf-8", "ignore")[-1:]
+    return not last or unicodedata.category(last)[0] not in "LN"
+
+
+def unended_lines(lines: list[bytes], words: list[list[bytes]]) -> set[int]:
+    """The places of lines that stop without an end where the text's lines have ends: 4 to 25 words, unless they are headings or
+    wrapped. Nothing is judged where most such lines have no end, as in wrapped prose and poems."""
+    judged = [i for i, w in enumerate(words) if 4 <= len(w) <= 25]
+    bare = [i for i in judged if not _ended(lines[i])]
+    if not bare or 2 * len(bare) > len(judged):
+        return set()
+    size = lambda x: len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass"))
+    width, out = max(size(x) for x, w in zip(lines, words, strict=True) if len(w) <= 25), set()
+    for i in bare:
+        heading = len(words[i]) <= HEADING and (i == 0 or not words[i - 1])
+        after = words[i + 1] if i + 1 < len(words) else []
+        wrapped = bool(after) and size(lines[i]) + 1 + size(after[0]) > width
+        if not heading and not wrapped:
+            out.add(i)
+    return out
+
+
+def line_fails(line: bytes, words: list[bytes], unended: bool = False) -> bool:
+    """Whether a line fails, told whether it is one of the unended lines."""
     n = len(words)
     symbols = len(line.translate(None, _SYMBOL))
     if 4 * symbols > n and (symbols > n or n >= 4):
@@ -122,7 +145,7 @@ def line_fails(line: bytes, words: list[bytes], after: bytes = b"") -> bool:
         return True
     if n > 25:
         return False
-    if n >= 4 and _unended(line, after) or n >= 3 and 2 * len(line.translate(None, _PUNCTUATION).split()) < n or line.rstrip().endswith(tuple(_CODE_ENDS)):
+    if unended or n >= 3 and 2 * len(line.translate(None, _PUNCTUATION).split()) < n or line.rstrip().endswith(tuple(_CODE_ENDS)):
         return True
     low = line.lower()
     if n <= 12:
@@ -132,7 +155,7 @@ def line_fails(line: bytes, words: list[bytes], after: bytes = b"") -> bool:
         found = named.split()
         if named in NAVIGATION_LINES or all(w in _NAV_WORDS for w in found) and sum(w in _PAGES for w in found) >= 2:
             return True
-    return any(x in low for x in BOILERPLATE_PARTS)
+    return any(x in low for x in BOILERPLATE_PARTS) and 2 * sum(len(x.split()) for x in BOILERPLATE_PARTS if x in low) >= n
 
 
 def clean(text: str | None) -> tuple[str, int]:
@@ -141,10 +164,11 @@ def clean(text: str | None) -> tuple[str, int]:
         return "", 0
     out, seen, lost = [], set(), 0
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    for line, after in zip(lines, [*lines[1:], b""], strict=True):
-        words = line.split()
+    split = [line.split() for line in lines]
+    bare = unended_lines(lines, split)
+    for i, (line, words) in enumerate(zip(lines, split, strict=True)):
         if words:
-            if line in seen or line_fails(line, words, after):
+            if line in seen or line_fails(line, words, i in bare):
                 lost += len(words)
             else:
                 out.append(line)

@@ -119,8 +119,8 @@ def test_repeats_beyond_packed_keys():
     [
         ("An ordinary sentence of some length ends here.", False), ("of%%% the*** and$$$ to&&& be###", True), ("RR!! EAUX!! DE!! LA!!", True), ("ALL CAPITAL LETTERS IN HERE", True),
         ("home | about | contact", True), ("Read more", True), ("Copyright 2020. All rights reserved.", True), ("the the the the the the", True), ("Short.", False), ("ÄÖÜ ÀÉÈ ÑÕ", True), ("МОСКВА ГОРОД РЕКА", True),
-        ("R&D costs rose.", False), ("You can use cookies in the recipe for dessert.", False), ("We use cookies on this site.", True), ("Home About Contact Login", True), ("Copyright 2024 Example Corp", True),
-        ("The copyright of 1998 was hers.", False), ("Skip to content", True), ("... ... ... ...", True), ("if (found) { return found; }", True), ("this line has no end", True), ("Das Ende fehlt auch ü", True), ("it ended, he said.\"", False),
+        ("R&D costs rose.", False), ("You can use cookies in the recipe for dessert.", False), ("We use cookies on this site.", True), ("Terms of use of the word irony vary between authors and schools.", False), ("She showed that we use cookies to lure children.", False), ("Terms of use. Privacy policy. All rights reserved.", True), ("Home About Contact Login", True), ("Copyright 2024 Example Corp", True),
+        ("The copyright of 1998 was hers.", False), ("Skip to content", True), ("... ... ... ...", True), ("if (found) { return found; }", True), ("it ended, he said.\"", False),
         ("Home · Politics · Sport", True), ("To be. In.", False), ("More about this.", False), ("A Heading Here", False), (" ".join(f"word{i}" for i in range(26)), False),
     ],
 )
@@ -129,9 +129,35 @@ def test_line_rules(line, fails):
     assert quality.line_fails(raw, raw.split()) is fails
 
 
-def test_lines_that_go_on_are_not_unended():
-    wrapped = "This paragraph was wrapped at a\nwidth that leaves no sign at\nthe end of its lines. It ends.\n\nA line without an end here\n\nnot its second half."
+def test_unended_lines_among_ended_ones():
+    wrapped = "This paragraph was wrapped at a\nwidth that leaves no sign at the\nend of its lines. It ends here.\n\nA Heading Without An End\nAnother line stands here.\nA line without an end here\nOne more line that ends here.\nAnd yet another one does.\nSo does this last one."
     assert quality.clean(wrapped) == (wrapped.replace("A line without an end here\n", ""), 6)
+    assert quality.clean("Das Ende fehlt auch ü\nnur hier\nin diesem Text")[1] == 0
+
+
+#: Prose in several scripts, invented.
+PROSE = {
+    "arabic": "كان البحر هادئا في ذلك الصباح وكانت السفن الصغيرة تعود الى الميناء بعد ليلة طويلة من العمل. جلس الرجل العجوز قرب الماء ينظر الى الطيور البيضاء وهي تدور فوق الاشرعة. قال لحفيده ان الريح سوف تتغير قبل المساء وان عليهم ان يعودوا الى البيت.",
+    "korean": "아침 바다는 조용했고 작은 배들은 긴 밤의 일을 마치고 항구로 돌아오고 있었다. 노인은 물가에 앉아 하얀 새들이 돛 위를 도는 것을 바라보았다. 그는 손자에게 저녁이 되기 전에 바람이 바뀔 것이라고 말했다. 그래서 그들은 서둘러 집으로 돌아갔다.",
+    "hindi": "उस सुबह समुद्र शांत था और छोटी नावें रात भर के काम के बाद बंदरगाह पर लौट रही थीं। बूढ़ा आदमी पानी के पास बैठकर सफेद पक्षियों को देख रहा था। उसने अपने पोते से कहा कि शाम से पहले हवा बदल जाएगी और उन्हें घर लौटना होगा।",
+    "german": "Am Morgen lag das Meer ruhig vor der Stadt und die kleinen Boote kamen nach langer Nacht in den Hafen zurück. Der alte Mann saß am Wasser und sah den weißen Vögeln zu, die über den Segeln kreisten. Er sagte seinem Enkel, dass der Wind vor dem Abend drehen werde.",
+    "english": "In the morning the sea lay quiet before the town and the small boats came back to the harbour after a long night. The old man sat by the water and watched the white birds circle above the sails. He told his grandson that the wind would turn before the evening.",
+}
+POEM = "The tide has left the shore alone\nand silver falls on every stone\nwhile far away the engines hum\nof ships that promised they would come\n\nThe lamps are lit along the quay\nand someone sings across the sea\na song of rope and salt and rain\nthat nobody will sing again"
+
+
+@pytest.mark.parametrize("script", sorted(PROSE))
+@pytest.mark.parametrize("width", [28, 40, 60])
+def test_wrapped_prose_stays(script, width):
+    import textwrap
+
+    text = "\n".join(textwrap.wrap(PROSE[script], width, break_long_words=False, break_on_hyphens=False))
+    n = len(text.split())
+    assert quality.clean(text)[1] <= 0.1 * n
+
+
+def test_poems_stay():
+    assert quality.clean(POEM) == (POEM, 0)
 
 
 def test_quality_documents(odd, empty, documents):
