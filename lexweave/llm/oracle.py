@@ -113,14 +113,18 @@ SELECT doc_id, most::BIGINT AS n_sentences, array_to_string(CASE WHEN len(lined)
 """
 
 
+#: Tokens of the longest rules that SQL counts.
+SQL_TOKENS = 4
+
+
 def _url_rules() -> str:
-    """Every set of up to MAX_TOKENS tokens is counted, where FP-growth grows only the frequent ones."""
+    """Every set of up to SQL_TOKENS tokens is counted, where FP-growth grows only the frequent ones."""
     fixed = sorted(urls.HOST_RULES, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in fixed]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, fixed, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, fixed, strict=True))
     sets = []
-    for n in range(1, urls.MAX_TOKENS + 1):
+    for n in range(1, SQL_TOKENS + 1):
         names = [f"t{i}" for i in range(n)]
         joins = " ".join(f"JOIN one {b} ON {b}.rid = {a}.rid AND {b}.t > {a}.t" for a, b in zip(names, names[1:], strict=False))
         sets.append(f"SELECT t0.rid, {' || chr(9) || '.join(f'{x}.t' for x in names)} AS k FROM one t0 {joins}")
@@ -139,7 +143,7 @@ na AS (SELECT k, count(*)::DOUBLE AS c FROM sets JOIN basket USING (rid) GROUP B
 nb AS (SELECT k, v, count(*)::DOUBLE AS c FROM sets JOIN basket USING (rid) GROUP BY k, v),
 rules AS (SELECT k, v, nb.c / na.c AS confidence, nb.c / n.n AS support FROM nb JOIN na USING (k) JOIN nv USING (v), n
   WHERE nb.c >= ceil({urls.MIN_SUPPORT} * n.n) AND nb.c / na.c >= {urls.MIN_CONFIDENCE} AND (nb.c / na.c) / (nv.c / n.n) >= {urls.MIN_LIFT}),
-best AS (SELECT rid, max(struct_pack(c := confidence, s := support, k := k, v := v)) AS best FROM sets JOIN rules USING (k) GROUP BY rid)
+best AS (SELECT rid, min(struct_pack(c := -confidence, s := -support, a := CASE v WHEN 'block' THEN 0 ELSE 1 END, n := len(string_split(k, chr(9))), k := k, v := v)) AS best FROM sets JOIN rules USING (k) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(fixed, best.v, 'allow') AS verdict, CASE WHEN fixed IS NULL THEN translate(best.k, chr(9), ' ') END AS mined_rule FROM f LEFT JOIN best USING (rid)
 """
 

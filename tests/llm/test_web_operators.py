@@ -204,15 +204,20 @@ def test_mined_rules_equal_counting(spark):
     table = spark.createDataFrame([p[:2] for p in pages] + [(300, None), (0, pages[0][1])], "page_id long, url string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     rules = [r.asDict() for r in urls.mine(table, marks).collect()]
-    assert any(r["verdict"] == "block" and r["antecedent"] == ["h:pills"] for r in rules)
+    assert any(r["verdict"] == "block" and r["antecedent"] == ["h:bad"] for r in rules)
     found = urls.filter_urls(table, marks).collect()
+    cut = urls.judged(table).withColumn(urls.ROW, F.monotonically_increasing_id())
+    classes = {}
+    for r in urls._mine(cut, marks)[1].collect():
+        classes.setdefault(r["class"], set()).add(r.token)
     tokens = {(r.page_id, r.url): set(r.tokens) for r in urls.judged(table).collect()}
     assert len(found) == 302
     by = {p[0]: p[1] for p in pages} | {300: None}
     for r in found:
         rule, verdict = plain_rule(*plain_host(by[r.page_id]))
-        fits = [(x["confidence"], x["support"], "\t".join(x["antecedent"]), x["verdict"]) for x in rules if set(x["antecedent"]) <= tokens[r.page_id, by[r.page_id]]]
-        assert r.rule == rule and r.verdict == (verdict or (max(fits)[3] if fits else "allow"))
+        own = tokens[r.page_id, by[r.page_id]]
+        fits = [(-x["confidence"], -x["support"], x["verdict"] != "block", x["verdict"]) for x in rules if all(classes[c] & own for c in x["antecedent"])]
+        assert r.rule == rule and r.verdict == (verdict or (min(fits)[3] if fits else "allow"))
     judged = [r for r in found if r.rule is None and by[r.page_id]]
     assert all((r.verdict == "block") == ("pills" in r.host or "spam" in r.host) for r in judged)
 
@@ -232,10 +237,22 @@ def test_long_rules_decide(spark):
     found = {r.page_id: r.verdict for r in urls.filter_urls(table, marks).collect()}
     for i, p in parts.items():
         fits = [(*rules[c, v], v) for c in p for v in share if (c, v) in rules]
-        assert found[i] == (max(fits)[2] if fits else "allow"), rows[i]
+        assert found[i] == (max(fits, key=lambda x: (*x[:2], x[2] == "block"))[2] if fits else "allow"), rows[i]
     assert [found[i] for i, _, bad in rows if bad] == ["block"] * 20
 
 
+def test_tokens_that_a_site_shares(spark):
+    """Twenty tokens in common are one class: a rule for each of them alone, none for their sets; pages with one of them are met."""
+    deep = "/".join(f"s{chr(97 + i)}" for i in range(20))
+    rows = [(i, f"http://spam.net/{deep}/{i}") for i in range(100)] + [(i, f"http://fine.org/news/{i}") for i in range(100, 1000)] + [(2000, "http://other.info/sc/x"), (2001, "http://other.info/y")]
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("clash")).withColumn("tokens", F.lit(1)).withColumn("class", F.lit(2))
+    marks = spark.createDataFrame([(i, 0 if i < 100 else 1, 0, "x") for i in range(1000)], "doc_id long, quality int, toxic int, token string")
+    rules = urls.mine(table, marks).collect()
+    assert len(rules) <= 6 and all(len(r.antecedent) == 1 for r in rules)
+    found = {r.page_id: (r.verdict, r.mined_rule) for r in urls.filter_urls(table, marks).collect()}
+    assert found[5] == ("block", "h:net") and found[2000] == ("block", "p:sc") and found[2001][0] == "allow" and found[500][0] == "allow"
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id int, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
