@@ -64,10 +64,19 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.idf(_postings(spark, sf_dir), _docs(spark, sf_dir).agg(F.count("*").alias("n")))
 
 
-def _sparse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weighted(spark: SparkSession, sf_dir: str, posted: DataFrame) -> DataFrame:
+    """The queries' buckets and weights, times idf; document frequencies are counted at these buckets only."""
     asked = written(sparse.postings(table(spark, sf_dir, "benchmark"), "item_id"), "asked")
-    hits = retrieval.matched(asked, _postings(spark, sf_dir))
-    return retrieval.sparse_top_k(asked, hits, sparse.idf(hits, _docs(spark, sf_dir).agg(F.count("*").alias("n"))))
+    met = posted.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    weights = sparse.idf(met, _docs(spark, sf_dir).agg(F.count("*").alias("n")))
+    return asked.join(weights, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
+
+
+def _sparse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus is encoded once and written by document; the pruned search reads its postings as they lie."""
+    terms = written(sparse.encoded(_docs(spark, sf_dir)), "terms")
+    posted = sparse.flat(terms)
+    return pruned.search(_weighted(spark, sf_dir, posted), pruned.single(posted), terms).found
 
 
 @registered(f"SELECT doc_id, len(l)::BIGINT AS n_tokens, array_to_string(l, ' ') AS tokens FROM (SELECT doc_id, {_TOKENS} AS l FROM documents)")
@@ -86,7 +95,7 @@ def sparse_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array form: ascending indices and their values."""
-    rows = sparse.encoded(_docs(spark, sf_dir).where(F.lower("text").rlike("[a-z0-9]")))
+    rows = sparse.encoded(_docs(spark, sf_dir)).where(F.size("terms") > 0)
     return rows.select(
         F.col("id").alias("doc_id"), F.array_join(F.transform("terms", lambda x: x.getField("bucket").cast("string")), ",").alias("indices"),
         F.array_join(F.transform("terms", lambda x: F.format_string("%.6f", x.getField("weight"))), ",").alias("weights"),
@@ -107,14 +116,10 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, from blocks of postings written by bucket, of which those that cannot matter are not read."""
     path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    docs = _docs(spark, sf_dir)
-    posted = written(sparse.postings(docs), "posted")
-    pruned.blocks(posted).write.partitionBy("part").parquet(f"{path}/blocks")
-    pruned.terms(posted).write.parquet(f"{path}/terms")
-    asked = written(sparse.postings(table(spark, sf_dir, "benchmark"), "item_id"), "asked")
-    weights = sparse.idf(retrieval.matched(asked, posted), docs.agg(F.count("*").alias("n")))
-    asked = asked.join(weights, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
-    return _ranked(pruned.search(asked, spark.read.schema(pruned.BLOCKS).parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms")).found)
+    terms = written(sparse.encoded(_docs(spark, sf_dir)), "terms")
+    posted = sparse.flat(terms)
+    pruned.blocks(posted).write.partitionBy("part").parquet(path)
+    return _ranked(pruned.search(_weighted(spark, sf_dir, posted), spark.read.schema(pruned.BLOCKS).parquet(path), terms).found)
 
 
 @registered()

@@ -23,14 +23,16 @@ def corpus(spark, n=1500, seed=3):
 def test_pruned_search_equals_the_exhaustive_one(spark, monkeypatch):
     monkeypatch.setattr(pruned, "RANGE_BITS", 6)
     docs, queries = corpus(spark)
-    posted = sparse.postings(docs, "id", "text").cache()
+    terms = sparse.encoded(docs, "id", "text").cache()
+    posted = sparse.flat(terms)
     asked = sparse.postings(queries, "query_id", "query")
     for dead in (None, docs.where("id % 7 = 0").select("id")):
         alive = posted if dead is None else posted.join(dead, "id", "left_anti")
         idf = sparse.idf(alive, alive.select("id").distinct().agg(F.count("*").alias("n")))
         want = sorted(map(tuple, retrieval.sparse_top_k(asked, alive, idf, 5).collect()))
         weighted = asked.join(idf, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
-        result = pruned.search(weighted, pruned.blocks(posted), pruned.terms(posted), 5, dead)
+        assert sorted(map(tuple, pruned.search(weighted, pruned.single(posted), terms, 5, dead).found.collect())) == want
+        result = pruned.search(weighted, pruned.blocks(posted), terms, 5, dead)
         assert sorted(map(tuple, result.found.collect())) == want and want
         read, there = result.read.count(), result.matching.count()
         assert read < 0.6 * there  # the buckets of frequent words, and low blocks of others
@@ -39,11 +41,12 @@ def test_pruned_search_equals_the_exhaustive_one(spark, monkeypatch):
 
 def test_pruned_search_of_nothing(spark):
     docs, queries = corpus(spark, 20)
-    posted = sparse.postings(docs, "id", "text")
+    terms = sparse.encoded(docs, "id", "text")
+    posted = sparse.flat(terms)
     none = spark.createDataFrame([], "query_id bigint, bucket bigint, asked double")
-    assert pruned.search(none, pruned.blocks(posted), pruned.terms(posted)).found.count() == 0
+    assert pruned.search(none, pruned.blocks(posted), terms).found.count() == 0
     one = spark.createDataFrame([(1, 5, 1.0)], "query_id bigint, bucket bigint, asked double")
-    assert pruned.search(one, pruned.blocks(posted.limit(0)), pruned.terms(posted.limit(0))).found.count() == 0
+    assert pruned.search(one, pruned.blocks(posted.limit(0)), terms.limit(0)).found.count() == 0
 
 
 def clustered(spark, n=4000, groups=40, size=24, seed=8):
