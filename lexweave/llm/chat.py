@@ -8,26 +8,33 @@ call; ``tools`` lists objects (or their ``function``) with name and parameters,
 Calls and results are hash-joined by (conv_id, identifier). A result comes after the message that holds its call, which may be
 a result itself: a message's anchor is the turn of the first message of its chain, its depth the number of calls between, and
 (anchor_turn, depth, turn) is a topological order. Chains are followed by doubling, in joins. Arguments are checked against the
-schema that the conversation declares: type (or types), enum, required, properties and items, LEVELS deep. Messages stay one row
+schema that the conversation declares, a join and a level of it per round: KEYWORDS lists what is checked. Messages stay one row
 each, so that a conversation of any length is never gathered into one task.
 
 Defined cases: a null text is empty content; a null role is ``unknown``; invalid JSON is plain content; very long texts are read
 whole; a body keeps all its keys, its own role and turn as ``_role`` and ``_turn``; of repeated call identifiers the one of the
 earliest turn is linked to, then the smaller hash; a result without a call is ``orphan`` and stays where it was; so does a
 result whose chain of calls runs in a circle (``cyclic``); a call without a result is ``pending``; a tool without a schema validates
-as null; repeated messages stay repeated and link alike; of several schemas for a tool the earliest turn's holds; null conv_id
+as null, and so does one whose schema holds other keywords, or a pattern beyond PLAIN_PATTERN, if all else fits; repeated messages stay repeated and link alike; of several schemas for a tool the earliest turn's holds; null conv_id
 or turn link to nothing; an empty table gives no row; further columns of any name don't matter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Levels of nested schemas that are checked.
-LEVELS = 3
+#: Keywords of a schema that are checked, or say nothing of values; with any other one validity is left open.
+KEYWORDS = (
+    "type", "enum", "const", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength",
+    "minItems", "maxItems", "minProperties", "maxProperties", "pattern", "title", "description", "default", "examples", "format", "deprecated", "$schema", "$id", "$comment",
+)
+#: Patterns that are tried: parts with one repetition each, of letters, signs, escapes and classes that every dialect reads alike.
+PLAIN_PATTERN = r"^\^?(?:(?:[A-Za-z0-9_@ :,/#%&=~!<>;'\"-]|\.|\\[dwsDWS./+*?()\[\]{}|^$-]|\[\^?(?:a-z|A-Z|0-9|a-f|A-F|[A-Za-z0-9_.@ +*/:,])+-?\])(?:[*+?]|\{\d{1,3},?\})?)*\$?$"
 #: The variant type names that satisfy a schema type.
 TYPES = {
     "string": "^STRING$", "integer": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\\(\\d+,0\\))$", "boolean": "^BOOLEAN$", "null": "^VOID$",
@@ -47,22 +54,52 @@ def _or_empty(value: Column, kind: str) -> Column:
     return F.coalesce(value, (F.create_map() if kind.startswith("map") else F.array()).cast(kind))
 
 
-def fits(value: Column, schema: Column, levels: int = LEVELS) -> Column:
-    """Whether a variant satisfies a JSON schema; a type that is not known, or none, admits anything."""
+def _checked(value: Column, schema: Column) -> tuple[Column, Column]:
+    """Whether a variant satisfies what a JSON schema says of it alone, without its members, and whether that leaves anything open."""
     pattern = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    kind, members, entries = F.schema_of_variant(value), value.try_cast(_FIELDS), value.try_cast(_LIST)
     wanted = F.coalesce(_get(schema, "$.type", "array<string>"), F.array(_get(schema, "$.type", "string")))
-    ok = F.exists(wanted, lambda t: t.isNull() | F.coalesce(F.regexp_like(F.schema_of_variant(value), F.try_element_at(pattern, t)), F.lit(True)))
-    allowed = _get(schema, "$.enum", _LIST)
+    ok = F.exists(wanted, lambda t: t.isNull() | F.coalesce(F.regexp_like(kind, F.try_element_at(pattern, t)), F.lit(True)))
+    allowed, single = _get(schema, "$.enum", _LIST), _get(schema, "$.const", "variant")
     ok &= allowed.isNull() | F.array_contains(F.transform(allowed, lambda x: F.to_json(x)), F.to_json(value))
-    if not levels:
-        return ok
-    members, entries = value.try_cast(_FIELDS), value.try_cast(_LIST)
-    required, properties = _or_empty(_get(schema, "$.required", "array<string>"), "array<string>"), _or_empty(_get(schema, "$.properties", _FIELDS), _FIELDS)
-    items = _get(schema, "$.items", "variant")
+    ok &= single.isNull() | (F.to_json(single) == F.to_json(value))
+    limit = lambda key: _get(schema, f"$.{key}", "double")
+    number = F.when(F.regexp_like(kind, F.lit(TYPES["number"])), _get(value, "$", "double"))
+    text = F.when(kind == "STRING", value.try_cast("string"))
+    bounds = [number >= limit("minimum"), number <= limit("maximum"), number > limit("exclusiveMinimum"), number < limit("exclusiveMaximum"), F.length(text) >= limit("minLength"), F.length(text) <= limit("maxLength")]
+    bounds += [F.size(x) >= limit(least) for x, least in ((entries, "minItems"), (members, "minProperties"))] + [F.size(x) <= limit(most) for x, most in ((entries, "maxItems"), (members, "maxProperties"))]
+    for bound, of in zip(bounds, [number] * 4 + [text] * 2 + [entries, members] * 2, strict=True):
+        ok &= of.isNull() | F.coalesce(bound, F.lit(True))
     has = lambda k: F.coalesce(F.map_contains_key(members, k), F.lit(False))
-    inside = F.forall(properties_keys := F.map_keys(properties), lambda k: ~has(k) | fits(F.try_element_at(members, k), F.try_element_at(properties, k), levels - 1))
-    ok &= members.isNull() | properties_keys.isNull() | F.forall(required, has) & inside
-    return ok & (entries.isNull() | items.isNull() | F.forall(entries, lambda x: fits(x, items, levels - 1)))
+    ok &= members.isNull() | F.forall(_or_empty(_get(schema, "$.required", "array<string>"), "array<string>"), has)
+    regex = _get(schema, "$.pattern", "string")
+    plain = regex.rlike(PLAIN_PATTERN)
+    ok &= F.when(text.isNotNull() & plain, F.regexp_like(text, regex)).otherwise(True)
+    said = F.map_keys(_or_empty(schema.try_cast(_FIELDS), _FIELDS))
+    tuples = _get(schema, "$.items", _LIST).isNotNull() & entries.isNotNull()
+    ok &= F.coalesce(F.to_json(schema) != "false", F.lit(True))
+    return ok, F.exists(said, lambda k: ~k.isin(*KEYWORDS)) | tuples | text.isNotNull() & F.coalesce(~plain, F.lit(False))
+
+
+def valid(pairs: DataFrame) -> DataFrame:
+    """(pid, value, schema), JSON each, to (pid, valid): false if a value fails, null if none fails but a schema holds what is not
+    checked. Members and entries are checked in rounds, a level each, so schemas may be of any depth."""
+    parsed = lambda rows: rows.select("pid", F.try_parse_json("value").alias("v"), F.try_parse_json("schema").alias("s"))
+    level, told = materialise(pairs.select("pid", "value", "schema"), "chat-level"), []
+    while not level.isEmpty():
+        rows = parsed(level)
+        ok, open_ = _checked(F.col("v"), F.col("s"))
+        told.append(rows.select("pid", ok.alias("ok"), open_.alias("open")).groupBy("pid").agg(F.bool_and("ok").alias("ok"), F.bool_or("open").alias("open")))
+        json = lambda x: F.coalesce(F.to_json(x), F.lit("null"))
+        members, properties = F.col("v").try_cast(_FIELDS), _or_empty(_get(F.col("s"), "$.properties", _FIELDS), _FIELDS)
+        named = rows.where(members.isNotNull()).select("pid", "s", members.alias("m"), properties.alias("p")).select("pid", "s", "p", F.explode("m").alias("k", "x"))
+        named = named.select("pid", json(F.col("x")).alias("value"), F.to_json(F.coalesce(F.try_element_at("p", F.col("k")), _get(F.col("s"), "$.additionalProperties", "variant"))).alias("schema"))
+        entries = F.col("v").try_cast(_LIST)
+        listed = rows.where(entries.isNotNull()).select("pid", F.to_json(_get(F.col("s"), "$.items", "variant")).alias("schema"), F.explode(entries).alias("x")).select("pid", json(F.col("x")).alias("value"), "schema")
+        level = materialise(named.unionAll(listed).where("schema is not null"), "chat-level")
+    if not told:
+        return pairs.select("pid", F.lit(None).cast("boolean").alias("valid"))
+    return reduce(DataFrame.unionAll, told).groupBy("pid").agg(F.bool_and("ok").alias("ok"), F.bool_or("open").alias("open")).select("pid", F.when(~F.col("ok"), False).when(~F.col("open"), True).alias("valid"))
 
 
 def _arguments(call: Column) -> Column:
@@ -178,9 +215,12 @@ def link(messages: DataFrame) -> DataFrame:
     schemas = offered.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min(F.struct("turn", "tool.schema")).getField("schema").alias("schema"))
     checked = made.select("conv_id", "mid", F.col("call.id").alias("answers"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
     checked = checked.join(answered, ["conv_id", "answers"], "left").join(schemas, ["conv_id", "name"], "left")
-    checked = checked.withColumn("given", F.try_parse_json(F.coalesce("arguments", F.lit("{}")))).withColumn("wanted", F.try_parse_json("schema"))
-    valid = F.when(F.col("wanted").isNotNull(), F.schema_of_variant("given").startswith("OBJECT") & fits(F.col("given"), F.col("wanted")))
-    verdict = checked.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), F.coalesce("done", no).alias("done"), valid.alias("valid"))
+    given, wanted = F.coalesce("arguments", F.lit("{}")), F.try_parse_json("schema")
+    checked = materialise(checked.select("conv_id", "mid", "done", given.alias("value"), F.when(wanted.isNotNull(), F.col("schema")).alias("schema"), F.monotonically_increasing_id().alias("pid")), "chat-checked")
+    fits = valid(checked.where("schema is not null"))
+    whole = F.when(F.col("schema").isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), no))
+    checked = checked.join(fits, "pid", "left").withColumn("valid", F.when(~whole, False).otherwise(F.col("valid")))
+    verdict = checked.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), F.coalesce("done", no).alias("done"), "valid")
     verdict = verdict.groupBy("c", "m").agg(F.count_if("done").alias("n_answered"), F.bool_and("valid").alias("args_valid"))
 
     chained = anchors(edges)

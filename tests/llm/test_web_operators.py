@@ -403,3 +403,31 @@ def test_arguments_against_nested_schemas(spark):
     rows += [(1, i + 1, "assistant", message(tool_calls=[{"id": f"c{i}", "name": "f", "arguments": a}])) for i, (a, _) in enumerate(ARGUMENTS)]
     got = {r.turn: r.args_valid for r in chat.link(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i + 1] for i in range(len(ARGUMENTS))] == [ok for _, ok in ARGUMENTS]
+
+
+def _deep(n, leaf):
+    return leaf if not n else {"type": "object", "properties": {"x": _deep(n - 1, leaf)}}
+
+
+def _put(n, leaf):
+    return leaf if not n else {"x": _put(n - 1, leaf)}
+
+
+NUMBER = {"type": "integer", "minimum": 1, "maximum": 9}
+SCHEMAS = [
+    (_deep(1, NUMBER), _put(1, 5), True), (_deep(9, NUMBER), _put(9, 5), True), (_deep(9, NUMBER), _put(9, "5"), False), (_deep(4, NUMBER), _put(4, "a"), False), (_deep(2, NUMBER), _put(2, 0), False), (_deep(2, NUMBER), _put(2, 10), False),
+    ({"properties": {"a": {}}, "additionalProperties": False}, {"a": 1}, True), ({"properties": {"a": {}}, "additionalProperties": False}, {"a": 1, "b": 2}, False), ({"additionalProperties": {"type": "string"}}, {"b": "x"}, True),
+    ({"additionalProperties": {"type": "string"}}, {"b": 2}, False), ({"properties": {"a": {"pattern": "^[a-z]+-\\d{2}$"}}}, {"a": "ab-12"}, True), ({"properties": {"a": {"pattern": "^[a-z]+-\\d{2}$"}}}, {"a": "ab-1"}, False),
+    ({"properties": {"a": {"pattern": "(["}}}, {"a": "x"}, None), ({"properties": {"a": {"pattern": "(["}, "b": NUMBER}}, {"a": "x", "b": 99}, False), ({"anyOf": [{}]}, {"a": 1}, None), ({"properties": {"a": {"exclusiveMinimum": 1}}}, {"a": 1}, False),
+    ({"properties": {"a": {"minLength": 2, "maxLength": 3}}}, {"a": "é漢"}, True), ({"properties": {"a": {"minLength": 2}}}, {"a": "x"}, False), ({"properties": {"a": {"minItems": 2, "items": NUMBER}}}, {"a": [1]}, False), ({"properties": {"a": {"items": {"items": NUMBER}}}}, {"a": [[1, 2], [3]]}, True),
+    ({"properties": {"a": {"items": {"items": NUMBER}}}}, {"a": [[1, 2], [33]]}, False), ({"properties": {"a": {"const": [1, {"b": 2}]}}}, {"a": [1, {"b": 2}]}, True), ({"properties": {"a": {"type": "integer"}}}, {"a": None}, False), ({"properties": {"a": False}}, {"a": 1}, False), ({"properties": {"a": True}}, {"a": 1}, True),
+    ({"properties": {"a": {"items": [NUMBER]}}}, {"a": [1]}, None),
+]
+
+
+def test_schemas_of_any_depth(spark):
+    rows = []
+    for i, (schema, given, _) in enumerate(SCHEMAS):
+        rows += [(i, 0, "system", message(tools=[{"name": "f", "parameters": schema}])), (i, 1, "assistant", message(tool_calls=[{"id": "c", "name": "f", "arguments": given}]))]
+    got = {r.conv_id: r.args_valid for r in chat.link(spark.createDataFrame(rows, SCHEMA)).where("turn = 1").collect()}
+    assert [got[i] for i in range(len(SCHEMAS))] == [ok for *_, ok in SCHEMAS]
