@@ -33,6 +33,7 @@ SEED = 42
 GROUP = 8192
 #: Tells rows that share a doc_id apart.
 TEXT_HASH = "_simhash_text"
+NAMED, NAMELESS = "_simhash_id", "_simhash_null"
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -213,19 +214,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one with the smallest doc_id, then the smallest hash
     of its text. Groups are of texts, so rows that only share a doc_id stay apart; of repeated rows one stays. Rows with a null
-    doc_id neither link others nor go."""
+    doc_id are told apart by their texts, and come after all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", TEXT_HASH, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found.view(np.int64))], names=[NAMED, TEXT_HASH, NAMELESS, "fp"])
 
-    named = docs.where("doc_id is not null").withColumn(TEXT_HASH, F.xxhash64("text"))
-    rows = named.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", TEXT_HASH)
-    prints = materialise(rows.mapInArrow(run, f"doc_id bigint, {TEXT_HASH} bigint, fp bigint"), "simhash-prints")
+    named = docs.withColumns({TEXT_HASH: F.xxhash64("text"), NAMED: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), NAMELESS: F.col("doc_id").isNull()})
+    rows = named.select(NAMED, "text", TEXT_HASH, NAMELESS)
+    prints = materialise(rows.mapInArrow(run, f"{NAMED} bigint, {TEXT_HASH} bigint, {NAMELESS} boolean, fp bigint"), "simhash-prints")
     distinct = materialise(prints.select("fp", F.col("fp").alias("root")).distinct(), "simhash-distinct")
     member = components(links(distinct))
-    labelled = prints.join(member, prints.fp == member.node, "left").select("doc_id", TEXT_HASH, F.coalesce("component", "fp").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min(F.struct("doc_id", TEXT_HASH)).alias("first")).select("first.*")
-    one = named.join(kept, ["doc_id", TEXT_HASH], "left_semi").dropDuplicates(["doc_id", TEXT_HASH])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    labelled = prints.join(member, prints.fp == member.node, "left").select(NAMELESS, NAMED, TEXT_HASH, F.coalesce("component", "fp").alias("component"))
+    kept = labelled.groupBy("component").agg(F.min(F.struct(NAMELESS, NAMED, TEXT_HASH)).alias("first")).select("first.*")
+    key = [NAMELESS, NAMED, TEXT_HASH]
+    return named.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)

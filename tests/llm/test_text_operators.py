@@ -312,11 +312,11 @@ def test_near_duplicates_equal_all_pairs(documents):
 def test_one_row_of_each_group_of_texts(spark):
     """Different texts under one doc_id are no near-duplicates; of a group the smallest doc_id's own copy stays."""
     rnd = random.Random(8)
-    a, b, c = (" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(60)) for _ in range(3))
-    rows = [(5, a), (5, b), (6, b), (5, a), (4, a), (7, c), (7, a), (None, c), (None, c)]
+    a, b, c, d = (" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (6, b), (5, a), (4, a), (7, c), (7, a), (None, c), (None, c), (None, d), (None, d)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     got = sorted(simhash.keep_one(docs).collect(), key=str)
-    assert [(r.doc_id, r.text) for r in got] == sorted([(4, a), (5, b), (7, c), (None, c), (None, c)], key=lambda r: f"Row(doc_id={r[0]}, text={r[1]!r})")
+    assert [(r.doc_id, r.text) for r in got] == sorted([(4, a), (5, b), (7, c), (None, d)], key=lambda r: f"Row(doc_id={r[0]}, text={r[1]!r})")
 
 
 def test_dense_groups_in_blocks_and_runs(spark):
