@@ -229,10 +229,8 @@ def _complete(units: DataFrame) -> DataFrame:
     return units.select("source", "u", F.coalesce("p", F.lit(0)).alias("p"), *UNIT_COLUMNS, "page_numbers", "text")
 
 
-def semantic_units(raw: DataFrame, keep_lead_in: bool = False, pages: DataFrame | None = None) -> DataFrame:
-    """Raw documents (source, markdown) to semantic units with ids and token counts (of the stand-in tokenizer). Each document
-    goes through the branch of its format only. ``pages`` is documents(raw), if that is written already: five branches read it."""
-    docs = written(documents(raw), "pages") if pages is None else pages
+def units_by_windows(docs: DataFrame, keep_lead_in: bool = False) -> DataFrame:
+    """The units of documents() by windows over a table of lines: each document goes through the branch of its format only."""
     of = lambda name: docs.where(F.col("format") == name)
     numeric = written(numeric_sections(lines(of("numeric"))), "numeric")
     branches = [
@@ -246,8 +244,16 @@ def semantic_units(raw: DataFrame, keep_lead_in: bool = False, pages: DataFrame
     for branch in branches[1:]:
         units = units.unionByName(_complete(branch))
     index = F.row_number().over(Window.partitionBy("source").orderBy("u", "p"))
-    units = units.withColumn("unit_index", index)
+    return units.withColumn("unit_index", index).select("source", "unit_index", *UNIT_COLUMNS, "page_numbers", "text")
+
+
+def semantic_units(raw: DataFrame, keep_lead_in: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """Raw documents (source, markdown) to semantic units with ids and token counts (of the stand-in tokenizer), in one pass without a
+    shuffle. ``pages`` is documents(raw), if that is written already."""
+    from .machine import units
+
+    docs = documents(raw) if pages is None else pages
     name = F.concat(stem(F.col("source")), F.lit("|unit|"), F.col("unit_index").cast("string"))
-    return units.drop("u", "p").select(
+    return units(docs, keep_lead_in).select(
         "source", "unit_index", name.alias("semantic_unit_id"), *UNIT_COLUMNS, "page_numbers", "text", F.size(tokens(F.col("text"))).alias("semantic_unit_token_count")
     )
