@@ -28,7 +28,7 @@ from .common import slices
 
 #: Characters of the encodings that a worker remembers, of chunks up to CACHE_CHUNK characters; and of the chunks encoded at
 #: once. Only speed and memory depend on them.
-CACHE_CHARS = 40_000_000
+CACHE_CHARS = 12_000_000
 CACHE_CHUNK = 200
 BATCH_CHARS = 400_000
 _NONE = np.iinfo(np.int64).max
