@@ -39,6 +39,26 @@ def test_pruned_search_equals_the_exhaustive_one(spark, monkeypatch):
     assert sorted(map(tuple, pruned.postings(pruned.blocks(posted)).collect())) == sorted(map(tuple, posted.select("bucket", "id", "weight").select("id", "bucket", "weight").collect()))
 
 
+def test_scan_equals_the_shuffled_sums(spark):
+    """In blocks and in one; ids that are null or shared, repeated texts (ties), and nothing to search for."""
+    docs, queries = corpus(spark)
+    docs = docs.unionByName(docs.where("id < 90").select((F.col("id") + 5000).alias("id"), "text")).unionByName(docs.where("id % 100 = 3").select(F.when(F.col("id") < 700, F.col("id")).alias("id"), "text"))
+    asked = sparse.postings(queries, "query_id", "query").cache()
+    posted = sparse.postings(docs, "id", "text")
+    idf = sparse.idf(posted, docs.agg(F.count("*").alias("n")))
+    weighted = asked.join(idf, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked")).cache()
+    want = sorted(map(str, retrieval.sparse_top_k(asked, posted, idf, 5).collect()))
+    terms = sparse.encoded(docs, "id", "text", asked=asked).where(F.size("terms") > 0).cache()
+    assert terms.select(F.explode("terms.bucket").alias("b")).distinct().count() == asked.select("bucket").distinct().join(posted, "bucket", "left_semi").count()
+    merged = retrieval.by_id(terms)
+    for block in (retrieval.SPARSE_BLOCK, 60):
+        found = retrieval.sparse_scan(weighted, merged, 5, block)
+        assert sorted(map(str, found.collect())) == want and want
+    plan = retrieval.sparse_scan(weighted, terms, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan  # no posting and no sum is shuffled
+    assert retrieval.sparse_scan(weighted.limit(0), terms).count() == 0 and retrieval.sparse_scan(weighted, terms.limit(0)).count() == 0
+
+
 def test_pruned_search_of_nothing(spark):
     docs, queries = corpus(spark, 20)
     terms = sparse.encoded(docs, "id", "text")
