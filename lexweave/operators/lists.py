@@ -3,7 +3,8 @@
 ``fit`` learns centroids and the residuals' codebooks from a bounded sample (SAMPLE vectors, by hash of their ids, held by the driver).
 ``build`` assigns every vector to its nearest centroid and writes two tables with a folder per list: codes of PIECES bytes, and the vectors.
 A search reads the codes of the lists nearest to each query alone, keeps RESCORED * k candidates by their codes, and scores those by their
-vectors. ``tune`` finds how many lists that takes for a recall; ``exact`` goes on to all lists that could still hold one of the best:
+vectors. ``depth`` finds how many candidates that takes for a recall, since more vectors share a code as the table grows, and ``tune`` how
+many lists; ``exact`` goes on to all lists that could still hold one of the best:
 no vector of a list lies farther from its centroid than the list's radius, which bounds its score.
 
 Defined cases: null vectors and ids are left out; vectors are compared by direction, and a zero vector has score zero; ties go to the
@@ -199,8 +200,8 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], f"{RANKED}, rank int")
 
 
-def _approximate(spark: SparkSession, index: Lists, ids: np.ndarray, rows: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
-    found = top_k(_scan(spark, index, "codes", ids, rows, wanted, RESCORED * k), RESCORED * k).select("query_id", "id", "list")
+def _approximate(spark: SparkSession, index: Lists, ids: np.ndarray, rows: np.ndarray, wanted: np.ndarray, k: int, rescored: int) -> DataFrame:
+    found = top_k(_scan(spark, index, "codes", ids, rows, wanted, rescored * k), rescored * k).select("query_id", "id", "list")
     found = written(found, "lists-candidates")
     asked = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows, strict=True)], "query_id bigint, asked array<double>")
     held = index.table(spark, "vectors", np.flatnonzero(wanted.any(0))).join(found, ["list", "id"]).join(asked, "query_id")
@@ -210,11 +211,11 @@ def _approximate(spark: SparkSession, index: Lists, ids: np.ndarray, rows: np.nd
     return top_k(held.select("query_id", "id", F.round(score, 6).alias("score")), k).select("query_id", "id", "score", "rank")
 
 
-def search(queries: DataFrame, index: Lists, k: int = 10, probes: int = 8) -> DataFrame:
-    """Approximate cosine top-k of (query_id, vector): (query_id, id, score, rank)."""
+def search(queries: DataFrame, index: Lists, k: int = 10, probes: int = 8, rescored: int = RESCORED) -> DataFrame:
+    """Approximate cosine top-k of (query_id, vector): (query_id, id, score, rank). The ``rescored`` * k best by code are scored exactly."""
     spark, out = queries.sparkSession, None
     for ids, rows in _blocks(queries):
-        part = _approximate(spark, index, ids, rows, _nearest(index, rows, probes), k)
+        part = _approximate(spark, index, ids, rows, _nearest(index, rows, probes), k, rescored)
         out = part if out is None else out.unionAll(part)
     return _empty(spark) if out is None else out
 
@@ -246,17 +247,31 @@ def recall(found: DataFrame, true: DataFrame) -> float:
     return pairs.agg(F.count("hit") / F.greatest(F.count("*"), F.lit(1))).first()[0]
 
 
-def tune(queries: DataFrame, index: Lists, k: int = 10, wanted: float = 0.95) -> int:
-    """The least number of lists (by doubling, then halving) that gives this recall on TUNED_ON of the queries."""
+def _tried(queries: DataFrame, index: Lists, k: int) -> tuple[DataFrame, DataFrame]:
+    """TUNED_ON of the queries, and their exact rows."""
     some = written(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(TUNED_ON), "lists-tuned")
-    true = written(exact(some, index, k)[0], "lists-true")
+    return some, written(exact(some, index, k)[0], "lists-true")
+
+
+def depth(queries: DataFrame, index: Lists, k: int = 10, wanted: float = 0.95, least: int = RESCORED) -> int:
+    """How many times k candidates have to be scored exactly (by doubling) for this recall over all lists, on TUNED_ON of the queries.
+    At the latest all vectors are, which misses none."""
+    (some, true), total, rescored = _tried(queries, index, k), len(index.sizes), least
+    while rescored * k < int(index.sizes.sum()) and recall(search(some, index, k, total, rescored), true) < wanted:
+        rescored *= 2
+    return rescored
+
+
+def tune(queries: DataFrame, index: Lists, k: int = 10, wanted: float = 0.95, rescored: int = RESCORED) -> int:
+    """The least number of lists (by doubling, then halving) that gives this recall on TUNED_ON of the queries."""
+    some, true = _tried(queries, index, k)
     total = int((index.sizes > 0).sum())
     low, high = 0, 1
-    while high < total and recall(search(some, index, k, high), true) < wanted:
+    while high < total and recall(search(some, index, k, high, rescored), true) < wanted:
         low, high = high, min(total, 2 * high)
     while high - low > max(1, high // 8):
         middle = (low + high) // 2
-        low, high = (low, middle) if recall(search(some, index, k, middle), true) >= wanted else (middle, high)
+        low, high = (low, middle) if recall(search(some, index, k, middle, rescored), true) >= wanted else (middle, high)
     return high
 
 

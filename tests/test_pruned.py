@@ -99,6 +99,18 @@ def test_lists_of_grouped_vectors(spark, tmp_path):
     assert rows(lists.exact(asked, again, 10, 2)[0]) == rows(true)
 
 
+def test_depth_reaches_the_recall(spark, tmp_path):
+    """Vectors without groups, which codes of three pieces hardly tell apart: the usual number of candidates misses many of the best."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(3000, 48)))], "id bigint, vector array<float>").cache()
+    held = lists.build(vectors, str(tmp_path / "lists"), lists.fit(vectors, 8, 3))
+    asked = vectors.where("id % 60 = 0").withColumnRenamed("id", "query_id")
+    true = retrieval.dense_top_k(asked, vectors).cache()
+    assert lists.recall(lists.search(asked, held, 10, 8), true) < 0.9
+    rescored = lists.depth(asked, held)
+    assert lists.recall(lists.search(asked, held, 10, lists.tune(asked, held, rescored=rescored), rescored), true) >= 0.9
+
+
 def test_lists_of_few_vectors(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(3)], "id bigint, vector array<float>")
     index = lists.build(vectors, str(tmp_path / "few"), lists.fit(vectors))
