@@ -64,3 +64,22 @@ def test_titles(spark):
     assert [r[0] for r in got] == ["Governing Law; Jurisdiction", "Indemnification", None, None]
     row = spark.createDataFrame([(" a  b .;", "O'NEIL x_y")], "a string, b string").select(n.clean_title(F.col("a"), 1), n.title_case(F.col("b"))).first()
     assert tuple(row) == ("a", "O'Neil X_Y")
+
+
+def test_most_texts_meet_no_unicode_pattern(spark):
+    """Tokens of ASCII texts are those of the Unicode pattern, which only other texts meet; so are signs before which a line is broken."""
+    from lexweave.functions import normalize
+    from lexweave.operators import chunk
+
+    texts = ["a_b c1, d!\x1c\x0b(e)\x85", "é_b 漢1, d x", "plain\x1fwords\x7f", "", None, "x (1) y\n(2) z", "a ARTICLE I\nARTICLE II é ARTICLE III", "ſection 1.1 x ſection 2.2 y", "a ## § 1 B\n## § 2 C", "( iv ) (v ) ( x) (y)", "a . b .c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    for r in rows.select(chunk.tokens(F.col("text")).alias("got"), whole.alias("want")).collect():
+        assert r.got == r.want
+    old = {"A": r"(?idU)(?<!\n)(ARTICLE\s+[IVXLC]+\b)", "S": r"(?idU)(?<!\n)(Section\s+\d+\.\d+\s+)", "(": r"(?dU)(?<!\n)(\(\d+\)\s+)", "#": r"(?idU)(?<!\n)(##\s*§\s*\d+(?:\.\d+)*\s+[A-Z])"}
+    for rule, by in zip((normalize.BREAKS[0], normalize.BREAKS[1], normalize.BREAKS[4], normalize.BREAKS[3]), ("A", "S", "(", "#"), strict=True):
+        assert rule[0] != old[by]
+        same = rows.where(~F.regexp_replace("text", rule[0], rule[1]).eqNullSafe(F.regexp_replace("text", old[by], rule[1])))
+        assert same.count() == 0
+    spread = [r.text for r in rows.select(normalize.rewrite(F.col("text"), normalize.BREAKS[:1]).alias("text")).collect()]
+    assert spread[6] == "a \nARTICLE I\nARTICLE II é \nARTICLE III"
