@@ -14,6 +14,8 @@ from ..sources.config import Config
 from ..sources.index import Embedder, HashEmbedder, embed
 from ..sources.shared import written
 
+#: Queries up to which an index is searched by its blocks; the terms of all documents are read once for more.
+PRUNED_QUERIES = 16
 Scorer = Callable[[Column, Column], Column]
 
 
@@ -30,6 +32,8 @@ def search(queries: DataFrame, index: dict[str, DataFrame], config: Config = Con
         changes = index["changes"].join(asked.select("bucket").distinct(), "bucket", "left_semi")  # of few buckets, before they are summed
         weights = sparse.weights(changes, index["n"].scalar())
         weighted = asked.join(weights, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
+        if asked.select("id").distinct().count() > PRUNED_QUERIES:
+            return retrieval.sparse_scan(weighted, index["terms"], config.k_sparse)
         return pruned.search(weighted, index["blocks"], index["terms"], config.k_sparse, index["dead"]).found
 
     def ranked_again(ranked: DataFrame) -> DataFrame:

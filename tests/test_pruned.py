@@ -39,6 +39,20 @@ def test_pruned_search_equals_the_exhaustive_one(spark, monkeypatch):
     assert sorted(map(tuple, pruned.postings(pruned.blocks(posted)).collect())) == sorted(map(tuple, posted.select("bucket", "id", "weight").select("id", "bucket", "weight").collect()))
 
 
+def test_blocks_of_terms_hold_the_postings(spark, monkeypatch):
+    monkeypatch.setattr(pruned, "RANGE_BITS", 6)
+    docs, queries = corpus(spark, 500)
+    docs = docs.unionByName(spark.createDataFrame([(None, "w1 w2"), (7000, ""), (7001, None)], docs.schema))
+    terms = sparse.encoded(docs, "id", "text").cache()
+    made = pruned.blocks_of(terms)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Repartition" not in plan
+    assert sorted(map(str, pruned.postings(made).collect())) == sorted(map(str, sparse.flat(terms).select("id", "bucket", "weight").collect()))
+    for r in made.collect():
+        assert r.part == r.bucket % pruned.PARTS and r.largest == max(p.weight for p in r.postings)
+        assert all(math.floor(p.weight * pruned.LEVELS) == r.level and (r.range is None or p.id >> 6 == r.range) for p in r.postings)
+
+
 def test_scan_equals_the_shuffled_sums(spark):
     """In blocks and in one; ids that are null or shared, repeated texts (ties), and nothing to search for."""
     docs, queries = corpus(spark)
