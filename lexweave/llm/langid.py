@@ -6,8 +6,8 @@ square-rooted and scaled to length one. The classifiers are fitted on the driver
 documents of each label, whatever the number of labels; a document contributes BUCKETS numbers whatever its length.
 
 The scores tell languages from each other, not language from junk, so the pipeline also asks how near a text is to the
-mean vector of its nearest label. Near texts of one length reach a floor that fit() sets on labelled documents left out of
-the means, cut to that length, and on junk made of the same letters in random order.
+mean vector of its nearest label. Near texts of one length reach a floor that learn_floors() sets on every labelled document that may
+be learned from, cut to that length and held against the means of all others, and on junk made of the same letters in random order.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is every text if nothing is
 labelled; with one label only, that label is predicted; a very long text is read whole; a null doc_id is never learned from
@@ -18,6 +18,8 @@ no row; further columns of any name don't matter.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, slices
+from .common import keep_rows, materialise, slices
 
 SAMPLE = 400
 #: Rows that the driver learns from in all (4096 numbers in single precision each): many labels share them evenly.
 SAMPLE_ROWS = 24_000
 BUCKETS = 4096
 UNKNOWN = "und"
-#: Characters of the held-out beginnings that floors are set at, the fewest of them, how many spreads below their median is
+#: Labels whose sums a task holds at once.
+HELD_LABELS = 256
+#: Steps of one: of a feature in sums, which are whole numbers so that they don't hang on their order, and of a nearness, whose
+#: quantiles are taken over counted steps.
+FEATURE_STEPS, NEAR_STEPS = 1 << 32, 10_000
+#: Characters of the beginnings that floors are set at, the fewest of them, how many spreads below their median is
 #: still a text (the spread is that of the middle half, so labelled junk doesn't lower it), and the share of junk to reject.
 LENGTHS = (25, 50, 100, 200, 400, 800, 1600, 3200)
 FEWEST = 20
@@ -143,26 +150,6 @@ class Model:
             within.append(stack(fits))
         return cls(families, first, pairs, within)
 
-    def learn_floors(self, x: np.ndarray, labels: list[str], texts: list[str | None]) -> None:
-        """Every row with a text is left out of its label's mean; its beginnings and their shuffled letters set the floors."""
-        codes, out = np.array(labels), np.array([t is not None for t in texts])
-        means = []
-        for label in sorted(set(labels)):
-            own = codes == label
-            mean = x[own & ~out if (own & ~out).any() else own].mean(axis=0)
-            means.append(mean / np.linalg.norm(mean))
-        self.means, at, wanted, rnd = np.array(means, np.float32).T.copy(), [], [], np.random.default_rng(0)
-        for length in LENGTHS:
-            real = [t[:length] for t in texts if t is not None and len(t) >= length]
-            if len(real) < FEWEST:
-                continue
-            junk = ["".join(rnd.permutation(list(t)).tolist()) for t in real]
-            (n, near), (_, far) = (zip(*[g for g in map(self.nearness, part) if g], strict=True) for part in (real, junk))
-            at.append(float(np.median(n)))
-            low, middle, high = np.quantile(near, [0.25, 0.5, 0.75])
-            wanted.append(float(min(middle - SPREADS * (high - low) / 1.349, np.quantile(far, JUNK))))
-        self.floors = at, wanted
-
     def nearness(self, text: str | None) -> tuple[float, float] | None:
         """The logarithm of a text's number of features, and its nearness to the nearest label's mean."""
         counts = counted(text)
@@ -210,8 +197,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
-    """Learn from labelled documents outside the held-out third: the ``sample`` smallest by a hash of doc_id per label, fewer if
-    the labels would have more than SAMPLE_ROWS in all. For the floors, a quarter of them comes with the beginning of its text."""
+    """Learn from labelled documents outside the held-out third: the classifiers from the ``sample`` smallest by a hash of doc_id per
+    label, fewer if the labels would have more than SAMPLE_ROWS in all, the floors from all."""
     learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = learn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     counts = ids.groupBy("lang").count().collect()
@@ -229,23 +216,118 @@ def fit(docs: DataFrame, sample: int = SAMPLE, floors: bool = False) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             got = [features(t) for t in batch.column(1).to_pylist()]
-            begins = [t[: LENGTHS[-1]] if t and floors and i % 4 == 0 else None for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [(i, label, x.tobytes(), b) for i, label, x, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), got, begins, strict=True) if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["doc_id", "lang", "x", "begin"])
+            rows = [(i, label, x.tobytes()) for i, label, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), got, strict=True) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "x"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang")
-    read = texts.mapInArrow(run, "doc_id bigint, lang string, x binary, begin string")
-    read = read.groupBy("doc_id").agg(F.min(F.struct("lang", "x", "begin")).alias("row")).select("doc_id", "row.*")
+    read = texts.mapInArrow(run, "doc_id bigint, lang string, x binary")
+    read = read.groupBy("doc_id").agg(F.min(F.struct("lang", "x")).alias("row")).select("doc_id", "row.*")
     rows = sorted(read.collect(), key=lambda r: r.doc_id)
     if not rows:
         return Model([], (np.zeros((BUCKETS, 0)), np.zeros(0)), [], [])
     x, labels = np.array([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows]
     model = Model.fit(x, labels)
     if floors:
-        model.learn_floors(x, labels, [r.begin for r in rows])
+        learn_floors(model, _single(learn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where(F.col("text").rlike(r"\p{L}"))))
     return model
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, lang, text) that share a doc_id the smallest by label and text. Only ids are shuffled, and the texts of such rows."""
+    repeated = materialise(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    one = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.*")
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(one)
+
+
+def _steps(text: str | None) -> np.ndarray | None:
+    x = features(text)
+    return None if x is None else np.rint(x.astype(np.float64) * FEATURE_STEPS).astype(np.int64)
+
+
+def _sums(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The summed features of all rows of each label, in steps. Tasks add up first; a number per label and bucket is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for label, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * at.size, pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "at", "steps"])
+            sums.clear()
+
+        for batch in slices(batches):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (x := _steps(text)) is not None:
+                    if label not in sums and len(sums) == HELD_LABELS:
+                        yield from told()
+                    sums[label] = sums[label] + x if label in sums else x
+        yield from told()
+
+    added = rows.select("lang", "text").mapInArrow(run, "lang string, at int, steps bigint").groupBy("lang", "at").agg(F.sum("steps").alias("steps"))
+    out = {}
+    for row in added.groupBy("lang").agg(F.collect_list(F.struct("at", "steps")).alias("own")).select("lang", "own.at", "own.steps").toLocalIterator():
+        out[row.lang] = np.zeros(BUCKETS, np.int64)
+        out[row.lang][row["at"]] = row.steps
+    return out
+
+
+def _unit(steps: np.ndarray) -> np.ndarray:
+    x = steps.astype(np.float64)
+    return (x / (np.linalg.norm(x) or 1.0)).astype(np.float32)
+
+
+def learn_floors(model: Model, rows: DataFrame) -> None:
+    """Means and floors of a model, from every row (lang, text): means of all, floors from the beginnings of each row, and their shuffled
+    letters, held against means that the row itself is taken out of. Tasks count steps; at most NEAR_STEPS counts a length are shuffled."""
+    sums = _sums(rows)
+    if not sums:
+        return
+    labels = sorted(sums)
+    model.means = np.array([_unit(sums[label]) for label in labels]).T.copy()
+    shared = rows.sparkSession.sparkContext.broadcast(([sums[label] for label in labels], model.means, {label: k for k, label in enumerate(labels)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (added, means, places), counts = shared.value, Counter()
+        for batch in slices(batches):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text) < LENGTHS[0] or (x := _steps(text)) is None:
+                    continue
+                own = places[label]
+                others = _unit(added[own] - x)
+                codes = np.frombuffer(text[: LENGTHS[-1]].encode("utf-32-le", "surrogatepass"), np.uint32)
+                rnd = np.random.default_rng(zlib.crc32(codes.tobytes()))
+                for length in LENGTHS:
+                    if codes.size < length:
+                        break
+                    for kind, part in (("real", codes[:length]), ("junk", rnd.permutation(codes[:length]))):
+                        if (n := counted(part.tobytes().decode("utf-32-le", "surrogatepass"))) is None:
+                            continue
+                        part_x = _scaled(n)
+                        near = part_x @ means
+                        near[own] = part_x @ others
+                        counts[length, kind, round(float(near.max()) * NEAR_STEPS)] += 1
+                        if kind == "real":
+                            counts[length, "features", int(n.sum())] += 1
+        keys = list(counts)
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["length", "kind", "steps", "n"])
+
+    counted_steps = rows.select("lang", "text").mapInArrow(run, "length int, kind string, steps bigint, n bigint").groupBy("length", "kind", "steps").agg(F.sum("n").alias("n"))
+    quantiles = F.percentile("steps", F.array(*map(F.lit, (0.25, 0.5, 0.75, JUNK))), F.col("n"))
+    got = {(r.length, r.kind): r for r in counted_steps.groupBy("length", "kind").agg(quantiles.alias("q"), F.sum("n").alias("n")).collect()}  # three rows a length
+    at, wanted = [], []
+    for length in LENGTHS:
+        if (length, "real") not in got or (length, "junk") not in got or got[length, "real"].n < FEWEST:
+            continue
+        low, middle, high, _ = got[length, "real"].q
+        at.append(float(np.log(got[length, "features"].q[1])))
+        wanted.append(min(middle - SPREADS * (high - low) / 1.349, got[length, "junk"].q[3]) / NEAR_STEPS)
+    model.floors = at, wanted
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

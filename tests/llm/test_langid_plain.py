@@ -91,3 +91,28 @@ def test_predictions_equal_plain_loops(spark, documents):
     for r in documents.collect():
         label, score = plain_predict(model, r.text)
         assert got[r.doc_id][0] == label and abs(got[r.doc_id][1] - score) < 1e-3
+
+
+def test_floors_come_from_every_labelled_document(spark, documents):
+    """Means and floors by plain loops over all documents that may be learned from; the classifiers' sample does not change them."""
+    learn = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 3 <> 1").select("doc_id", "text", "lang")
+    few, many = (langid.fit(documents, sample=n, floors=True) for n in (8, 400))
+    assert few.floors == many.floors and len(few.floors[0]) >= 5 and np.array_equal(few.means, many.means)
+
+    def dense(text):
+        x = np.zeros(langid.BUCKETS)
+        for at, v in (plain_features(text) or {}).items():
+            x[at] = v
+        return x
+
+    rows = [(r.lang, r.text, x) for r in learn.collect() if (x := dense(r.text)).any()]
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {label: sum(x for own, _, x in rows if own == label) for label in sorted({r[0] for r in rows})}
+    assert np.abs(many.means - np.array([unit(v) for v in sums.values()]).T).max() < 1e-5
+    for length, floor in ((25, many.floors[1][0]), (200, many.floors[1][3])):
+        near = [max(dense(t[:length]) @ unit(v - x if label == own else v) for label, v in sums.items()) for own, t, x in rows if len(t) >= length]
+        low, middle, high = np.quantile(near, [0.25, 0.5, 0.75])
+        assert floor <= middle - langid.SPREADS * (high - low) / 1.349 + 2e-3
+    # a row that is there twice is learned from once
+    twice = langid.fit(documents.unionAll(documents.where("doc_id < 50")), floors=True)
+    assert twice.floors == many.floors and np.array_equal(twice.means, many.means)
