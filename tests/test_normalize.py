@@ -83,3 +83,12 @@ def test_most_texts_meet_no_unicode_pattern(spark):
         assert same.count() == 0
     spread = [r.text for r in rows.select(normalize.rewrite(F.col("text"), normalize.BREAKS[:1]).alias("text")).collect()]
     assert spread[6] == "a \nARTICLE I\nARTICLE II é \nARTICLE III"
+
+
+def test_texts_beyond_ascii_are_not_taken_for_headings_in_other_cases(spark):
+    """The cheap look for a word lets through all that Unicode's case rules take for it, and no other text beyond ASCII."""
+    from lexweave.functions.normalize import says
+
+    rows = ["an ARTICLE", "artıcle", "ARTİCLE", "ſection 1.1 x", "§ 2 é", "artcle é"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", says("article")(F.col("t")).alias("a"), says("section")(F.col("t")).alias("s"))
+    assert [(r.a, r.s) for r in found.orderBy("i").collect()] == [(True, False), (True, False), (True, False), (False, True), (False, False), (False, False)]
