@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import machine, segment
+from lexweave.plans import queries
 
 POOL = [
     "1. Term", "2. Payment of sums", "## 3. Foo", "Appendix", "## Appendix", "text", "", "", "1.1 sub words. More", "- 2.1 Fees: due", "### 2.2.1 Deep", "12. 5 no", "more text.", "ARTICLE I", "article iv", "TITLE HERE",
@@ -40,3 +41,28 @@ def test_no_exchange(spark):
     plan = segment.semantic_units(made(spark, 6, 20))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
     assert segment.semantic_units(made(spark, 6, 20).where(F.lit(False))).count() == 0
+
+
+CUTS = [
+    ("article", (), lambda d: segment.article_sections(segment.lines(d))), ("article", ("section",), lambda d: segment.article_subunits(segment.article_sections(segment.lines(d)))),
+    ("roman", (), lambda d: segment.roman_sections(segment.lines(d))), ("roman", ("roman", "letter", "paragraph"), lambda d: segment.roman_subunits(segment.roman_sections(segment.lines(d)))),
+    ("numeric", (), lambda d: segment.numeric_sections(segment.lines(d))), ("numeric", ("top",), lambda d: segment.numeric_subsections(segment.numeric_sections(segment.lines(d)))),
+    ("numeric", ("appendix",), lambda d: segment.appendix_blocks(segment.numeric_sections(segment.lines(d)).where("section_type = 'appendix'"))),
+]
+
+
+@pytest.mark.parametrize(("name", "kinds", "windows"), CUTS)
+def test_one_format_and_some_cuts_equal_the_windows(spark, name, kinds, windows):
+    docs = segment.documents(made(spark, 8, 250)).cache()
+    want, got = windows(docs.where(F.col("format") == name)), machine.units(docs, only=name, kinds=kinds)
+    if kinds == ("appendix",):
+        got = got.where("section_type = 'appendix'")
+    own = [c for c in ("source", *segment.UNIT_COLUMNS, "page_numbers", "text") if c in want.columns]
+    rows = lambda df: sorted(map(repr, df.select(*own).collect()))
+    assert rows(got) == rows(want) != []
+
+
+@pytest.mark.parametrize("name", ["article_units", "article_subunits", "numeric_sections", "numeric_subsections", "appendix_blocks", "roman_units", "roman_subunits"])
+def test_queries_of_one_format_shuffle_nothing(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
