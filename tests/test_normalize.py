@@ -92,3 +92,12 @@ def test_texts_beyond_ascii_are_not_taken_for_headings_in_other_cases(spark):
     rows = ["an ARTICLE", "artıcle", "ARTİCLE", "ſection 1.1 x", "§ 2 é", "artcle é"]
     found = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", says("article")(F.col("t")).alias("a"), says("section")(F.col("t")).alias("s"))
     assert [(r.a, r.s) for r in found.orderBy("i").collect()] == [(True, False), (True, False), (True, False), (False, True), (False, False), (False, False)]
+
+
+def test_titles_of_texts_without_a_sign_that_ends_one(spark):
+    texts = ["1.1 Length. Long", "1.2 no sign\nat all 3.4 or 5:6", "1.3 At the end.\x1c", "2.1 Fees: due", "2.2 Ends in a digit 1.", "2.3 a.٣ b.", ".", "", "1.4 one.two", "3.1 x:\u2003y", None]
+    shown = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in shown.orderBy("i").select(n.infer_title(n.F.col("t"))).collect()]
+    assert got == ["Length", None, "At the end", "Fees", "Ends in a digit 1", "a.٣ b", None, None, None, "x", None]
+    plan = shown.select(n.infer_title(n.F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[.:](?!\d)" in plan  # the look
