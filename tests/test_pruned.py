@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import sparse
 from lexweave.operators import lists, pruned, retrieval
+from lexweave.sources.shared import written
 
 
 def corpus(spark, n=1500, seed=3):
@@ -73,6 +74,41 @@ def test_scan_equals_the_shuffled_sums(spark):
     assert retrieval.sparse_scan(weighted.limit(0), terms).count() == 0 and retrieval.sparse_scan(weighted, terms.limit(0)).count() == 0
 
 
+def test_spans_give_the_rows_of_the_shuffled_sums(spark, monkeypatch):
+    """In blocks of queries and in one, over one span or many; ids that are null or shared, repeated texts (ties), and nothing to search for."""
+    docs, queries = corpus(spark)
+    docs = docs.unionByName(docs.where("id < 90").select((F.col("id") + 5000).alias("id"), "text")).unionByName(docs.where("id % 100 = 3").select(F.when(F.col("id") < 700, F.col("id")).alias("id"), "text"))
+    asked = sparse.postings(queries, "query_id", "query").cache()
+    posted = sparse.postings(docs, "id", "text")
+    idf = sparse.idf(posted, docs.agg(F.count("*").alias("n")))
+    weighted = asked.join(idf, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked")).cache()
+    want = sorted(map(str, retrieval.sparse_top_k(asked, posted, idf, 5).collect()))
+    terms = sparse.encoded(docs, "id", "text", asked=asked).where(F.size("terms") > 0).cache()
+    for span, block in ((512, retrieval.SPARSE_BLOCK), (16, 60)):
+        monkeypatch.setattr(pruned, "SPAN", span)
+        held = written(pruned.spans(retrieval.by_id(terms)), "spans")
+        read, matching = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        found = pruned.scan(weighted, held, 5, block, read, matching)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, found.collect())) == want and want
+        assert 0 < read.value <= matching.value
+    assert pruned.scan(weighted.limit(0), held).count() == 0 and pruned.scan(weighted, held.limit(0)).count() == 0
+
+
+def test_spans_that_cannot_matter_are_passed_over(spark, monkeypatch):
+    """Documents by subject: a query of one subject's words, and of one that all share, is scored in few spans."""
+    monkeypatch.setattr(pruned, "SPAN", 32)
+    docs = spark.createDataFrame([(i, f"common s{i // 100} s{i // 100}w{i % 7} s{i // 100}w{i % 5}") for i in range(2000)], "id bigint, text string").coalesce(1)
+    queries = spark.createDataFrame([(s, f"common s{s} s{s}w1 s{s}w2") for s in range(20)], "query_id bigint, query string")
+    asked, terms = sparse.postings(queries, "query_id", "query"), sparse.encoded(docs, "id", "text").cache()
+    idf = sparse.idf(sparse.flat(terms), docs.agg(F.count("*").alias("n")))
+    weighted = asked.join(idf, "bucket").select(F.col("id").alias("query_id"), "bucket", (F.col("weight") * F.col("idf")).alias("asked"))
+    read, matching = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    found = pruned.scan(weighted, written(pruned.spans(terms), "spans"), 5, read=read, matching=matching)
+    assert sorted(map(str, found.collect())) == sorted(map(str, retrieval.sparse_top_k(asked, sparse.flat(terms), idf, 5).collect()))
+    assert read.value < 0.5 * matching.value
+
+
 def test_pruned_search_of_nothing(spark):
     docs, queries = corpus(spark, 20)
     terms = sparse.encoded(docs, "id", "text")
