@@ -1,9 +1,10 @@
 """Approximate dense search: inverted lists over k-means centroids, with product-quantised residuals and exact rescoring.
 
 ``fit`` learns centroids and the residuals' codebooks from a bounded sample (SAMPLE vectors, by hash of their ids, held by the driver).
-``build`` assigns every vector to its nearest centroid and writes two tables with a folder per list: codes of PIECES bytes, and the vectors.
-A search reads the codes of the lists nearest to each query alone, keeps RESCORED * k candidates by their codes, and scores those by their
-vectors. ``depth`` finds how many candidates that takes for a recall, since more vectors share a code as the table grows, and ``tune`` how
+``build`` assigns every vector to its nearest centroid and writes a table with a folder per list: codes of PIECES bytes beside the vectors.
+A search reads the lists nearest to each query alone. Tasks first tell how good the best codes are, at GRAINS ranks a query, which gives a
+floor that RESCORED * k candidates reach; these are scored by their vectors where they lie, and only each task's k best leave it.
+``depth`` finds how many candidates that takes for a recall, since more vectors share a code as the table grows, and ``tune`` how
 many lists; ``exact`` goes on to all lists that could still hold one of the best:
 no vector of a list lies farther from its centroid than the list's radius, which bounds its score.
 
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .retrieval import PORTION, QUERY_BLOCK, RANKED, top_k
+from .retrieval import PORTION, QUERY_BLOCK, RANKED, _best, top_k
 
 #: Vectors that are learned from; rounds of k-means; codes are bytes.
 SAMPLE, ROUNDS, CODES = 20_000, 12, 256
 PIECES, RESCORED = 8, 16
+#: Ranks of the best codes that a task tells of; entries of a task's matrix of code scores; pairs that are scored by their vectors at once.
+GRAINS, ENTRIES, PAIRS = 64, 8 << 20, 1 << 16
 #: Queries that ``tune`` compares with the exhaustive search.
 TUNED_ON = 128
 
@@ -73,9 +76,10 @@ class Codebook:
         codes = [((book**2).sum(1)[None] - 2 * piece @ book.T).argmin(1) for piece, book in zip(cut, self.pieces, strict=True)]
         return near, np.array(codes, np.uint8).T, np.linalg.norm(rest, axis=1)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Products of queries with all centres: (queries, pieces, codes)."""
-        return np.einsum("pqs,pcs->qpc", self._cut(queries), self.pieces)
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes (rows by pieces) of vectors of these lists stand for: centroids with the residuals' centres."""
+        rest = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.pieces)], axis=1)
+        return self.centroids[lists] + rest[:, : self.centroids.shape[1]]
 
 
 def fit(vectors: DataFrame, lists: int | None = None, pieces: int = PIECES, sample: int = SAMPLE, seed: int = 7) -> Codebook:
@@ -103,10 +107,10 @@ class Lists:
     radii: np.ndarray
     sizes: np.ndarray
 
-    def table(self, spark: SparkSession, name: str, wanted: np.ndarray) -> DataFrame:
-        """Only the folders of the wanted lists are read."""
-        kind = {"codes": "id bigint, code binary", "vectors": "id bigint, vector array<float>"}[name]
-        return spark.read.schema(f"{kind}, list int").parquet(f"{self.path}/{name}").where(F.col("list").isin([int(x) for x in wanted]))
+    def table(self, spark: SparkSession, wanted: np.ndarray) -> DataFrame:
+        """Only the folders of the wanted lists are read, many of them by a task."""
+        rows = spark.read.schema("id bigint, code binary, vector array<float>, list int").parquet(f"{self.path}/vectors").where(F.col("list").isin([int(x) for x in wanted]))
+        return rows.coalesce(2 * spark.sparkContext.defaultParallelism)
 
 
 def build(vectors: DataFrame, path: str, book: Codebook) -> Lists:
@@ -124,8 +128,7 @@ def build(vectors: DataFrame, path: str, book: Codebook) -> Lists:
 
     rows = vectors.where("id is not null and vector is not null").select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
     rows = written(rows.mapInArrow(run, "id bigint, vector array<float>, list int, code binary, far double"), "lists")
-    rows.select("id", "code", "list").hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/codes")
-    rows.select("id", "vector", "list").hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/vectors")
+    rows.select("id", "code", "vector", "list").hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/vectors")
     radii, sizes = np.zeros(len(book.centroids)), np.zeros(len(book.centroids), np.int64)
     for r in rows.groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row per list
         radii[r["list"]], sizes[r["list"]] = r["far"], r["n"]
@@ -142,29 +145,22 @@ def _kept(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [column[order][keep] for column in rows]
 
 
-def _scan(spark: SparkSession, index: Lists, name: str, query_ids: np.ndarray, queries: np.ndarray, wanted: np.ndarray, keep: int) -> DataFrame:
-    """The ``keep`` best (query_id, id, score, list) per query and task of the wanted lists (queries by lists), by codes or by vectors."""
+def _scan(spark: SparkSession, index: Lists, query_ids: np.ndarray, queries: np.ndarray, wanted: np.ndarray, keep: int) -> DataFrame:
+    """The ``keep`` best (query_id, id, score, list) per query and task of the wanted lists (queries by lists), by vectors."""
     lists = np.flatnonzero(wanted.any(0) & (index.sizes > 0))
-    shared = spark.sparkContext.broadcast((query_ids, queries, wanted, index.book))
+    shared = spark.sparkContext.broadcast((query_ids, queries, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked, by_list, book = shared.value
-        products, near = (book.tables(asked), asked @ book.centroids.T) if name == "codes" else (None, None)
+        ids, asked, by_list = shared.value
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]  # place of the query, id, score, list
         for batch in batches:
             for start in range(0, batch.num_rows, PORTION):
                 part = batch.slice(start, PORTION)
                 own, there = part.column(0).to_numpy(), part.column(2).to_numpy()
-                if name == "codes":
-                    held = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(own.size, -1)
-                else:
-                    held = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.size, -1))
+                held = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.size, -1))
                 for number in np.unique(there):
                     who, at = np.flatnonzero(by_list[:, number]), np.flatnonzero(there == number)
-                    if name == "codes":
-                        scores = near[who, number][:, None] + sum(products[who[:, None], p, held[at, p][None]] for p in range(held.shape[1]))
-                    else:
-                        scores = np.round(asked[who] @ held[at].T, 6)
+                    scores = np.round(asked[who] @ held[at].T, 6)
                     least = np.partition(scores, -keep, axis=1)[:, -keep] if at.size > keep else scores.min(axis=1, initial=np.inf)
                     place, column = np.nonzero(scores >= least[:, None])  # with all that tie with the last
                     more = who[place], own[at[column]], scores[place, column], np.full(place.size, number, np.int32)
@@ -172,8 +168,7 @@ def _scan(spark: SparkSession, index: Lists, name: str, query_ids: np.ndarray, q
         if best[0].size:
             yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), *map(pa.array, best[1:])], names=["query_id", "id", "score", "list"])
 
-    value = "code" if name == "codes" else "vector"
-    return index.table(spark, name, lists).select("id", value, "list").mapInArrow(run, f"{RANKED}, list int")
+    return index.table(spark, lists).select("id", "vector", "list").mapInArrow(run, f"{RANKED}, list int")
 
 
 def _blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,21 +195,68 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], f"{RANKED}, rank int")
 
 
+def _by_code(part: pa.RecordBatch, asked: np.ndarray, by_list: np.ndarray, book: Codebook) -> np.ndarray:
+    """Scores (queries by rows) of rows (id, code, list, ...) by their codes; without end below where a query does not read the list."""
+    there = part.column(2).to_numpy()
+    codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+    return np.where(by_list[:, there], asked @ book.decoded(there, codes).T, -np.inf)
+
+
+def _floors(spark: SparkSession, index: Lists, ids: np.ndarray, rows: np.ndarray, wanted: np.ndarray, number: int) -> np.ndarray:
+    """By query a code score that at least ``number`` of its vectors reach, and not many more: each task has the scores at every grain-th rank
+    of its own best, and of all these together the one is taken above which grains enough lie."""
+    grain = -(-number // GRAINS)
+    ranks = -(-number // grain)
+    shared = spark.sparkContext.broadcast((ids, rows, wanted, index.book))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, by_list, book = shared.value
+        best = np.full((ids.size, ranks * grain), -np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PORTION):
+                scores = _by_code(batch.slice(start, PORTION), asked, by_list, book)
+                best = np.partition(np.concatenate([best, scores], axis=1), scores.shape[1], axis=1)[:, scores.shape[1] :]
+        told = np.sort(best, axis=1)[:, ::-1][:, grain - 1 :: grain]
+        place, rank = np.nonzero(told > -np.inf)
+        if place.size:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(rank.astype(np.int64)), pa.array(told[place, rank])], names=["query_id", "id", "score"])
+
+    found = top_k(index.table(spark, np.flatnonzero(wanted.any(0) & (index.sizes > 0))).select("id", "code", "list").mapInArrow(run, RANKED), ranks)
+    floors = {r.query_id: r.floor for r in found.groupBy("query_id").agg(F.when(F.count("*") == ranks, F.min("score")).alias("floor")).collect()}  # a row per query of the block
+    return np.array([-np.inf if floors.get(int(i)) is None else floors[int(i)] - 1e-9 for i in ids])
+
+
 def _approximate(spark: SparkSession, index: Lists, ids: np.ndarray, rows: np.ndarray, wanted: np.ndarray, k: int, rescored: int) -> DataFrame:
-    found = top_k(_scan(spark, index, "codes", ids, rows, wanted, rescored * k), rescored * k).select("query_id", "id", "list")
-    found = written(found, "lists-candidates")
-    asked = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows, strict=True)], "query_id bigint, asked array<double>")
-    held = index.table(spark, "vectors", np.flatnonzero(wanted.any(0))).join(found, ["list", "id"]).join(asked, "query_id")
-    pairs = F.zip_with("asked", "vector", lambda a, b: a * b)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    score = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(length, F.lit(1e-300))
-    return top_k(held.select("query_id", "id", F.round(score, 6).alias("score")), k).select("query_id", "id", "score", "rank")
+    """The k best of each query among its ``rescored`` * k best by code. Candidates are scored in the tasks that hold them."""
+    least = int((wanted * index.sizes).sum(1).max(initial=0))
+    floors = _floors(spark, index, ids, rows, wanted, rescored * k) if rescored * k < least else np.full(ids.size, -np.inf)
+    shared = spark.sparkContext.broadcast((ids, rows, wanted, index.book, floors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, by_list, book, floor = shared.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # place of the query, id and score, so far
+        for batch in batches:
+            for start in range(0, batch.num_rows, PORTION):
+                part = batch.slice(start, PORTION)
+                own = part.column(0).to_numpy()
+                coded = _by_code(part, asked, by_list, book)
+                place, at = np.nonzero((coded >= floor[:, None]) & (coded > -np.inf))
+                vectors = _unit(part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.size, -1))
+                for cut in range(0, place.size, PAIRS):
+                    query, row = place[cut : cut + PAIRS], at[cut : cut + PAIRS]
+                    scores = np.round(np.einsum("ij,ij->i", asked[query], vectors[row]), 6)
+                    best = _best([np.concatenate(x) for x in zip(best, (query, own[row], scores), strict=True)], k)
+        if best[0].size:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
+
+    held = index.table(spark, np.flatnonzero(wanted.any(0) & (index.sizes > 0)))
+    return top_k(held.select("id", "code", "list", "vector").mapInArrow(run, RANKED), k).select("query_id", "id", "score", "rank")
 
 
 def search(queries: DataFrame, index: Lists, k: int = 10, probes: int = 8, rescored: int = RESCORED) -> DataFrame:
     """Approximate cosine top-k of (query_id, vector): (query_id, id, score, rank). The ``rescored`` * k best by code are scored exactly."""
     spark, out = queries.sparkSession, None
-    for ids, rows in _blocks(queries):
+    for ids, rows in _blocks(queries, max(1, min(QUERY_BLOCK, ENTRIES // (rescored * k + PORTION)))):
         part = _approximate(spark, index, ids, rows, _nearest(index, rows, probes), k, rescored)
         out = part if out is None else out.unionAll(part)
     return _empty(spark) if out is None else out
@@ -227,14 +269,14 @@ def exact(queries: DataFrame, index: Lists, k: int = 10, probes: int = 8) -> tup
     there = index.sizes > 0
     for ids, rows in _blocks(queries):
         wanted = _nearest(index, rows, probes) & there
-        first = written(top_k(_scan(spark, index, "vectors", ids, rows, wanted, k), k).select("query_id", "id", "score"), "lists-first")
+        first = written(top_k(_scan(spark, index, ids, rows, wanted, k), k).select("query_id", "id", "score"), "lists-first")
         floors = {r.query_id: r.floor for r in first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).collect()}  # a row per query of the block
         floor = np.array([-np.inf if floors.get(int(i)) is None else floors[int(i)] for i in ids])
         bound = rows @ index.book.centroids.T + index.radii[None]
         more = (bound >= floor[:, None] - 1e-5) & ~wanted & there
         part = first
         if more.any():
-            part = first.unionAll(_scan(spark, index, "vectors", ids, rows, more, k).select("query_id", "id", "score"))
+            part = first.unionAll(_scan(spark, index, ids, rows, more, k).select("query_id", "id", "score"))
         part = top_k(part, k).select("query_id", "id", "score", "rank")
         shares, counts = shares + float((wanted | more).sum()), counts + len(ids)
         out = part if out is None else out.unionAll(part)

@@ -161,6 +161,35 @@ def test_depth_reaches_the_recall(spark, tmp_path):
     assert lists.recall(lists.search(asked, held, 10, lists.tune(asked, held, rescored=rescored), rescored), true) >= 0.9
 
 
+def test_candidates_stay_in_their_tasks(spark, tmp_path):
+    """The approximate way sends k rows a query and task, not its candidates, and joins no vectors; many queries go in several blocks."""
+    vectors = clustered(spark, 1500).cache()
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    held = lists.build(vectors, str(tmp_path / "lists"), lists.fit(vectors, lists=12, pieces=6))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    true = retrieval.dense_top_k(asked, vectors, 10)
+    found = lists.search(asked, held, 10, 12, 20)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert lists.recall(found, true) >= 0.9
+    assert rows(lists.search(asked, held, 10, 12, 1000)) == rows(true)  # all vectors are candidates
+    before, lists.ENTRIES = lists.ENTRIES, 8 * (200 + lists.PORTION)
+    try:
+        assert rows(lists.search(asked, held, 10, 12, 20)) == rows(found)
+    finally:
+        lists.ENTRIES = before
+
+
+def test_floors_let_the_wanted_number_through(spark, tmp_path):
+    vectors = clustered(spark, 1500).cache()
+    held = lists.build(vectors, str(tmp_path / "lists"), lists.fit(vectors, lists=12, pieces=6))
+    (ids, rows), = lists._blocks(vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"))
+    wanted = lists._nearest(held, rows, 12)
+    coded = np.concatenate([lists._by_code(b, rows, wanted, held.book) for b in held.table(spark, np.arange(12)).select("id", "code", "list").toArrow().to_batches()], axis=1)
+    for number in (10, 64, 160, 700):
+        reach = (coded >= lists._floors(spark, held, ids, rows, wanted, number)[:, None]).sum(1)
+        assert reach.min() >= number and reach.max() <= number + 2 * spark.sparkContext.defaultParallelism * -(-number // lists.GRAINS) + 40  # thirty vectors are the same
+
+
 def test_lists_of_few_vectors(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(3)], "id bigint, vector array<float>")
     index = lists.build(vectors, str(tmp_path / "few"), lists.fit(vectors))
